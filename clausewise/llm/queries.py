@@ -19,12 +19,25 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(documents(spark, sf_dir))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from clausewise.llm.byte_bpe import encode_and_decode
+
+    return encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausewise.llm.fingerprints import edited_likeness
 
     return edited_likeness(documents(spark, sf_dir))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.mixing import mixed_words
+
+    return mixed_words(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from clausewise.llm.token_counts import token_counts
@@ -32,10 +45,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.suffix_tree import scored
+
+    return scored(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_matroska": op2_matroska,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_lz_fingerprint": op4_lz_fingerprint,
+    "op5_mixing": op5_mixing,
     "op8_token_counts": op8_token_counts,
+    "op10_suffix_tree": op10_suffix_tree,
 }
 ORACLE_SQL: dict[str, str] = {}
