@@ -38,6 +38,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_words(documents(spark, sf_dir))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.ngram_join import join
+
+    return join(documents(spark, sf_dir), k=3, percent=90)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from clausewise.llm.token_counts import token_counts
@@ -57,6 +63,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_lz_fingerprint": op4_lz_fingerprint,
     "op5_mixing": op5_mixing,
+    "op6_ngram_join": op6_ngram_join,
     "op8_token_counts": op8_token_counts,
     "op10_suffix_tree": op10_suffix_tree,
 }
