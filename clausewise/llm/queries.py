@@ -51,6 +51,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.sanitise import digest
+
+    return digest(documents(spark, sf_dir))
+
+
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausewise.llm.suffix_tree import scored
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_ngram_join": op6_ngram_join,
     "op8_token_counts": op8_token_counts,
+    "op9_pii": op9_pii,
     "op10_suffix_tree": op10_suffix_tree,
 }
 ORACLE_SQL: dict[str, str] = {}
