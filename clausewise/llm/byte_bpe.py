@@ -43,8 +43,8 @@ def library(path: str, pattern: str):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Rows (doc_id, ids) with the ids of every text under the ranks at `path`."""
-    table = blocks(docs.select("doc_id", F.col(text).alias("text")), pretokens)
+    """Rows (doc_id, ids) with the ids of every text under the ranks at `path`; `docs` as from files (see wordblocks)."""
+    dictionaries, texts = blocks(docs.select("doc_id", F.col(text).alias("text")), pretokens, keep=False)
 
     def answer(bucket: Bucket):
         enc = library(path, pattern).encode_ordinary
@@ -81,7 +81,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
         return make
 
     empty = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return assemble(table, lookup(table, answer, 2), each, "doc_id long, ids array<int>", empty)
+    return assemble(texts, lookup(dictionaries, answer, 2), each, "doc_id long, ids array<int>", empty)
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -7,8 +7,11 @@ every block. `assemble` joins the answers back to the documents of each block by
 
 What moves is each block's dictionary (a few per cent of its words) and the packed sequences,
 never a row for each word of each text. Buckets and blocks have bounded size: a word that is
-in every text is one entry in each block. The table of blocks is written to the shared folder,
-so that a lost executor can't number a block anew.
+in every text is one entry in each block.
+
+Dictionaries and documents of a block are made by one function. `blocks` can write both to the
+shared folder, or leave them as two lazy halves that cut a partition alike: then `docs` must be
+rows that come again in the same order, as from files, if a task is repeated.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from clausewise.llm.common import no_null, small_batches, steps, written
 
 #: Text bytes of a block, and words of one packed row of documents.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 ROW_WORDS = 1 << 18
 
 Split = Callable[[list[str]], tuple[list, np.ndarray]]
@@ -64,15 +67,24 @@ BLOCKS = "block long, bucket int, words binary, lengths binary, ranks binary, co
 _SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary()), ("ranks", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("counted", pa.list_(pa.bool_())), ("seq", pa.binary())])
 
 
-def blocks(docs: DataFrame, split: Split, counted: Column | None = None, buckets: int = 0) -> DataFrame:
-    """The written table of blocks of `docs` (doc_id, text): dictionary rows by bucket, and rows of documents.
+def blocks(docs: DataFrame, split: Split, counted: Column | None = None, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The blocks of `docs` (doc_id, text): dictionary rows by bucket, and rows of documents.
 
     `counts` has how often a word occurs in rows for which `counted` holds (all, if it is left out).
+    With `keep` both are one written table, made once.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n_buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))).alias("counted"))
+    n_buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    make = lambda dictionaries, texts: rows.mapInArrow(_maker(split, n_buckets, dictionaries, texts), BLOCKS)
+    if keep:
+        table = written(make(True, True), "blocks")
+        return table.where(F.col("bucket").isNotNull()), table.where(F.col("bucket").isNull())
+    return make(True, False), make(False, True)
 
+
+def _maker(split: Split, n_buckets: int, dictionaries: bool, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -89,19 +101,19 @@ def blocks(docs: DataFrame, split: Split, counted: Column | None = None, buckets
             counts = np.bincount(seq, np.repeat(np.array(uses, bool), n_words), len(words)).astype(np.int64)
             bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % n_buckets
             by = np.lexsort((rank, bucket))
-            for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
+            for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if dictionaries and len(by) else []:
                 data, lengths = pack_words([words[i] for i in part.tolist()])
                 yield _row(block, int(bucket[part[0]]), data, lengths, pack(np.diff(rank[part], prepend=np.int32(0))), pack(counts[part]), None, None, None, None)
             seq = rank[seq] if len(seq) else seq
             ends = np.cumsum(n_words)
-            at = 0
+            at = 0 if texts else len(ids)
             while at < len(ids):
                 start = int(ends[at - 1]) if at else 0
                 to = max(at + 1, int(np.searchsorted(ends, start + ROW_WORDS, "right")))
                 yield _row(block, None, None, None, None, None, ids[at:to], sizes[at:to], uses[at:to], pack(seq[start : int(ends[to - 1])]))
                 at = to
 
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", 1 << 20):
             words, counts = split(no_null(batch.column("text")).to_pylist())
             ids += batch.column("doc_id").to_pylist()
             uses += batch.column("counted").to_pylist()
@@ -115,8 +127,7 @@ def blocks(docs: DataFrame, split: Split, counted: Column | None = None, buckets
         if ids:
             yield from flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))).alias("counted"))
-    return written(rows.mapInArrow(run, BLOCKS), "blocks")
+    return run
 
 
 def _row(*values) -> pa.RecordBatch:
@@ -139,7 +150,7 @@ class Bucket:
         self.counts = np.bincount(np.concatenate(self.places), np.concatenate(counts), len(self.words)).astype(np.int64)
 
 
-def lookup(table: DataFrame, answer: Callable[[Bucket], Callable[[np.ndarray], list[bytes]]], n_values: int) -> DataFrame:
+def lookup(dictionaries: DataFrame, answer: Callable[[Bucket], Callable[[np.ndarray], list[bytes]]], n_values: int) -> DataFrame:
     """Rows (block, ranks, v0, v1, ...): what `answer` of a bucket packs for a block's places."""
     names = [f"v{i}" for i in range(n_values)]
 
@@ -149,11 +160,11 @@ def lookup(table: DataFrame, answer: Callable[[Bucket], Callable[[np.ndarray], l
         values = [give(p) for p in bucket.places]
         return pa.table([pa.array(bucket.blocks, pa.int64()), pa.array(bucket.ranks, pa.binary()), *(pa.array([v[i] for v in values], pa.binary()) for i in range(n_values))], names=["block", "ranks", *names])
 
-    rows = table.where(F.col("bucket").isNotNull()).select("block", "bucket", "words", "lengths", "ranks", "counts")
+    rows = dictionaries.select("block", "bucket", "words", "lengths", "ranks", "counts")
     return rows.groupBy("bucket").applyInArrow(run, "block long, ranks binary, " + ", ".join(f"{n} binary" for n in names))
 
 
-def vocabulary(table: DataFrame) -> DataFrame:
+def vocabulary(dictionaries: DataFrame) -> DataFrame:
     """Rows (words, lengths, counts) by bucket: each distinct word of the corpus once."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -161,11 +172,11 @@ def vocabulary(table: DataFrame) -> DataFrame:
         data, lengths = pack_words(bucket.words)
         return pa.table([[data], [lengths], [pack(bucket.counts)]], schema=pa.schema([("words", pa.binary()), ("lengths", pa.binary()), ("counts", pa.binary())]))
 
-    rows = table.where(F.col("bucket").isNotNull()).select("block", "bucket", "words", "lengths", "ranks", "counts")
+    rows = dictionaries.select("block", "bucket", "words", "lengths", "ranks", "counts")
     return rows.groupBy("bucket").applyInArrow(run, "words binary, lengths binary, counts binary")
 
 
-def assemble(table: DataFrame, answers: DataFrame, each: Callable[[list, int], Callable[[list, np.ndarray, np.ndarray, list], pa.Table]], schema: str, empty: pa.Schema) -> DataFrame:
+def assemble(texts: DataFrame, answers: DataFrame, each: Callable[[list, int], Callable[[list, np.ndarray, np.ndarray, list], pa.Table]], schema: str, empty: pa.Schema) -> DataFrame:
     """Joins a block's answers to its documents.
 
     `each` gets the rows of answers with their ranks and the number of words of the block; what it
@@ -179,5 +190,5 @@ def assemble(table: DataFrame, answers: DataFrame, each: Callable[[list, int], C
         make = each([ranks, found], sum(map(len, ranks)))
         return pa.concat_tables([make(i, np.array(s, np.int64), unpack(q, np.int32), u) for i, s, q, u in zip(*(docs.column(c).to_pylist() for c in ("ids", "sizes", "seq", "counted")))])
 
-    rows = table.where(F.col("bucket").isNull()).select("block", "ids", "sizes", "seq", "counted")
+    rows = texts.select("block", "ids", "sizes", "seq", "counted")
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
