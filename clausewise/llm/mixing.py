@@ -161,7 +161,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     parts = d.where("size > 0").select("row", "s", "start", "size", F.explode(F.sequence(first, last)).alias("index"))
     a = F.greatest(F.col("start"), F.col("index") * BLOCK)
     n = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * BLOCK) - a
-    parts = parts.select("row", "s", "index", (a - F.col("start")).alias("a"), n.alias("n")).join(taken, ["s", "index"])
+    parts = parts.select("row", "s", "index", (a - F.col("start")).alias("a"), n.alias("n")).join(taken.hint("merge"), ["s", "index"])
     by_row = parts.groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("taken"), F.sort_array(F.collect_list(F.struct("a", "n", "times"))).alias("pieces"))
     out = d.join(by_row, "row", "left")
     return out.select("doc_id", "source", "size", "row", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("pieces", F.array().cast("array<struct<a:bigint,n:bigint,times:bigint>>")).alias("pieces"))
