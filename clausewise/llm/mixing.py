@@ -69,6 +69,16 @@ def with_sizes(df: DataFrame, text: str = "text") -> DataFrame:
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "size long"]))
 
 
+def _with_size(docs: DataFrame) -> DataFrame:
+    """`docs` with `size`, the text kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(word_counts(no_null(batch.column("text"))))], names=[*batch.schema.names, "size"])
+
+    return docs.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), "size long"]))
+
+
 def targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
     """Weighted shares of `total`, at most `most` times the size; the excess is reshared by weight."""
     out, open_ = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
@@ -200,3 +210,52 @@ def plan(spark: SparkSession, sources: pd.DataFrame) -> DataFrame:
 def mixed_words(docs: DataFrame) -> DataFrame:
     """Contract of op5."""
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """`docs` as the mix takes them: a row for each time round, with the words of the document's blocks that this round takes.
+
+    Texts are cut between words; n_chars, where there is such a column, is the new length.
+    """
+    small_batches(docs.sparkSession)
+    parts = mix(docs).where("taken > 0").select("doc_id", "source", "size", F.transform("pieces", lambda p: F.struct(p["a"], p["n"], p["times"])).alias("pieces"))
+    # equal rows of a document take turns: the n-th row has the n-th list of pieces
+    number = lambda w: F.row_number().over(w)
+    left = parts.withColumn("nth", number(Window.partitionBy("doc_id", "source", "size").orderBy("pieces")))
+    right = _with_size(docs).withColumn("nth", number(Window.partitionBy("doc_id", "source", "size").orderBy("text")))
+    on = [left[c].eqNullSafe(right[c]) for c in ("doc_id", "source", "size", "nth")]
+    rows = right.join(left, on).select(*(right[c] for c in docs.columns), left.pieces)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            at, texts = [], []
+            for i, (text, pieces) in enumerate(zip(batch.column("text").to_pylist(), batch.column("pieces").to_pylist())):
+                for part in taken_texts(text, [(p["a"], p["n"], p["times"]) for p in pieces]):
+                    at.append(i)
+                    texts.append(part)
+            out = batch.select(names).take(pa.array(at, pa.int64()))
+            cols = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+            yield pa.RecordBatch.from_arrays([cols.get(n, out.column(n)) for n in names], names=names)
+
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {'long' if n == 'n_chars' else t}" for n, t in docs.dtypes))
+
+
+def taken_texts(text: str, pieces: list[tuple[int, int, int]]) -> list[str]:
+    """The text of each time round: the pieces' words, with the white space between words that follow each other."""
+    data = text.encode()
+    raw = np.frombuffer(data, np.uint8)
+    word = ~_BLANK[raw]
+    starts = np.flatnonzero(word & np.concatenate(([True], ~word[:-1])))
+    ends = np.flatnonzero(word & np.concatenate((~word[1:], [True]))) + 1
+    out = []
+    for turn in range(1, max((t for *_, t in pieces), default=0) + 1):
+        spans: list[list[int]] = []
+        for a, n, times in sorted(pieces):
+            if times >= turn:
+                if spans and spans[-1][1] == a:
+                    spans[-1][1] = a + n
+                else:
+                    spans.append([a, a + n])
+        out.append(b" ".join(data[starts[a] : ends[b - 1]] for a, b in spans).decode())
+    return out
