@@ -44,6 +44,13 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir), k=3, percent=90)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from clausewise.llm.packing import packed
+
+    return packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from clausewise.llm.token_counts import token_counts
@@ -70,6 +77,7 @@ QUERIES = {
     "op4_lz_fingerprint": op4_lz_fingerprint,
     "op5_mixing": op5_mixing,
     "op6_ngram_join": op6_ngram_join,
+    "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_suffix_tree": op10_suffix_tree,
