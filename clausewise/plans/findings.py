@@ -15,3 +15,11 @@ def merge(rows: DataFrame, cap: int = 20) -> DataFrame:
         F.max("severity").alias("severity"),
         F.max_by("description", F.struct(F.length("description"), "description")).alias("description"),
     )
+
+
+def merge_values(rows: DataFrame, keys: list[str], value: str, confidence: str, order: list[str]) -> DataFrame:
+    """Distinct values of each key in order of first appearance, and the confidence of the best one."""
+    place = F.struct(*order)
+    firsts = rows.groupBy(*keys, F.to_json(F.struct(value)).alias("_sign")).agg(F.min(place).alias("_at"), F.first(value).alias("v"), F.max(confidence).alias("c"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_at", "v"))), lambda x: x["v"])
+    return firsts.groupBy(*keys).agg(F.array_join(listed, ",").alias("values"), F.max("c").alias("confidence"))

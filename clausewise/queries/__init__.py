@@ -1,4 +1,4 @@
 """All registered queries over the tables."""
 
-from clausewise.queries import relational, texts  # noqa: F401
+from clausewise.queries import domain, relational, texts  # noqa: F401
 from clausewise.queries.registry import QUERIES, SQL  # noqa: F401
