@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 GARBLED = 0.35
 MAX_VISIBLE = 1200
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility normal form, which Spark has no function for."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")

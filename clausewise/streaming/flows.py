@@ -16,20 +16,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Streams need an instant as event time; tables may have it without a time zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str, late: str = "1 day") -> DataFrame:
     """Counts and sums of each type and window; what is later than `late` is left out of a stream."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def sessions(events: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
     """A user's events that follow each other within `gap`."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    return _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
 def once(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     """The first of the events with equal keys."""
     if events.isStreaming:
-        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+        return _timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
     return events.dropDuplicates(keys)
 
 
