@@ -130,20 +130,29 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def disclosing(cands: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, share) of the terms whose share of disclosure reaches GENERALISE."""
-    spark = docs.sparkSession
     n_e = cands.groupBy("entity").agg(F.countDistinct("text_hash").alias("n_e"))
     pairs = written(cands.groupBy("entity", "term").agg(F.countDistinct("text_hash").alias("n_te")).where(F.col("n_te") >= SUPPORT).join(n_e, "entity"), "pairs")
-    terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    if not n_terms:
-        return spark.createDataFrame([], "entity string, term string, share double")
     texts = docs.where("text is not null").select("text", F.xxhash64("text").alias("text_hash"))
-    total = texts.select("text_hash").distinct().count()
+    sizes = texts.groupBy("text_hash").agg(F.count("*").alias("n")).agg(F.count("*").alias("total"), F.max("n").alias("copies")).first()
+    own = F.log2(F.lit(sizes.total) / F.col("n_e"))
+
+    def share(n_t: Column) -> Column:
+        mutual = F.log2(F.col("n_te") * F.lit(sizes.total) / (n_t * F.col("n_e")))
+        return F.when(own > 0, mutual / own).otherwise(0.0)
+
+    # a term's texts are at least its rows by the most copies of a text: what can't reach the threshold needs no exact count
+    rows = _of_terms(texts, pairs).groupBy("term").agg(F.count("*").alias("n_rows"))
+    least = F.greatest(F.col("n_te"), F.ceil(F.col("n_rows") / F.lit(sizes.copies)))
+    maybe = written(pairs.join(rows, "term").where(share(least) >= GENERALISE).drop("n_rows"), "pairs")
+    exact = _of_terms(texts, maybe).groupBy("term").agg(F.countDistinct("text_hash").alias("n_t"))
+    return maybe.join(exact, "term").select("entity", "term", share(F.col("n_t")).alias("share")).where(F.col("share") >= GENERALISE)
+
+
+def _of_terms(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(text_hash, term) of the rows of `texts` that have a term of `pairs`."""
+    terms = pairs.select("term").distinct()
     words = texts.select("text_hash", F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term"))
-    n_t = words.join(F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms, "term").groupBy("term").agg(F.countDistinct("text_hash").alias("n_t"))
-    mutual = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
-    own = F.log2(F.lit(total) / F.col("n_e"))
-    return pairs.join(n_t, "term").select("entity", "term", F.when(own > 0, mutual / own).otherwise(0.0).alias("share")).where(F.col("share") >= GENERALISE)
+    return words.join(F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms, "term")
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
