@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import small_batches
+from clausewise.llm.common import release, small_batches
 from clausewise.llm.pretokens import pretokens
 from clausewise.llm.wordblocks import Bucket, assemble, blocks, lookup, pack, unpack
 
@@ -132,25 +132,33 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         for batch in batches:
             got = [None if x is None else t.decode(x) for x in _each_list(batch.column(ids))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(got, pa.binary())], names=[*(f.name for f in keep), out])
+        release()
 
     return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + f", `{out}` binary")
 
 
-def with_id_hash(df: DataFrame, ids: str = "ids") -> DataFrame:
-    """Adds the number of ids and the hash of the ids as little-endian unsigned 32-bit integers."""
-    keep = list(df.schema)
+def round_trip(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """Replaces the ids by their number and hash (little-endian unsigned 32-bit integers) and the hash of the bytes they decode to."""
+    small_batches(df.sparkSession)
+    keep = [f for f in df.schema if f.name not in (ids, *_DIGEST)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = token_bytes(path)
         for batch in batches:
-            lists = list(_each_list(batch.column(ids)))
-            n = [None if x is None else len(x) for x in lists]
-            h = [None if x is None else hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(h, pa.string())], names=[*batch.schema.names, "n_tokens", "ids_sha256"])
+            rows = []
+            for x in _each_list(batch.column(ids)):
+                data = None if x is None else t.decode(x)
+                rows.append((None, None, None) if x is None else (len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), None if data is None else hashlib.sha256(data).hexdigest()))
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=[*(f.name for f in keep), *_DIGEST])
+        release()
+
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string"]))
+
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", n_tokens long, ids_sha256 string")
+_DIGEST = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Contract of op3."""
-    ids = with_id_hash(encode(docs, path, pattern))
-    return decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(encode(docs, path, pattern), path).select("doc_id", *_DIGEST)

@@ -28,10 +28,7 @@ from clausewise.llm.pretokens import pretokens
 #: Bytes of the pieces that go to the library at once.
 BATCH_BYTES = 256 << 10
 #: Piece lengths that a task remembers, and the longest piece that it remembers.
-REMEMBERED, LONGEST = 1_000_000, 64
-#: Characters of one call of the boundary search; longer texts are cut where it is safe.
-PART = 4 << 20
-
+REMEMBERED, LONGEST = 1 << 18, 64
 
 @cache
 def _library(path: str):

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import no_null, small_batches, steps, written
+from clausewise.llm.common import no_null, release, small_batches, steps, written
 
 #: Text bytes of a block, and words of one packed row of documents.
 BLOCK_BYTES = 16 << 20
@@ -126,6 +126,8 @@ def _maker(split: Split, n_buckets: int, dictionaries: bool, texts: bool):
                 numbers, ids, sizes, seqs, uses, held = _Numbers(), [], [], [], [], 0
         if ids:
             yield from flush()
+        numbers, ids, sizes, seqs, uses = _Numbers(), [], [], [], []
+        release()
 
     return run
 
@@ -158,6 +160,7 @@ def lookup(dictionaries: DataFrame, answer: Callable[[Bucket], Callable[[np.ndar
         bucket = Bucket(group)
         give = answer(bucket)
         values = [give(p) for p in bucket.places]
+        release()
         return pa.table([pa.array(bucket.blocks, pa.int64()), pa.array(bucket.ranks, pa.binary()), *(pa.array([v[i] for v in values], pa.binary()) for i in range(n_values))], names=["block", "ranks", *names])
 
     rows = dictionaries.select("block", "bucket", "words", "lengths", "ranks", "counts")
@@ -187,6 +190,7 @@ def assemble(texts: DataFrame, answers: DataFrame, each: Callable[[list, int], C
         if not docs.num_rows:
             return empty.empty_table()
         ranks = [np.cumsum(unpack(r, np.int32)) for r in found.column("ranks").to_pylist()]
+        release()
         make = each([ranks, found], sum(map(len, ranks)))
         return pa.concat_tables([make(i, np.array(s, np.int64), unpack(q, np.int32), u) for i, s, q, u in zip(*(docs.column(c).to_pylist() for c in ("ids", "sizes", "seq", "counted")))])
 
