@@ -1,66 +1,83 @@
-"""Chunks, packs and diverse selections: orders whose next step depends on the last, in grouped Arrow functions.
+"""Chunks, packs and diverse selections: orders whose next step depends on the last.
 
-Groups are one document, one run or one query's candidates, so they are small and independent.
+Each group (a document, a run, a query's candidates) becomes one row with its members in order, and
+an Arrow function folds over many such rows at a time. Groups are small and independent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 TARGET, MOST = 1800, 2400
 
 
-def _chunks(nodes: pd.DataFrame, target: int, most: int) -> Iterator[list[int]]:
-    """Places of the nodes of each chunk: a new one at a table, another section, a clause, or once the target is reached."""
-    open_: list[int] = []
-    size, section = 0, None
-    for i, (kind, where, text, clause) in enumerate(zip(nodes["kind"], nodes["section"], nodes["content"], nodes["clause"])):
-        n = len(text)
-        cut = kind == "TABLE" or where != section or clause or size >= target or size + n > most
-        if open_ and cut:
+def _folded(df: DataFrame, key: str, order: list, fold: Callable[[list[dict]], list[dict]], schema: StructType) -> DataFrame:
+    """Rows that `fold` makes of each key's rows, which it gets in order."""
+    members = F.array_sort(F.collect_list(F.struct(*[F.expr(o) if isinstance(o, str) else o for o in order], F.struct(*df.columns).alias("_row"))))
+    groups = df.groupBy(key).agg(members.alias("_rows")).select(F.transform("_rows", lambda x: x["_row"]).alias("rows"))
+    kind = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [r for rows in batch.column("rows").to_pylist() for r in fold(rows)]
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    return groups.mapInArrow(run, schema)
+
+
+def _chunks(rows: list[dict], target: int, most: int) -> Iterator[list[dict]]:
+    """The nodes of each chunk: a new one at a table, another section, a clause, or once the target is reached."""
+    open_: list[dict] = []
+    size = 0
+    for r in rows:
+        n = len(r["content"] or "")
+        if open_ and (r["kind"] == "TABLE" or r["section"] != open_[-1]["section"] or r["clause"] or size >= target or size + n > most):
             yield open_
             open_, size = [], 0
-        open_.append(i)
-        size, section = size + n, where
-        if kind == "TABLE":
+        open_.append(r)
+        size += n
+        if r["kind"] == "TABLE":
             yield open_
-            open_, size, section = [], 0, None
+            open_, size = [], 0
     if open_:
         yield open_
 
 
 def chunk_nodes(nodes: DataFrame, key: str, target: int = TARGET, most: int = MOST) -> DataFrame:
     """(key, chunk, first, last, n_nodes, n_chars) of nodes (key, order_no, kind, section, content, clause)."""
+    nodes = nodes.select(key, "order_no", "kind", "section", "content", "clause")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("order_no").reset_index(drop=True)
-        pdf["content"] = pdf["content"].fillna("")
-        rows = [(pdf[key].iloc[0], c, int(pdf.order_no[p[0]]), int(pdf.order_no[p[-1]]), len(p), int(sum(len(pdf.content[i]) for i in p))) for c, p in enumerate(_chunks(pdf, target, most))]
-        return pd.DataFrame(rows, columns=["key", "chunk", "first", "last", "n_nodes", "n_chars"])
+    def fold(rows: list[dict]) -> list[dict]:
+        return [
+            {key: p[0][key], "chunk": c, "first": p[0]["order_no"], "last": p[-1]["order_no"], "n_nodes": len(p), "n_chars": sum(len(r["content"] or "") for r in p)}
+            for c, p in enumerate(_chunks(rows, target, most))
+        ]
 
-    kind = dict(nodes.dtypes)[key]
-    out = nodes.select(key, "order_no", "kind", "section", "content", "clause").groupBy(key).applyInPandas(run, f"key {kind}, chunk int, first long, last long, n_nodes int, n_chars long")
-    return out.withColumnRenamed("key", key)
+    fields = [nodes.schema[key], *(StructField(n, t()) for n, t in (("chunk", IntegerType), ("first", LongType), ("last", LongType), ("n_nodes", IntegerType), ("n_chars", LongType)))]
+    return _folded(nodes, key, ["order_no"], fold, StructType(fields))
 
 
 def pack_batches(items: DataFrame, key: str, order: str, size: str, most_items: int, most_size: int, overhead: int = 0) -> DataFrame:
     """Adds `batch`: items in order, a new batch where the next item would be one too many or too large."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        batch, n, total, out = 0, 0, 0, []
-        for s in pdf[size]:
-            s += overhead
+    def fold(rows: list[dict]) -> list[dict]:
+        batch = n = total = 0
+        out = []
+        for r in rows:
+            s = r[size] + overhead
             if n and (n >= most_items or total + s > most_size):
                 batch, n, total = batch + 1, 0, 0
             n, total = n + 1, total + s
-            out.append(batch)
-        return pdf.assign(batch=out)
+            out.append({**r, "batch": batch})
+        return out
 
-    return items.groupBy(key).applyInPandas(run, ", ".join(f"`{c}` {t}" for c, t in items.dtypes) + ", batch int")
+    return _folded(items, key, [order], fold, StructType([*items.schema, StructField("batch", IntegerType())]))
 
 
 def diverse(candidates: DataFrame, query: str, limit: int, weight: float = 0.8) -> DataFrame:
@@ -68,13 +85,13 @@ def diverse(candidates: DataFrame, query: str, limit: int, weight: float = 0.8)
 
     Relevance is the score's share of the best one, or falls with the rank if no score is positive.
     """
+    candidates = candidates.select(query, "id", "score", "words")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        peak = pdf.score.max() if len(pdf) else 0
-        rel = pdf.score / peak if peak > 0 else pd.Series([1 - i / len(pdf) for i in range(len(pdf))])
-        words = [set(w) for w in pdf.words]
-        near, chosen, left = [0.0] * len(pdf), [], list(range(len(pdf)))
+    def fold(rows: list[dict]) -> list[dict]:
+        peak = rows[0]["score"]
+        rel = [r["score"] / peak if peak > 0 else 1 - i / len(rows) for i, r in enumerate(rows)]
+        words = [set(r["words"] or ()) for r in rows]
+        near, chosen, left = [0.0] * len(rows), [], list(range(len(rows)))
         while left and len(chosen) < limit:
             best = max(left, key=lambda i: (weight * rel[i] - (1 - weight) * near[i], -i))
             left.remove(best)
@@ -82,29 +99,28 @@ def diverse(candidates: DataFrame, query: str, limit: int, weight: float = 0.8)
             for i in left:
                 union = len(words[i] | words[best])
                 near[i] = max(near[i], len(words[i] & words[best]) / union if union else 0.0)
-        return pd.DataFrame({"query": pdf[query].iloc[chosen].values, "id": pdf.id.iloc[chosen].values, "place": range(len(chosen))})
+        return [{query: rows[i][query], "id": rows[i]["id"], "place": place} for place, i in enumerate(chosen)]
 
-    kind = dict(candidates.dtypes)
-    out = candidates.select(query, "id", "score", "words").groupBy(query).applyInPandas(run, f"query {kind[query]}, id {kind['id']}, place int")
-    return out.withColumnRenamed("query", query)
+    schema = StructType([candidates.schema[query], candidates.schema["id"], StructField("place", IntegerType())])
+    return _folded(candidates, query, [(-F.col("score")).alias("_s"), "id"], fold, schema)
 
 
 def merge_residues(nodes: DataFrame, key: str, short: int = 28) -> DataFrame:
-    """Adds `into`: the order_no of the node that a short residue joins, itself for others.
+    """Adds `into`: the order_no of the node that a short residue joins, its own for others.
 
-    A residue follows on the same page as an indexable node whose text doesn't end a sentence; a node that
-    takes a residue is longer and may take the next.
+    A residue follows on the same page a node whose text doesn't end a sentence; a node that takes a
+    residue is longer and may take the next.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("order_no")
-        into, last = [], None
-        for no, page, text in zip(pdf.order_no, pdf.page, pdf.content.fillna("")):
-            if last is not None and last[1] == page and 0 < len("".join(text.split())) <= short and not last[2].rstrip().endswith((".", "!", "?", "。", "；")):
-                last = (last[0], page, last[2] + text)
+    def fold(rows: list[dict]) -> list[dict]:
+        out, last = [], None
+        for r in rows:
+            text = r["content"] or ""
+            if last is not None and last[1] == r["page"] and 0 < len("".join(text.split())) <= short and not last[2].rstrip().endswith((".", "!", "?", "。", "；")):
+                last = (last[0], r["page"], last[2] + text)
             else:
-                last = (no, page, text)
-            into.append(last[0])
-        return pdf.assign(into=into)
+                last = (r["order_no"], r["page"], text)
+            out.append({**r, "into": last[0]})
+        return out
 
-    return nodes.groupBy(key).applyInPandas(run, ", ".join(f"`{c}` {t}" for c, t in nodes.dtypes) + ", into long")
+    return _folded(nodes, key, ["order_no"], fold, StructType([*nodes.schema, StructField("into", LongType())]))

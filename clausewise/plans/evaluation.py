@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from clausewise.operators.scores import rank_of_first
 
 _SPACES = " 　"
-#: Length of the code-point grams that narrow containment down to an equi-join.
-GRAM = 24
+#: Cases that are broadcast; more are looked up by their first `GRAM` characters.
+BROADCAST_CASES, GRAM = 4096, 24
 
 
 def squeezed(text):
@@ -20,11 +20,15 @@ def squeezed(text):
 def contained(cases: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, n_docs): in how many documents each case's text occurs, spaces aside.
 
-    A case that is long enough is looked up by its first `GRAM` characters among all grams of that
-    length of the documents; shorter ones are compared with every document in a nested loop.
+    A set of queries of checked size is held against all documents in one pass. A larger one is looked up
+    by first characters among all grams of that length of the documents; cases shorter than that
+    are still compared with every document.
     """
     c = cases.select("item_id", squeezed(F.col("text")).alias("needle"))
     d = docs.select("doc_id", squeezed(F.col("text")).alias("hay"))
+    if cases.limit(BROADCAST_CASES + 1).count() <= BROADCAST_CASES:
+        hits = d.join(F.broadcast(c), F.col("hay").contains(F.col("needle"))).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+        return cases.select("item_id").join(hits, "item_id", "left").na.fill(0, ["n_docs"])
     long = c.where(F.length("needle") >= GRAM).withColumn("gram", F.substring("needle", 1, GRAM))
     wanted = long.select("gram").distinct()
     at = F.sequence(F.lit(1), F.length("hay") - GRAM + 1)

@@ -117,7 +117,9 @@ def test_findings(spark):
     assert [tuple(r) for r in findings.merge_values(v, ["k"], "v", "c", ["i"]).collect()] == [(1, "p,q", 0.9)]
 
 
-def test_contained_short_and_long(spark):
+@pytest.mark.parametrize("most", [0, 10])
+def test_contained_short_and_long(spark, monkeypatch, most):
+    monkeypatch.setattr(evaluation, "BROADCAST_CASES", most)
     cases = spark.createDataFrame([(1, "short one"), (2, "a text of more than twenty four characters"), (3, "never")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "xx short  one"), (2, "a text of more thantwenty four characters!"), (3, ""), (4, None)], "doc_id long, text string")
     assert {r.item_id: r.n_docs for r in evaluation.contained(cases, docs).collect()} == {1: 1, 2: 1, 3: 0}
