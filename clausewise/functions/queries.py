@@ -31,3 +31,28 @@ def replace_codes(text: Column, labels: dict[str, str]) -> Column:
     for code, label in labels.items():
         text = F.regexp_replace(text, rf"\b{re.escape(code)}\b", label)
     return text
+
+
+def variants(text: Column, stop_words: list[str], most: int = 5) -> Column:
+    """Lexical forms of a question: itself, quoted phrases, clauses, itself without question words; no synonyms."""
+    t = F.trim(text)
+    quoted = F.regexp_extract_all(t, F.lit('"([^"]+)"'), 1)
+    clauses = F.split(t, "[、，,；;。.！!？?]+")
+    concise = t
+    for w in stop_words:
+        concise = F.trim(F.replace(concise, F.lit(w), F.lit("")))
+    every = F.transform(F.concat(F.array(t), quoted, clauses, F.array(concise)), lambda x: F.trim(x))
+    return F.slice(F.array_distinct(F.filter(every, lambda x: F.length(x) >= 2)), 1, most)
+
+
+def plan(text: Column, casual: list[str], fit: list[str], report: list[str], legal: list[str], project: list[str]) -> Column:
+    """Mode of retrieval: casual talk, enterprise fit, report, law, both with project facts, or project facts alone."""
+    low = F.lower(F.trim(text))
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: low.contains(w))
+    bare = F.regexp_replace(low, r"[\s，。！？!?、,.]+", "")
+    mixed = has(legal) | has(project)
+    return (
+        F.when(bare.isin(*casual), "CASUAL").when(has(fit), "ENTERPRISE_FIT")
+        .when(has(report), F.when(mixed, "HYBRID").otherwise("REPORT"))
+        .when(has(legal), F.when(has(project), "HYBRID").otherwise("LEGAL")).otherwise("PROJECT")
+    )
