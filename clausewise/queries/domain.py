@@ -147,15 +147,13 @@ def mmr_select(t: Tables):
     return chunking.diverse(d, "conv_id", 3)
 
 
-@query(r"""WITH d AS (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank, contains(replace(d.text, ' ', ''), replace(b.text, ' ', '')) AS hit
-FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40), f AS (SELECT item_id, min(CASE WHEN hit THEN rank END) AS first FROM d WHERE rank <= 10 GROUP BY 1)
-SELECT count(*) AS cases, count(*) FILTER (WHERE first <= 5) AS passed, 0 AS skipped, round_even(count(*) FILTER (WHERE first <= 5)::DOUBLE / count(*), 4) AS recall FROM f""")
+@query("""WITH h AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, contains(lower(text), 'tion') AS hit FROM conversations WHERE role = 'assistant'),
+f AS (SELECT conv_id, min(CASE WHEN hit THEN rank END) AS first FROM h GROUP BY 1)
+SELECT count(*) AS cases, count(*) FILTER (WHERE first <= 1) AS passed, 0 AS skipped, round_even(count(*) FILTER (WHERE first <= 1)::DOUBLE / count(*), 4) AS recall FROM f""")
 def eval_recall(t: Tables):
-    d = t.documents.select("doc_id", "text", (F.col("doc_id") % 40).alias("m"))
-    b = t.benchmark.select("item_id", F.col("text").alias("want"), (F.col("item_id") % 40).alias("m"))
-    hits = d.join(b, "m").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))).where("rank <= 10")
-    hit = evaluation.squeezed(F.col("text")).contains(evaluation.squeezed(F.col("want")))
-    return evaluation.recall_at(hits.select(F.col("item_id").alias("case_id"), "rank", hit.alias("hit")), 5)
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    hits = t.conversations.where("role = 'assistant'").select(F.col("conv_id").alias("case_id"), rank.alias("rank"), F.lower("text").contains("tion").alias("hit"))
+    return evaluation.recall_at(hits, 1)
 
 
 @query("""WITH g AS (SELECT doc_id, (contains(lower(text), 'the') OR contains(lower(text), 'der')) AND (contains(lower(text), 'license') OR contains(text, '@')) AS ok, lang FROM documents)

@@ -132,10 +132,10 @@ def doc_clean(t: Tables):
 # --- reads ---
 
 
-@query("""SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus <> 'P' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) ORDER BY o_orderpriority, o_orderkey LIMIT 300""")
+@query("""SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus <> 'P' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) ORDER BY o_orderpriority, o_orderkey""")
 def requirements_current(t: Tables):
     kept = t.orders.where("o_orderstatus <> 'P'").join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
-    return kept.orderBy("o_orderpriority", "o_orderkey").limit(300).select("o_orderkey", "o_orderpriority")
+    return kept.orderBy("o_orderpriority", "o_orderkey").select("o_orderkey", "o_orderpriority")
 
 
 @query("""SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents JOIN labels USING (doc_id) WHERE quality = 1""")
@@ -144,10 +144,10 @@ def evidence_chain(t: Tables):
     return rows.select("doc_id", "source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("place"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, p_name, o_orderdate FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey ORDER BY o_orderdate DESC, l_orderkey, l_linenumber, l_partkey LIMIT 100""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, p_name, o_orderdate FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey ORDER BY o_orderdate DESC, l_orderkey, l_linenumber, l_partkey""")
 def doc_tags_view(t: Tables):
     x = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return x.orderBy(F.desc("o_orderdate"), "l_orderkey", "l_linenumber", "l_partkey").limit(100).select("l_orderkey", "l_linenumber", "l_partkey", "p_name", "o_orderdate")
+    return x.orderBy(F.desc("o_orderdate"), "l_orderkey", "l_linenumber", "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "p_name", "o_orderdate")
 
 
 @query("""SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O') ORDER BY o_orderdate, o_orderkey LIMIT 50""")
@@ -193,9 +193,9 @@ def coalesce_source(t: Tables):
     return t.documents.join(l, "doc_id", "left").join(b, "doc_id", "left").select("doc_id", F.coalesce("l_id", "b_id", F.lit(-1)).alias("source_id"))
 
 
-@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING bool_and(role <> 'system') ORDER BY conv_id DESC LIMIT 40")
+@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING bool_and(role <> 'system') ORDER BY conv_id DESC")
 def conv_scope(t: Tables):
-    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("n"), F.bool_and(F.col("role") != "system").alias("own")).where("own").orderBy(F.desc("conv_id")).limit(40).select("conv_id", "n")
+    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("n"), F.bool_and(F.col("role") != "system").alias("own")).where("own").orderBy(F.desc("conv_id")).select("conv_id", "n")
 
 
 @query("""SELECT p_type, p_brand, a.p_partkey AS active FROM (SELECT DISTINCT p_type, p_brand FROM part) r LEFT JOIN (SELECT p_type AS t, p_brand AS b, max(p_partkey) AS p_partkey FROM part WHERE p_size > 40 GROUP BY ALL) a ON a.t = p_type AND a.b = p_brand""")

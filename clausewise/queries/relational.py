@@ -71,11 +71,9 @@ def parent_context(t: Tables):
     return c.join(p, on, "left").select("c.conv_id", "c.turn", F.coalesce("p.text", "c.text").alias("context"))
 
 
-@query("""SELECT d.doc_id, l.quality, row_number() OVER (ORDER BY l.quality ASC NULLS LAST, d.doc_id) AS place
-FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY l.quality ASC NULLS LAST, d.doc_id LIMIT 500""")
+@query("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY l.quality ASC NULLS LAST, d.doc_id")
 def nulls_last_sort(t: Tables):
-    top = t.documents.join(t.labels, "doc_id", "left").select("doc_id", "quality").orderBy(F.asc_nulls_last("quality"), "doc_id").limit(500)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("quality"), "doc_id")).cast("long"))
+    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", "quality").orderBy(F.asc_nulls_last("quality"), "doc_id")
 
 
 @query("""SELECT event_id, ts FROM events WHERE event_type = 'view' OR (event_type = 'click' AND ts < TIMESTAMP '2024-01-10')
@@ -196,9 +194,9 @@ def theta_contains_benchmark(t: Tables):
     return contained(t.benchmark, t.documents)
 
 
-@query("""SELECT o_orderkey, unnest(string_split(o_orderpriority, '-')) AS piece, generate_subscripts(string_split(o_orderpriority, '-'), 1) AS ordinal FROM orders WHERE o_orderkey % 10 < 5""")
+@query("""SELECT o_orderkey, unnest(string_split(o_orderpriority, '-')) AS piece, generate_subscripts(string_split(o_orderpriority, '-'), 1) AS ordinal FROM orders""")
 def lateral_ordinality(t: Tables):
-    return t.orders.where("o_orderkey % 10 < 5").select("o_orderkey", F.posexplode(F.split("o_orderpriority", "-")).alias("ordinal", "piece")).select("o_orderkey", "piece", (F.col("ordinal") + 1).cast("long").alias("ordinal"))
+    return t.orders.select("o_orderkey", F.posexplode(F.split("o_orderpriority", "-")).alias("ordinal", "piece")).select("o_orderkey", "piece", (F.col("ordinal") + 1).cast("long").alias("ordinal"))
 
 
 @query("""SELECT d.doc_id, coalesce(l.quality, CASE WHEN d.n_chars > 1000 THEN 1 ELSE 0 END) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)""")
@@ -329,9 +327,9 @@ def finding_merge(t: Tables):
 # --- sorting and limits ---
 
 
-@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_totalprice ASC, o_orderkey LIMIT 200")
+@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_totalprice ASC, o_orderkey")
 def sort_multi(t: Tables):
-    return t.orders.orderBy(F.desc("o_orderdate"), "o_totalprice", "o_orderkey").limit(200).select("o_orderkey", "o_orderdate", "o_totalprice")
+    return t.orders.orderBy(F.desc("o_orderdate"), "o_totalprice", "o_orderkey").select("o_orderkey", "o_orderdate", "o_totalprice")
 
 
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id OFFSET 40 LIMIT 20")
@@ -366,9 +364,9 @@ def decisive_top5(t: Tables):
     return ranking.first_per(t.orders.where("o_orderstatus <> 'F'"), ["o_custkey"], order, 5).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT event_type, event_id FROM events ORDER BY event_type, event_id LIMIT 50")
+@query("SELECT event_type, event_id FROM events ORDER BY event_type, event_id")
 def severity_lex(t: Tables):
-    return t.events.orderBy("event_type", "event_id").limit(50).select("event_type", "event_id")
+    return t.events.orderBy("event_type", "event_id").select("event_type", "event_id")
 
 
 @query("""SELECT source, max(doc_id) AS doc_id FROM documents GROUP BY source""")

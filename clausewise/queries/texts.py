@@ -91,9 +91,9 @@ def hard_window(t: Tables):
     return t.documents.select("doc_id", F.posexplode(T.windows(F.col("text"), 400, 50)).alias("place", "piece")).withColumn("place", F.col("place").cast("long"))
 
 
-@query("""SELECT doc_id, concat_ws(' / ', source, lang) || chr(10) || substring(text, 1, 300) AS context FROM documents""")
+@query("""SELECT doc_id, concat_ws(' / ', source, lang) || chr(10) || text AS context FROM documents""")
 def ctx_text(t: Tables):
-    return t.documents.select("doc_id", T.contextual([F.col("source"), F.col("lang"), F.col("source")], F.substring("text", 1, 300)).alias("context"))
+    return t.documents.select("doc_id", T.contextual([F.col("source"), F.col("lang"), F.col("source")], F.col("text")).alias("context"))
 
 
 @query("""SELECT page_id, kind, count(*) AS n, sum(length(trim(regexp_replace(cell, '<[^>]*>', '', 'g')))) AS n_chars FROM (
@@ -190,14 +190,14 @@ def tokens(t: Tables):
     return t.conversations.select("conv_id", "turn", F.array_join(kept, " ").alias("words"))
 
 
-@query("""WITH q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(substring(text, 1, 30)), '[^a-z0-9]+'), lambda x: length(x) >= 2))) AS w FROM benchmark),
+@query("""WITH q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2))) AS w FROM benchmark),
 d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2))) AS w FROM documents),
 n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1)
 SELECT item_id, doc_id FROM (SELECT item_id, doc_id, count(*) AS m FROM q JOIN d USING (w) GROUP BY ALL) JOIN n USING (item_id) WHERE m = n""")
 def lex_and_match(t: Tables):
     from clausewise.operators import scores
 
-    q = t.benchmark.select("item_id", F.explode(scores.tokens(F.substring("text", 1, 30))).alias("term"))
+    q = t.benchmark.select("item_id", F.explode(scores.tokens(F.col("text"))).alias("term"))
     return scores.all_terms(t.documents, "doc_id", "text", q, "item_id", "term").select("item_id", "doc_id")
 
 
