@@ -8,7 +8,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -100,10 +99,10 @@ def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> Dat
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of a folder as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    """A table of a folder as a stream of its files; the table is a file or a folder of part files, in any store that Spark reads."""
     path = f"{folder}/{name}.parquet"
-    is_folder = Path(path).is_dir() if "://" not in path else False
-    if is_folder:
+    schema = spark.read.parquet(path).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory():
         return spark.readStream.schema(schema).parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)

@@ -163,3 +163,11 @@ def test_stream_windows_equal_batch(spark, sf):
     want = sorted(map(str, flows.tumbling(batch, "1 day").select("window.start", "event_type", "n").collect()))
     got = flows.drained(spark, flows.tumbling(live, "1 day").select("window.start", "event_type", "n"), mode="complete").collect()
     assert sorted(map(str, got)) == want
+
+
+def test_stream_of_part_files(spark, sf, tmp_path):
+    """A table that is a folder of part files or one file, by a local path and by a URI."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for folder in (f"{tmp_path}", f"file://{tmp_path}", sf, f"file://{sf}"):
+        assert flows.drained(spark, flows.read_table(spark, folder, "events").select("event_id")).count() == events.count()
