@@ -60,3 +60,21 @@ def test_stages(spark, tmp_path):
 def test_nothing(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_by_row(spark, tmp_path):
+    """Rows with null or repeated ids and different texts stay; of a group one row does."""
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(None, own(0)), (None, own(1)), (5, own(2)), (5, own(3)), (3, own(4)), (7, own(5)), (7, own(4)), (None, own(4)), (None, own(6)), (None, own(6)), (9, own(7) + " a"), (8, own(7) + " b"), (4, own(8)), (4, own(8))]
+    # two rows without an id are one group of similar texts
+    rows += [(None, own(9) + " a"), (None, own(9) + " b")]
+    docs = spark.createDataFrame([Row(doc_id=i, text=t, n_chars=len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    last = [x for x in got if x[1].startswith(own(9))]
+    assert len(last) == 1 and last[0][0] is None
+    want = [(None, own(0)), (None, own(1)), (5, own(2)), (5, own(3)), (3, own(4)), (7, own(5)), (None, own(6)), (8, own(7) + " b"), (4, own(8))]
+    assert [x for x in got if x not in last] == sorted(want, key=str)
