@@ -1,15 +1,15 @@
 """Personal data: base patterns, and information-theoretic sanitisation of what reveals them.
 
 Base spans are found by pattern, leftmost and non-overlapping per kind, and validated. Their
-values are the protected entities. A term is a run of letters in the `WINDOW` characters on either
-side of an entity. Over all documents, the pointwise mutual information of term and entity,
+values are the protected entities. A term is a run of letters outside the base spans of a text that
+has the entity, however far from it. Over all texts, the pointwise mutual information of term and entity,
 
     log2(n(term, entity) * N / (n(term) * n(entity))),
 
 as a share of the entity's own information log2(N / n(entity)), says how much of the entity a
 reader learns from the term: 1 if the term is only found with it. Counts are numbers of distinct
 texts, so copies reveal nothing by themselves. A term with at least `SUPPORT` texts in common with
-the entity is removed from the entity's surroundings at a share of `REMOVE`, generalised from
+the entity is removed wherever it is in the entity's texts at a share of `REMOVE`, generalised from
 `GENERALISE`. Documents without an entity are left as they are.
 
 Everything is a DataFrame expression; matches, terms and counts are found without Python.
@@ -36,8 +36,8 @@ KINDS = [*PATTERNS, "term"]
 REPLACED = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 TERM = r"\p{L}{3,}+"
 GENERAL = "[TERM]"
-WINDOW, SUPPORT, GENERALISE, REMOVE = 80, 3, 0.8, 0.95
-#: Terms that may be broadcast.
+SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+#: Rows of small tables (pairs, entities, repeated texts) that may be broadcast.
 BROADCAST_ROWS = 1 << 20
 
 _SPAN = "struct<start:int,end:int,value:string>"
@@ -114,57 +114,68 @@ def _key(df: DataFrame) -> DataFrame:
     return df.withColumn("key", F.xxhash64("doc_id", "text", F.length("text")))
 
 
+def _masked(text: Column, base: Column) -> Column:
+    """The text with its base spans overwritten by as many digits: terms are found around them, at their places in the text."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def cover(acc: Column, x: Column) -> Column:
+        a, b = F.greatest(acc["at"], x["start"]), F.greatest(acc["at"], x["end"])
+        piece = F.concat(F.substring(text, acc["at"] + 1, a - acc["at"]), F.repeat(F.lit("0"), b - a))
+        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    whole = F.aggregate(base, start, cover, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, whole).otherwise(text)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(key, text_hash, entity, term, start, end) of the terms around the entities of `docs` (doc_id, text, key, base)."""
-    e = docs.where(F.size("base") > 0).select("key", "text", F.xxhash64("text").alias("text_hash"), F.explode("base").alias("e"))
-    lo = F.greatest(F.lit(0), F.col("e.start") - WINDOW)
-    sides = F.array(
-        F.struct(lo.alias("at"), F.substring(F.col("text"), lo + 1, F.col("e.start") - lo).alias("s")),
-        F.struct(F.col("e.end").alias("at"), F.substring(F.col("text"), F.col("e.end") + 1, F.lit(WINDOW)).alias("s")),
-    )
-    entity = F.concat_ws(":", F.col("e.kind").cast("string"), "e.value")
-    s = e.select("key", "text_hash", entity.alias("entity"), F.explode(sides).alias("w"))
-    s = s.select("key", "text_hash", "entity", "w.at", F.explode(located(F.col("w.s"), TERM)).alias("m"))
-    return s.select("key", "text_hash", "entity", F.lower("m.value").alias("term"), (F.col("at") + F.col("m.start")).alias("start"), (F.col("at") + F.col("m.end")).alias("end")).distinct()
+    """(key, text_hash, entities, found) of the rows of `docs` (text, key, base) that have entities; found: (start, end, term) of every term of the text."""
+    entities = F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"].cast("string"), b["value"])))
+    found = located(_masked(F.col("text"), F.col("base")), TERM)
+    terms = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lower(m["value"]).alias("term")))
+    rows = docs.where(F.size("base") > 0).select("key", F.xxhash64("text").alias("text_hash"), entities.alias("entities"), terms.alias("found"))
+    return rows.dropDuplicates(["key"])
 
 
-def disclosing(cands: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term, share) of the terms whose share of disclosure reaches GENERALISE."""
-    n_e = cands.groupBy("entity").agg(F.countDistinct("text_hash").alias("n_e"))
-    pairs = written(cands.groupBy("entity", "term").agg(F.countDistinct("text_hash").alias("n_te")).where(F.col("n_te") >= SUPPORT).join(n_e, "entity"), "pairs")
-    texts = docs.where("text is not null").select("text", F.xxhash64("text").alias("text_hash"))
-    sizes = texts.groupBy("text_hash").agg(F.count("*").alias("n")).agg(F.count("*").alias("total"), F.max("n").alias("copies")).first()
-    own = F.log2(F.lit(sizes.total) / F.col("n_e"))
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    def share(n_t: Column) -> Column:
-        mutual = F.log2(F.col("n_te") * F.lit(sizes.total) / (n_t * F.col("n_e")))
-        return F.when(own > 0, mutual / own).otherwise(0.0)
 
-    # a term's texts are at least its rows by the most copies of a text: what can't reach the threshold needs no exact count
-    rows = _of_terms(texts, pairs).groupBy("term").agg(F.count("*").alias("n_rows"))
-    least = F.greatest(F.col("n_te"), F.ceil(F.col("n_rows") / F.lit(sizes.copies)))
-    maybe = written(pairs.join(rows, "term").where(share(least) >= GENERALISE).drop("n_rows"), "pairs")
-    exact = _of_terms(texts, maybe).groupBy("term").agg(F.countDistinct("text_hash").alias("n_t"))
-    return maybe.join(exact, "term").select("entity", "term", share(F.col("n_t")).alias("share")).where(F.col("share") >= GENERALISE)
+def _distinct_texts(docs: DataFrame) -> DataFrame:
+    """(text, text_hash): each text of `docs` once. Only texts that occur again are moved."""
+    texts = docs.where("text is not null").select("text", F.xxhash64("text").alias("text_hash"))
+    again = _small(written(texts.groupBy("text_hash").agg(F.count("*").alias("n")).where("n > 1").select("text_hash"), "again"))
+    return texts.join(again, "text_hash", "left_anti").unionByName(texts.join(again, "text_hash", "left_semi").dropDuplicates(["text_hash"]))
 
 
-def _of_terms(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(text_hash, term) of the rows of `texts` that have a term of `pairs`."""
-    terms = pairs.select("term").distinct()
-    words = texts.select("text_hash", F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term"))
-    return words.join(F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms, "term")
+def disclosing(cands: DataFrame, docs: DataFrame) -> DataFrame:
+    """(entity, term, share) of the terms whose share of disclosure reaches GENERALISE."""
+    each = cands.dropDuplicates(["text_hash"]).select(F.explode("entities").alias("entity"), F.array_distinct(F.transform("found", lambda x: x["term"])).alias("terms"))
+    # a term can't have more texts in common with an entity than the entity has
+    n_e = written(each.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT), "entities")
+    both = each.join(_small(n_e), "entity").select("entity", "n_e", F.explode("terms").alias("term"))
+    pairs = _small(written(both.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT), "pairs"))
+
+    texts = _distinct_texts(docs)
+    words = F.transform(F.regexp_extract_all(_masked(F.col("text"), F.col("base")), F.lit(TERM), F.lit(0)), F.lower)
+    n_t = with_base(texts).select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    total = docs.where("text is not null").agg(F.countDistinct(F.xxhash64("text")).alias("n")).first().n
+    own = F.log2(F.lit(total) / F.col("n_e"))
+    mutual = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
+    share = F.when(own > 0, mutual / own).otherwise(0.0)
+    return n_t.join(pairs, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text and more) with `base` and `terms`: (start, end, share) of the disclosing terms."""
     rows = _key(with_base(docs))
-    cands = written(candidates(rows.select("doc_id", "text", "key", "base")), "candidates")
-    told = disclosing(cands, docs)
-    terms = cands.join(told, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("share").alias("share")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("found"))
-    out = rows.join(terms, "key", "left").drop("key")
-    none = F.array().cast("array<struct<start:int,end:int,share:double>>")
-    outside = F.filter(F.coalesce("found", none), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return out.withColumn("terms", outside).drop("found")
+    cands = written(candidates(rows.select("text", "key", "base")), "candidates")
+    told = written(disclosing(cands, docs), "told")
+    entities = _small(written(told.select("entity").distinct(), "told-entities"))
+    found = cands.select("key", F.explode("entities").alias("entity"), "found").join(entities, "entity", "left_semi").select("key", "entity", F.explode("found").alias("m"))
+    found = found.select("key", "entity", "m.*").join(_small(told), ["entity", "term"])
+    terms = found.groupBy("key", "start", "end").agg(F.max("share").alias("share")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+    out = rows.drop("terms").join(terms, "key", "left").drop("key")
+    return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

@@ -82,3 +82,18 @@ def test_sanitised_text(spark):
     got = sorted(((r.doc_id, r.text, r.lang) for r in sanitise.sanitised(d).collect()), key=str)
     assert got == sorted([(1, "mail [EMAIL], ip [IP]", "en"), (2, None, None), (2, None, None), (None, "[PHONE], [CARD]", "de")], key=str)
     assert sanitise.digest(d.limit(0)).count() == 0
+
+
+def test_whole_texts(spark):
+    """A disclosing term counts and goes wherever it is in an entity's texts, at any distance; letters of a cut word are no term."""
+    pad = "alpha beta gamma delta " * 12
+    texts = [f"{pad} plain{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    texts += [f"Grimalkin {pad}{x} boss@acme.org {x} {pad} signed grimalkin" for x in ("one", "two", "three", "four")]
+    texts += [f"{pad} Hobbes {pad}{x}" for x in ("one", "two", "three", "four")] + ["Grimalkin without"]
+    d = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in sanitise.sanitised(d).collect()}
+    assert all("grimalkin" not in out[i].lower() and "[EMAIL]" in out[i] and "alpha beta" in out[i] for i in range(60, 64))
+    assert all(out[i] == texts[i] for i in range(len(texts)) if not 60 <= i < 64)
+    got = {r.doc_id: r.spans for r in sanitise.digest(d).collect()}
+    spans = [x for x in got[60].split(",") if x.startswith("term")]
+    assert spans == [f"term:{m.start()}:{m.end()}" for m in re.finditer("(?i)grimalkin|signed", texts[60])]
