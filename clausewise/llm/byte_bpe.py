@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from clausewise.llm.common import release, small_batches
 from clausewise.llm.pretokens import pretokens
-from clausewise.llm.wordblocks import Bucket, assemble, blocks, lookup, pack, unpack
+from clausewise.llm.wordblocks import BLOCK_BYTES, Bucket, assemble, blocks, lookup, pack, unpack
 
 #: ids that are decoded at once.
 STEP_IDS = 1 << 20
@@ -42,9 +42,9 @@ def library(path: str, pattern: str):
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (doc_id, ids) with the ids of every text under the ranks at `path`; `docs` as from files (see wordblocks)."""
-    dictionaries, texts = blocks(docs.select("doc_id", F.col(text).alias("text")), pretokens, keep=False)
+    dictionaries, texts = blocks(docs.select("doc_id", F.col(text).alias("text")), pretokens, keep=False, block_bytes=block_bytes)
 
     def answer(bucket: Bucket):
         enc = library(path, pattern).encode_ordinary
@@ -159,6 +159,6 @@ def round_trip(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 _DIGEST = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, **sizes: int) -> DataFrame:
     """Contract of op3."""
-    return round_trip(encode(docs, path, pattern), path).select("doc_id", *_DIGEST)
+    return round_trip(encode(docs, path, pattern, **sizes), path).select("doc_id", *_DIGEST)

@@ -1,45 +1,61 @@
 """Language-model scoring by a probabilistic suffix tree over tokens.
 
-Tokens are lower-cased words and one end a text. A context is the one to `DEPTH` tokens before a
-token. The root's next-token distribution is that of all training tokens with one added to each
-count and to a single unseen token; every other context mixes its counts with its suffix's
-distribution (`MU` pseudo-counts). A context stays in the tree only where its own counts predict
-its next tokens better than its suffix does: the sum of log ratios, each occurrence left out of
-its own prediction, must reach `GAIN` bits. A token is predicted from the longest suffix of what
-precedes it that is in the tree.
-
-All words are counted exactly, by the distinct-word shuffle of wordblocks. The tree has bounded
-size (the `CONTEXT_WORDS` most frequent words form contexts, the `SYMBOLS` most frequent ones have
-probabilities of their own in them, `CONTEXTS` contexts a level stay, the most telling first), so
-it is broadcast; any other token takes its root probability times what the contexts leave.
+Tokens are lower-cased words and one end a text. A context is one or more tokens before a token,
+of any length. The root's next-token distribution is that of all training tokens with one added
+to each count and to a single unseen token; every other context of the tree mixes its counts with its suffix's
+distribution (`MU` pseudo-counts). A context is in the tree if its own counts n(x), N in all, predict its
+next tokens better than the longest of its suffixes in the tree does, each occurrence left out of its own
+prediction:
+
+    sum over x of n(x) * log2((n(x) - 1) / p(x) + MU) - N * log2(N - 1 + MU)  >=  price(tokens).
+
+p is rounded to 1/64 bit in this test. A longer context costs more, so that depth grows with the logarithm of what
+the corpus has to tell. A context is extended by one token while some extension could pass: while the
+sum of max(0, n(x) * log2(((n(x) - 1) / p(x) + MU) / (n(x) - 1 + MU))), which no single extension can
+exceed, reaches the next price. A token is predicted from the longest suffix of what precedes it that
+is in the tree.
+
+The tree is never in one place. Level by level, each block of texts (see wordblocks) sends
+how often its open contexts are followed by which tokens; these are dealt over buckets by hash of the context, so
+that a bucket sums whole contexts, tests them and answers the blocks that asked. A context with
+more than `SPLIT` occurrences is dealt over several buckets by next token, and their sums are added
+up (there are at most tokens / `SPLIT` such contexts). The first `AGAIN` levels of a block are
+made again from its texts and the answers for each level; after that only the texts that still have open contexts are
+written and go on. Nothing is left out for size: words, contexts, next tokens and depth grow with the corpus.
+A block leaves out only what its own bounds on counts show can't pass.
 
 Edge cases: null text counts as empty and has one token, its end. A null doc_id counts as the
-empty id and trains. Without training rows every token has probability 1 and all counts are 0.
+empty id and trains. Without training rows every token has probability 1 and all counts are 0. Contexts are told
+apart by 64-bit hashes of their tokens.
 """
 
 from __future__ import annotations
 
+import gc
 import math
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import id_crc, written
-from clausewise.llm.wordblocks import Bucket, assemble, blocks, lookup, pack, unpack, unpack_words, vocabulary
+from clausewise.llm.common import id_crc, release, written
+from clausewise.llm.wordblocks import BLOCK_BYTES, Bucket, blocks, lookup, n_buckets, pack, unpack
 
-DEPTH = 2
-#: Numbers of words that have a number in contexts, and as next tokens.
-CONTEXT_WORDS, SYMBOLS = 1 << 12, 1 << 16
-#: Contexts of a level, and rows of all their distributions, at most.
-CONTEXTS, ROWS = 1 << 14, 1 << 21
-#: Least gain of a context in bits, and pseudo-counts that go to its suffix.
-GAIN, MU = 16.0, 8.0
-END, OTHER = SYMBOLS, SYMBOLS + 1  # next tokens besides words with numbers
-_BITS = 17  # of a next token
+#: Pseudo-counts that go to the suffix.
+MU = 8.0
+#: Occurrences from which a context is dealt over several buckets, and levels that are made again from the texts.
+SPLIT, AGAIN = 1 << 21, 3
+#: Text bytes whose contexts one bucket sums.
+BUCKET_BYTES = 32 << 20
+_UNIT = 64  # rounding of log2 probabilities in the test
+_M = np.uint64(0x9E3779B97F4A7C15)
+
+
+def price(tokens: int) -> float:
+    """Bits that a context of so many tokens must gain."""
+    return 12.0 + 2.0 ** (tokens + 1)
 
 
 def words(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
@@ -48,229 +64,390 @@ def words(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     return [w for x in lists for w in x], np.fromiter(map(len, lists), np.int64, len(lists))
 
 
-@dataclass
-class Tree:
-    """`root`: log10 probability by next token; by level, sorted contexts with the log10 of what they leave, and (context, next) numbers with theirs."""
-
-    root: np.ndarray
-    contexts: list[np.ndarray] = field(default_factory=list)
-    left: list[np.ndarray] = field(default_factory=list)
-    keys: list[np.ndarray] = field(default_factory=list)
-    logs: list[np.ndarray] = field(default_factory=list)
-
-    def log(self, contexts: list[np.ndarray], symbol: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 probability of next tokens; contexts[d]: the number of the d + 1 tokens before, -1 if there is none."""
-        out, open_ = np.zeros(len(symbol)), np.arange(len(symbol))
-        for d in range(min(len(contexts), len(self.contexts)) - 1, -1, -1):
-            if not len(self.contexts[d]):
-                continue
-            c = contexts[d][open_]
-            i = np.minimum(np.searchsorted(self.contexts[d], c), len(self.contexts[d]) - 1)
-            inside = self.contexts[d][i] == c
-            mine = open_[inside]
-            k = c[inside] << _BITS | symbol[mine]
-            hit = np.zeros(len(mine), bool)
-            if len(self.keys[d]):
-                j = np.minimum(np.searchsorted(self.keys[d], k), len(self.keys[d]) - 1)
-                hit = self.keys[d][j] == k
-                out[mine[hit]] += self.logs[d][j[hit]]
-            out[mine[~hit]] += self.left[d][i[inside][~hit]]
-            done = np.zeros(len(open_), bool)
-            done[np.flatnonzero(inside)[hit]] = True
-            open_ = open_[~done]
-        out[open_] += root[open_]
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _bits(x: np.ndarray) -> int:
+    return int(x.max()).bit_length() if len(x) else 0
+
+
+def numbered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pairs (a, b) in their order, and the first place of each pair."""
+    n, low = len(a), _bits(b)
+    place = max(n - 1, 0).bit_length()
+    if _bits(a) + low + place > 64:  # rare: blocks of very many words
+        _, first, number = np.unique(a.astype(np.uint64) << np.uint64(low) | b.astype(np.uint64), return_index=True, return_inverse=True)
+        return number, first
+    z = a.astype(np.uint64) << np.uint64(low + place)
+    z |= b.astype(np.uint64) << np.uint64(place)
+    z |= np.arange(n, dtype=np.uint64)
+    z.sort()
+    at = (z & np.uint64((1 << place) - 1)).astype(np.int64)
+    z >>= np.uint64(place)
+    new = np.ones(n, bool)
+    new[1:] = z[1:] != z[:-1]
+    number = np.empty(n, np.int64)
+    number[at] = np.cumsum(new) - 1
+    return number, at[new]
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits if they fit."""
+    return x.astype(np.uint32) if not len(x) or int(x.max()) < 1 << 32 else x.astype(np.uint64)
+
+
+def pack_counts(x: np.ndarray) -> bytes:
+    x = _small(x)
+    return bytes([x.itemsize]) + pack(x)
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return unpack(data[1:], np.uint32 if data[0] == 4 else np.uint64).astype(np.int64)
+
+
+def best_gain(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What a context gains that is followed by one token only, n times; p: log2 probability by its suffix."""
+    return np.where(n > 1, n * np.log2((np.maximum(n - 1, 0) * np.exp2(-p) + MU) / (np.maximum(n - 1, 0) + MU)), 0.0)
+
+
+def rounded(p: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(-_UNIT * p), 32767).astype(np.int16)
+
+
+class Texts:
+    """The tokens of a block's texts with what is known of each: log2 probability so far, bound on the count of its context and itself, open context."""
+
+    def __init__(self, ids: list, sizes: np.ndarray, trains: np.ndarray, tokens: np.ndarray, symbols: np.ndarray, split: int):
+        """`sizes` and `tokens` with the ends; `symbols` has the numbers of the tokens in the corpus."""
+        self.ids, self.sizes, self.trains, self.tokens, self.symbols, self.split = ids, sizes, trains, tokens.astype(np.int32), symbols, split
+        ends = np.cumsum(sizes)
+        self.place = (np.arange(len(tokens)) - np.repeat(ends - sizes, sizes)).astype(np.int32)
+        self.own = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.train = np.repeat(trains, sizes)
+        self.hash = mixed((symbols.astype(np.uint64) + np.uint64(1)) * _M)
+        self.level, self.keys = 0, np.zeros(1, np.uint64)
+        self.open, self.number = np.arange(len(tokens)), np.zeros(len(tokens), np.int32)
+
+    @classmethod
+    def start(cls, ids: list, sizes: np.ndarray, trains: np.ndarray, seq: np.ndarray, symbols: np.ndarray, counts: np.ndarray, model: Model) -> Texts:
+        """Texts of words, with the words' numbers and counts in the corpus."""
+        ends = np.cumsum(sizes + 1) - 1
+        tokens = np.full(len(seq) + len(sizes), len(symbols), np.int64)
+        word = np.ones(len(tokens), bool)
+        word[ends] = False
+        tokens[word] = seq
+        out = cls(ids, sizes + 1, trains, tokens, np.append(symbols, 0), model.split)
+        counts = np.append(counts, model.n_texts)
+        out.bound = counts[tokens]
+        out.p = np.log2(counts + 1.0)[tokens] - model.below
+        out.known = np.bincount(out.own, out.bound > 0, len(sizes)).astype(np.int64)
+        out.base = np.bincount(out.own, out.p, len(sizes))
+        return out
+
+    def ask(self) -> None:
+        """Goes to the next level: numbers the open contexts and what follows them, but for those that can't pass."""
+        self.level += 1
+        d = self.level
+        i, number = self.open, self.number
+        ok = self.place[i] >= d
+        i, number = i[ok], number[ok]
+        total = self.bound[i - 1]  # of the context, at most
+        most = np.minimum(total, self.bound[i])  # of the context and the token
+        ok = total >= 3
+        two = np.flatnonzero(total == 2)
+        ok[two] = ~self.train[i[two]] | ((most[two] == 2) & (best_gain(most[two], -rounded(self.p[i[two]]) / _UNIT) >= price(d)))
+        self.at, total, most, number = i[ok], total[ok], most[ok], number[ok]
+        before = self.tokens[self.at - d]
+        self.number, first = numbered(number, before)
+        self.keys = mixed(self.keys[number[first]] * _M + self.hash[before[first]] + np.uint64(d))
+        # bounds of all tokens at this level; those asked for get exact counts
+        inside = self.place >= d
+        self.bound[1:] = np.where(inside[1:], np.minimum(self.bound[1:], self.bound[:-1]), self.bound[1:])
+        self.gram, self.first = numbered(self.number, self.tokens[self.at])
+        context = self.number[self.first]
+        self.symbol = self.tokens[self.at[self.first]]
+        self.told = most[self.first] >= 2  # what may occur twice, whose probability is needed
+        self.parts = (1 + total // self.split)[self.first]
+        key = self.keys[context]
+        self.hot = self.parts > 1
+        part = self.hash[self.symbol] % self.parts.astype(np.uint64)
+        self.dealt = np.where(self.hot, mixed(key + part * _M) | np.uint64(1), key & ~np.uint64(1))
+        # in order of their hashes (of its first bits; the rest only has to be the same each time)
+        place = np.uint64(max(len(key) - 1, 0).bit_length())
+        z = (self.dealt >> place << place) | np.arange(len(key), dtype=np.uint64)
+        z.sort()
+        self.order = (z & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+        self.sorted = self.dealt[self.order]
+        self.starts = np.flatnonzero(np.append(True, self.sorted[1:] != self.sorted[:-1])) if len(key) else np.zeros(0, np.int64)
+
+    def questions(self, buckets: int) -> Iterator[tuple]:
+        """(bucket, hashes, number of next tokens of each, next tokens, log2 probabilities, counts), packed, by bucket."""
+        n = np.bincount(self.gram, self.train[self.at], len(self.first)).astype(np.int64)[self.order]
+        p = np.where(self.told, rounded(self.p[self.at[self.first]]), 0).astype(np.int16)[self.order]
+        symbol = self.symbols[self.symbol][self.order]
+        keys, sizes = self.sorted[self.starts], np.diff(np.append(self.starts, len(self.order)))
+        if not len(keys):
+            return
+        bucket = bucket_of(keys, buckets)
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(keys))
+        ends = np.append(self.starts, len(self.order))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            s = slice(int(ends[a]), int(ends[b]))
+            yield int(bucket[a]), pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack_counts(sizes[a:b]), pack_counts(symbol[s]), pack(p[s]), pack_counts(n[s])
+
+    def take(self, totals: np.ndarray, more: np.ndarray, counts: np.ndarray, hot: dict[int, tuple[float, float, float]]) -> None:
+        """The answers, in order of the questions: each context's total if it is in the tree, if it stays open, counts."""
+        sizes = np.diff(np.append(self.starts, len(self.order)))
+        total, stays, n = (np.empty(len(self.order), t) for t in (np.int64, bool, np.int64))
+        total[self.order], stays[self.order], n[self.order] = np.repeat(totals, sizes), np.repeat(more, sizes), counts
+        told = stays | (total > 0)
+        of = self.number[self.first]
+        for c in np.unique(of[self.hot]).tolist():
+            mine = np.flatnonzero((of == c) & self.hot)
+            parts = mixed(self.keys[c] + np.arange(int(self.parts[mine[0]]), dtype=np.uint64) * _M) | np.uint64(1)
+            sums = np.sum([hot.get(k, (0.0, 0.0, 0.0)) for k in parts.tolist()], 0)
+            total[mine], stays[mine] = verdict(self.level, *sums)
+            told[mine] = True
+        g = self.gram
+        p = self.p[self.at]
+        inside = total[g] > 0
+        i = self.at[inside]
+        self.p[i] = np.log2((n[g][inside] + MU * np.exp2(p[inside])) / (total[g][inside] + MU))
+        exact = told[g]
+        self.bound[self.at[exact]] = n[g][exact]
+        go = stays[g]
+        self.open, self.number = self.at[go], self.number[go]
+
+    def sums(self) -> np.ndarray:
+        """log10 probability of each text."""
+        return np.bincount(self.own, self.p, len(self.sizes)) * math.log10(2)
+
+    def rest(self) -> tuple[np.ndarray, Texts | None]:
+        """Which texts are done, and the others."""
+        going = np.zeros(len(self.sizes), bool)
+        going[self.own[self.open]] = True
+        if not going.any():
+            return ~going, None
+        stay = going[self.own]
+        used, tokens = np.unique(self.tokens[stay], return_inverse=True)
+        out = Texts([x for x, g in zip(self.ids, going.tolist()) if g], self.sizes[going], self.trains[going], tokens, self.symbols[used], self.split)
+        out.level, out.known, out.base, out.p, out.bound = self.level, self.known[going], self.base[going], self.p[stay], self.bound[stay]
+        place = np.cumsum(stay) - 1
+        out.open = place[self.open]
+        numbers, out.number = np.unique(self.number, return_inverse=True)
+        out.keys = self.keys[numbers]
+        return ~going, out
+
+    def stored(self) -> list[bytes]:
+        return [pack_counts(self.sizes), pack(self.trains.astype(np.uint8)), pack_counts(self.tokens.astype(np.int64)), pack_counts(self.symbols), pack_counts(np.array([self.level])), pack_counts(self.known), pack(self.base), pack(self.p), pack_counts(self.bound), pack_counts(np.diff(self.open, prepend=0)), pack_counts(self.number), pack(self.keys)]
+
+    @classmethod
+    def read(cls, ids: list, parts: list[bytes], split: int) -> Texts:
+        sizes, tokens, symbols, level, known, bound, open_, number = (unpack_counts(parts[i]) for i in (0, 2, 3, 4, 5, 8, 9, 10))
+        out = cls(ids, sizes, unpack(parts[1], np.uint8).astype(bool), tokens, symbols, split)
+        out.level, out.known, out.base, out.p, out.bound = int(level[0]), known, unpack(parts[6], np.float64), unpack(parts[7], np.float64), bound
+        out.open, out.number, out.keys = np.cumsum(open_), number, unpack(parts[11], np.uint64)
         return out
 
-    def shorter(self, ctx: np.ndarray, symbol: np.ndarray, depth: int) -> np.ndarray:
-        """log10 probability of next tokens by the suffixes of contexts of `depth` tokens."""
-        return self.log([ctx % CONTEXT_WORDS ** (e + 1) for e in range(depth - 1)], symbol, self.root[symbol])
-
-
-def context_numbers(seq: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """For every token of the texts, ends included: numbers of its contexts by length, and where the ends are.
-
-    `seq` has the numbers of all texts' words, -1 for one without. A context's last token is its lowest digit.
-    """
-    n = len(seq) + len(sizes)
-    ends = np.cumsum(sizes + 1) - 1
-    tokens = np.full(n, -1, np.int64)
-    is_end = np.zeros(n, bool)
-    is_end[ends] = True
-    tokens[~is_end] = seq
-    usable = np.where(tokens < CONTEXT_WORDS, tokens, -1)
-    place = np.arange(n) - np.repeat(ends - sizes, sizes + 1)
-    found, whole = [], np.zeros(n, np.int64)
-    for d in range(DEPTH):
-        before = np.full(n, -1, np.int64)
-        before[d + 1 :] = usable[: n - d - 1]
-        ok = (place > d) & (before >= 0) & (whole >= 0)
-        whole = np.where(ok, whole + before * CONTEXT_WORDS**d, -1)
-        found.append(whole)
-    return found, is_end
-
-
-def gains(group: pa.Table, tree: Tree, depth: int) -> pd.DataFrame:
-    """Of a bucket of contexts: (ctx, sym, n, total, gain) of those that pass the divergence test; sym OTHER stands for the context itself."""
-    key = np.concatenate([np.cumsum(unpack(k, np.int64)) for k in group.column("keys").to_pylist()])
-    keys, where = np.unique(key, return_inverse=True)
-    n = np.bincount(where, np.concatenate([unpack(c, np.int64) for c in group.column("n").to_pylist()]), len(keys))
-    ctx, sym = keys >> _BITS, keys & (1 << _BITS) - 1
-    own, start = np.unique(ctx, return_index=True)
-    total = np.add.reduceat(n, start)
-    each = np.repeat(np.arange(len(own)), np.diff(np.append(start, len(ctx))))
-    log_p = np.where(sym == OTHER, 0.0, tree.shorter(ctx, np.where(sym == OTHER, 0, sym), depth))
-    seen_again = np.where(sym == OTHER, 0, n - 1)
-    ratio = np.log2(seen_again / 10.0**log_p + MU) - np.log2(total[each] - 1 + MU)
-    gain = np.add.reduceat(n * ratio, start)
-    keep = (gain >= GAIN)[each] & ((n >= 2) | (sym == OTHER)) & (sym != OTHER)
-    rows = pd.DataFrame({"ctx": ctx[keep], "sym": sym[keep].astype(np.int32), "n": n[keep].astype(np.int64), "total": total[each][keep].astype(np.int64), "gain": gain[each][keep]})
-    return rows
-
-
-_GAINS = "ctx long, sym int, n long, total long, gain double"
-
-
-def _tester(model, depth: int):
-    def test(group: pa.Table) -> pa.Table:
-        return pa.Table.from_pandas(gains(group, model.value, depth), preserve_index=False)
-
-    return test
-
-
-def grow(spark: SparkSession, counts: DataFrame, root: np.ndarray) -> Tree:
-    """The tree, level by level: each level is tested against the levels before it."""
-    tree = Tree(root)
-    rows = ROWS
-    for depth in range(1, DEPTH + 1):
-        test = _tester(spark.sparkContext.broadcast(tree), depth)
-        passed = written(counts.where(F.col("depth") == depth).select("bucket", "keys", "n").groupBy("bucket").applyInArrow(test, _GAINS), "gains")
-        best = passed.groupBy("ctx").agg(F.max("gain").alias("gain"), F.count("*").alias("kinds"), F.max("total").alias("total")).orderBy(F.desc("gain"), "ctx").limit(CONTEXTS).toPandas()
-        best = best[best.kinds.cumsum() <= rows]
-        rows -= int(best.kinds.sum())
-        kept = passed.join(F.broadcast(spark.createDataFrame(best[["ctx"]].astype("int64"), "ctx long")), "ctx", "left_semi").select("ctx", "sym", "n", "total").toPandas() if len(best) else pd.DataFrame({"ctx": [], "sym": [], "n": [], "total": []}).astype("int64")
-        best, kept = best.sort_values("ctx"), kept.astype("int64").sort_values(["ctx", "sym"])
-        ctx, sym = kept.ctx.to_numpy(np.int64), kept.sym.to_numpy(np.int64)
-        shorter = 10.0 ** tree.shorter(ctx, sym, depth)
-        logs = np.log10((kept.n.to_numpy() + MU * shorter) / (kept.total.to_numpy() + MU)) if len(ctx) else np.zeros(0)
-        own = np.searchsorted(best.ctx.to_numpy(np.int64), ctx)
-        taken = np.bincount(own, (kept.n.to_numpy() + MU * shorter) / (kept.total.to_numpy() + MU), len(best)) if len(ctx) else np.zeros(0)
-        short = np.bincount(own, shorter, len(best)) if len(ctx) else np.zeros(0)
-        tree.contexts.append(best.ctx.to_numpy(np.int64))
-        tree.left.append(np.log10((1 - taken) / (1 - short)))
-        tree.keys.append(ctx << _BITS | sym)
-        tree.logs.append(logs)
-    return tree
-
-
-OUT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-_EMPTY = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-_COUNTS = pa.schema([("depth", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
-
-
-def most_frequent(vocab: DataFrame, k: int) -> pd.DataFrame:
-    """The k most frequent words with their counts, equal counts by bytes; each task sends its own k most frequent at most."""
-
-    def run(batches):
-        for batch in batches:
-            for data, lengths, counts in zip(*(batch.column(c).to_pylist() for c in ("words", "lengths", "counts"))):
-                ws, n = unpack_words(data, lengths), unpack(counts, np.int64)
-                keep = np.flatnonzero(n)
-                keep = keep[np.argsort(-n[keep], kind="stable")][: 4 * k] if len(keep) > 4 * k else keep
-                yield pa.RecordBatch.from_arrays([pa.array([ws[i] for i in keep.tolist()], pa.binary()), pa.array(n[keep])], names=["word", "n"])
-
-    return vocab.mapInArrow(run, "word binary, n long").orderBy(F.desc("n"), "word").limit(k).toPandas()
-
-
-def score_all(docs: DataFrame, trains) -> DataFrame:
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of hashes."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def verdict(level: int, total: np.ndarray, told: np.ndarray, could: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts of `level` tokens: the total of those that pass, else 0, and whether they are extended."""
+    gain = told - total * np.log2(np.maximum(total, 1) - 1 + MU)
+    return np.where((gain >= price(level)) & (total > 0), total, 0).astype(np.int64), could >= price(level + 1)
+
+
+def judged(level: int):
+    """Of a bucket's questions: answers to each block, and sums of parts of contexts that are dealt over several buckets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        asked = [group.column(c).to_pylist() for c in ("block", "bucket", "a", "b", "c", "d", "e")]
+        keys = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in asked[2]]
+        sizes = [unpack_counts(x) for x in asked[3]]
+        every = np.unique(np.concatenate(keys))
+        own = [np.searchsorted(every, k) for k in keys]
+        context = np.concatenate([np.repeat(o, s) for o, s in zip(own, sizes)])
+        symbols = np.concatenate([unpack_counts(x) for x in asked[4]])
+        gram, first = numbered(context, np.searchsorted(np.unique(symbols), symbols))
+        n = np.bincount(gram, np.concatenate([unpack_counts(x) for x in asked[6]]), len(first))
+        del symbols
+        p, of = -np.concatenate([unpack(x, np.int16) for x in asked[5]])[first] / _UNIT, context[first]
+        single = n == 1
+        told = np.bincount(of, np.where(single, math.log2(MU), np.where(n > 1, n * np.log2(np.maximum(n - 1, 0) * np.exp2(-p) + MU), 0.0)), len(every))
+        could = np.bincount(of, best_gain(n, p), len(every))
+        total = np.bincount(of, n, len(every))
+        hot = (every & np.uint64(1)).astype(bool)
+        inside, stays = verdict(level, total, told, could)
+        inside[hot], stays[hot] = 0, False
+        n = np.where((inside > 0) | stays | hot, 1, 0)[of] * n
+        out: list[list] = [[], [], [], [], []]
+        at = 0
+        for block, bucket, o, s in zip(asked[0], asked[1], own, sizes):
+            m = int(s.sum())
+            for col, v in zip(out, (block, bucket, pack_counts(inside[o]), pack(stays[o].astype(np.uint8)), pack_counts(n[gram[at : at + m]].astype(np.int64)))):
+                col.append(v)
+            at += m
+        if hot.any():
+            for col, v in zip(out, (None, None, pack(every[hot]), pack(np.stack([total[hot], told[hot], could[hot]]).ravel()), None)):
+                col.append(v)
+        release()
+        return pa.table([pa.array(c, f.type) for c, f in zip(out, _ANSWER)], schema=_ANSWER)
+
+    return run
+
+
+_ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_ANSWERS = "block long, bucket int, a binary, b binary, c binary"
+_STEP = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary()), ("ids", pa.list_(pa.int64())), ("state", pa.list_(pa.binary())), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_STEPS = "block long, bucket int, a binary, b binary, c binary, d binary, e binary, ids array<long>, state array<binary>, doc_id long, n_tokens long, n_known long, base_score double, score double"
+_DONE = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+
+
+def _rows(**columns) -> pa.Table:
+    n = len(next(iter(columns.values())))
+    return pa.table([pa.array(columns.get(f.name, [None] * n), f.type) for f in _STEP], schema=_STEP)
+
+
+def _asked(block: int, texts: Texts, buckets: int) -> pa.Table:
+    rows = list(zip(*texts.questions(buckets))) or [()] * 6
+    return _rows(block=[block] * len(rows[0]), **dict(zip(("bucket", "a", "b", "c", "d", "e"), rows)))
+
+
+def _finished(texts: Texts, done: np.ndarray) -> pa.Table:
+    mine = np.flatnonzero(done)
+    return _rows(doc_id=[texts.ids[i] for i in mine.tolist()], n_tokens=texts.sizes[mine], n_known=texts.known[mine], base_score=texts.base[mine] * math.log10(2), score=texts.sums()[mine])
+
+
+def _given(found: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A level's answers to a block, by bucket."""
+    rows = sorted((b, a, s, c) for l, b, a, s, c in zip(*(found.column(x).to_pylist() for x in ("level", "bucket", "a", "b", "c"))) if l == level)
+    parts = [(unpack_counts(a), unpack(s, np.uint8).astype(bool), unpack_counts(c)) for _, a, s, c in rows]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))
+
+
+class Model:
+    """What every task is told: sizes of the corpus, number of buckets, sums of the most frequent contexts by level."""
+
+    def __init__(self, n_texts: int, below: float, buckets: int, split: int):
+        """The root's probabilities are (count + 1) / 2 ** below."""
+        self.n_texts, self.below, self.buckets, self.split, self.hot = n_texts, below, buckets, split, {}
+
+
+def _from_texts(model: Model, level: int):
+    """Asks for a level of whole blocks: makes the levels before it again. After `AGAIN` levels, texts without open contexts are done."""
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _STEP.empty_table()
+        block = docs.column("block")[0].as_py()
+        ids = [i for part in docs.column("ids").to_pylist() for i in part]
+        sizes, trains = (np.array([i for part in docs.column(c).to_pylist() for i in part], t) for c, t in (("sizes", np.int64), ("counted", bool)))
+        seq = np.concatenate([unpack(q, np.int32) for q in docs.column("seq").to_pylist()])
+        parts = [(np.cumsum(unpack(r, np.int32)), unpack_counts(c), unpack_counts(s)) for l, r, c, s in zip(*(found.column(x).to_pylist() for x in ("level", "a", "b", "c"))) if l == 0]
+        n_words = sum(len(r) for r, *_ in parts)
+        counts, symbols = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
+        for r, c, s in parts:
+            counts[r], symbols[r] = c, s
+        texts = Texts.start(ids, sizes, trains, seq, symbols, counts, model)
+        del seq, parts
+        for before in range(1, level):
+            texts.ask()
+            texts.take(*_given(found, before), model.hot.get(before, {}))
+        return _go_on(block, texts, model, level > AGAIN)
+
+    return run
+
+
+def _go_on(block: int, texts: Texts, model: Model, store: bool) -> pa.Table:
+    out = []
+    if store:
+        done, rest = texts.rest()
+        out.append(_finished(texts, done))
+        if rest is None:
+            return pa.concat_tables(out)
+        out.append(_rows(block=[block], ids=[rest.ids], state=[rest.stored()]))
+        texts = rest
+    texts.ask()
+    out.append(_asked(block, texts, model.buckets))
+    release()
+    return pa.concat_tables(out)
+
+
+def _from_rest(model: Model, level: int):
+    """Asks for a level of the texts that were left at the level before."""
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _STEP.empty_table()
+        texts = Texts.read(docs.column("ids")[0].as_py(), docs.column("state")[0].as_py(), model.split)
+        texts.ask()
+        texts.take(*_given(found, level - 1), model.hot.get(level - 1, {}))
+        return _go_on(docs.column("block")[0].as_py(), texts, model, True)
+
+    return run
+
+
+def _free(spark) -> None:
+    """Lets Spark delete shuffle files of plans that are written: it does when their objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def score_all(docs: DataFrame, trains, split: int = SPLIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Scores every text of `docs` (doc_id, text) by a tree of the rows for which `trains` holds; adds `train_tokens`."""
     spark = docs.sparkSession
-    n_buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dictionaries, texts = blocks(docs, words, trains)
-    vocab = written(vocabulary(dictionaries), "vocabulary")
+    dictionaries, texts = blocks(docs, words, trains, block_bytes=block_bytes)
     n_texts = docs.where(trains).count()
-
-    def totals(batches):
-        n = v = 0
-        for batch in batches:
-            for x in batch.column("counts").to_pylist():
-                c = unpack(x, np.int64)
-                n, v = n + int(c.sum()), v + int((c > 0).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([v])], names=["n", "v"])
-
-    sums = vocab.select("counts").mapInArrow(totals, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    n, v = (sums.n or 0) + n_texts, (sums.v or 0) + (n_texts > 0)
-    below = math.log10(n + v + 1)
-    end = math.log10(n_texts + 1) - below
-    top = most_frequent(vocab, SYMBOLS)
-    numbers = spark.sparkContext.broadcast({w: i for i, w in enumerate(top.word)})
-    root = np.full(SYMBOLS + 2, -below)
-    root[: len(top)] = np.log10(top.n.to_numpy(np.float64) + 1) - below
-    root[END] = end
+    stride = 1 + (dictionaries.agg(F.max("bucket")).first()[0] or 0)
 
     def answer(bucket: Bucket):
-        get = numbers.value.get
-        number = np.fromiter((get(w, -1) for w in bucket.words), np.int32, len(bucket.words))
-        return lambda p: [pack(bucket.counts[p]), pack(number[p])]
-
-    answers = written(lookup(dictionaries, answer, 2), "answers")
-
-    def values_of(found, n_words):
-        ranks, rows = found
-        counts, number = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
-        for r, a, b in zip(ranks, rows.column("v0").to_pylist(), rows.column("v1").to_pylist()):
-            counts[r], number[r] = unpack(a, np.int64), unpack(b, np.int32)
-        return counts, number
-
-    # training texts' (context, next) counts of every block, packed by bucket of contexts
-    def count_each(found, n_words):
-        _, number = values_of(found, n_words)
-
-        def make(ids: list, sizes: np.ndarray, seq: np.ndarray, counted: list) -> pa.Table:
-            train = np.array(counted, bool)
-            seq, sizes = seq[np.repeat(train, sizes)], sizes[train]
-            contexts, is_end = context_numbers(number[seq], sizes)
-            symbol = np.full(len(is_end), END, np.int64)
-            x = number[seq]
-            symbol[~is_end] = np.where(x < 0, OTHER, x)
-            out: list[list] = [[], [], [], []]
-            for d, c in enumerate(contexts, 1):
-                ok = c >= 0
-                keys, m = np.unique(c[ok] << _BITS | symbol[ok], return_counts=True)
-                bucket = ((keys >> _BITS) * 0x9E3779B1 >> 8) % n_buckets
-                by = np.argsort(bucket, kind="stable")
-                for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
-                    for col, value in zip(out, (d, int(bucket[part[0]]), pack(np.diff(keys[part], prepend=0)), pack(m[part].astype(np.int64)))):
-                        col.append(value)
-            return pa.table([pa.array(col, f.type) for col, f in zip(out, _COUNTS)], schema=_COUNTS)
-
-        return make
-
-    counts = written(assemble(texts, answers, count_each, "depth int, bucket int, keys binary, n binary", _COUNTS), "counts")
-    tree = grow(spark, counts, root)
-    model = spark.sparkContext.broadcast(tree)
-
-    def each(found, n_words):
-        counts, number = values_of(found, n_words)
-        base = np.log10(counts + 1.0) - below
-
-        def make(ids: list, sizes: np.ndarray, seq: np.ndarray, _: list) -> pa.Table:
-            contexts, is_end = context_numbers(number[seq], sizes)
-            at_root = np.full(len(is_end), end)
-            at_root[~is_end] = base[seq]
-            symbol = np.full(len(is_end), END, np.int64)
-            symbol[~is_end] = np.where(number[seq] < 0, OTHER, number[seq])
-            own = np.repeat(np.arange(len(sizes)), sizes + 1)
-            known = np.bincount(own[~is_end], counts[seq] > 0, len(sizes)).astype(np.int64) + (n_texts > 0)
-            mine = model.value.log(contexts, symbol, at_root)
-            return pa.table([pa.array(ids, pa.int64()), pa.array(sizes + 1), pa.array(known), pa.array(np.bincount(own, at_root, len(sizes))), pa.array(np.bincount(own, mine, len(sizes)))], schema=_EMPTY)
-
-        return make
-
-    return assemble(texts, answers, each, OUT, _EMPTY).withColumn("train_tokens", F.lit(n).cast("long"))
-
-
-def scored(docs: DataFrame) -> DataFrame:
+        sums = pack(np.array([bucket.counts.sum(), (bucket.counts > 0).sum()], np.int64))
+        first = [sums]
+        return lambda places: [pack_counts(bucket.counts[places]), pack_counts(1 + places * stride + bucket.number), first.pop() if first else None]
+
+    answers = written(lookup(dictionaries, answer, 3), "answers")
+    sums = [unpack(r.v2, np.int64) for r in answers.where("v2 is not null").select("v2").collect()]  # a row a bucket
+    n, v = (int(sum(s[i] for s in sums)) for i in (0, 1))
+    n, v = n + n_texts, v + (n_texts > 0)
+    model = Model(n_texts, math.log2(n + v + 1), n_buckets(docs, BUCKET_BYTES), split)
+    texts = texts.select("block", "ids", "sizes", "seq", "counted")
+    found = answers.select("block", F.lit(0).alias("level"), F.lit(0).alias("bucket"), F.col("ranks").alias("a"), F.col("v0").alias("b"), F.col("v1").alias("c"))
+
+    def answered(questions: DataFrame, level: int) -> DataFrame:
+        rows = questions.select("block", "bucket", "a", "b", "c", "d", "e").where("bucket is not null").groupBy("bucket").applyInArrow(judged(level), _ANSWERS)
+        rows = written(rows, f"level-{level}")
+        _free(spark)
+        hot = rows.where("block is null").select("a", "b").collect()  # at most tokens / SPLIT contexts
+        if hot:
+            keys = np.concatenate([unpack(r.a, np.uint64) for r in hot]).tolist()
+            values = np.concatenate([unpack(r.b, np.float64).reshape(3, -1) for r in hot], 1).T.tolist()
+            model.hot[level] = dict(zip(keys, map(tuple, values)))
+        return rows.where("block is not null").select("block", F.lit(level).alias("level"), "bucket", "a", "b", "c")
+
+    def asked(side: DataFrame, answers: DataFrame, run) -> DataFrame:
+        return side.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _STEPS)
+
+    for level in range(1, AGAIN + 1):
+        found = found.unionByName(answered(asked(texts, found, _from_texts(model, level)), level))
+    step = written(asked(texts, found, _from_texts(model, AGAIN + 1)), "rest")
+    done, level = step.where("n_tokens is not null").select(*_DONE), AGAIN + 1
+    while (rest := step.where("state is not null").select("block", "ids", "state")).limit(1).count():
+        found = answered(step, level)
+        level += 1
+        step = written(asked(rest, found, _from_rest(model, level)), "rest")
+        done = done.unionByName(step.where("n_tokens is not null").select(*_DONE))
+    return done.withColumn("train_tokens", F.lit(n).cast("long"))
+
+
+def scored(docs: DataFrame, **sizes: int) -> DataFrame:
     """Contract of op10: learns from the documents that aren't held out, scores all."""
     held = id_crc() % 7 == 2
-    out = score_all(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ~held)
+    out = score_all(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ~held, **sizes)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

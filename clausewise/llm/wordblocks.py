@@ -6,8 +6,8 @@ distinct words over buckets by hash, works on each distinct word of the corpus o
 every block. `assemble` joins the answers back to the documents of each block by position.
 
 What moves is each block's dictionary (a few per cent of its words) and the packed sequences,
-never a row for each word of each text. Buckets and blocks have bounded size: a word that is
-in every text is one entry in each block.
+never a row for each word of each text. A block has a bounded size, and there is a bucket for every
+`BUCKET_BYTES` of text: a word that is in every text is one entry in each block.
 
 Dictionaries and documents of a block are made by one function. `blocks` can write both to the
 shared folder, or leave them as two lazy halves that cut a partition alike: then `docs` must be
@@ -29,6 +29,8 @@ from clausewise.llm.common import no_null, release, small_batches, steps, writte
 
 #: Text bytes of a block, and words of one packed row of documents.
 BLOCK_BYTES = 16 << 20
+#: Text bytes whose distinct words one bucket has.
+BUCKET_BYTES = 256 << 20
 ROW_WORDS = 1 << 18
 
 Split = Callable[[list[str]], tuple[list, np.ndarray]]
@@ -67,7 +69,13 @@ BLOCKS = "block long, bucket int, words binary, lengths binary, ranks binary, co
 _SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary()), ("ranks", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("counted", pa.list_(pa.bool_())), ("seq", pa.binary())])
 
 
-def blocks(docs: DataFrame, split: Split, counted: Column | None = None, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+def n_buckets(docs: DataFrame, text_bytes: int) -> int:
+    """One bucket for so many bytes of text, but no fewer than shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // text_bytes))
+
+
+def blocks(docs: DataFrame, split: Split, counted: Column | None = None, keep: bool = True, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """The blocks of `docs` (doc_id, text): dictionary rows by bucket, and rows of documents.
 
     `counts` has how often a word occurs in rows for which `counted` holds (all, if it is left out).
@@ -76,15 +84,15 @@ def blocks(docs: DataFrame, split: Split, counted: Column | None = None, keep: b
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))).alias("counted"))
-    n_buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    make = lambda dictionaries, texts: rows.mapInArrow(_maker(split, n_buckets, dictionaries, texts), BLOCKS)
+    buckets = n_buckets(docs, BUCKET_BYTES)
+    make = lambda dictionaries, texts: rows.mapInArrow(_maker(split, buckets, block_bytes, dictionaries, texts), BLOCKS)
     if keep:
         table = written(make(True, True), "blocks")
         return table.where(F.col("bucket").isNotNull()), table.where(F.col("bucket").isNull())
     return make(True, False), make(False, True)
 
 
-def _maker(split: Split, n_buckets: int, dictionaries: bool, texts: bool):
+def _maker(split: Split, buckets: int, block_bytes: int, dictionaries: bool, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -99,7 +107,7 @@ def _maker(split: Split, n_buckets: int, dictionaries: bool, texts: bool):
             rank = np.empty(len(words), np.int32)
             rank[order] = np.arange(len(words), dtype=np.int32)
             counts = np.bincount(seq, np.repeat(np.array(uses, bool), n_words), len(words)).astype(np.int64)
-            bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % n_buckets
+            bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
             by = np.lexsort((rank, bucket))
             for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if dictionaries and len(by) else []:
                 data, lengths = pack_words([words[i] for i in part.tolist()])
@@ -120,7 +128,7 @@ def _maker(split: Split, n_buckets: int, dictionaries: bool, texts: bool):
             sizes += counts.tolist()
             seqs.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
             held += batch.get_total_buffer_size() if batch.num_rows == 1 else sum(map(len, words))
-            if held >= BLOCK_BYTES:
+            if held >= block_bytes:
                 yield from flush()
                 block += 1
                 numbers, ids, sizes, seqs, uses, held = _Numbers(), [], [], [], [], 0
@@ -141,6 +149,7 @@ class Bucket:
 
     def __init__(self, table: pa.Table):
         numbers = _Numbers()
+        self.number = table.column("bucket")[0].as_py()
         self.blocks = table.column("block").to_pylist()
         self.ranks = table.column("ranks").to_pylist()
         self.places, counts = [], []

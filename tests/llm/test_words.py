@@ -27,11 +27,10 @@ def library():
 
 
 @pytest.mark.parametrize("block", [200, 1 << 25])
-def test_encode_and_decode(spark, sf, library, monkeypatch, block):
-    monkeypatch.setattr(wordblocks, "BLOCK_BYTES", block)
+def test_encode_and_decode(spark, sf, library, block):
     rows = ROWS + [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
     d = spark.createDataFrame([Row(doc_id=i, text=t, ids="x", n_tokens=1) for i, t in rows], "doc_id long, text string, ids string, n_tokens int").repartition(3)
-    got = sorted((r.asDict() for r in byte_bpe.encode_and_decode(d, RANKS, public_tokenizers.PATTERN).collect()), key=str)
+    got = sorted((r.asDict() for r in byte_bpe.encode_and_decode(d, RANKS, public_tokenizers.PATTERN, block_bytes=block).collect()), key=str)
     want = []
     for i, t in rows:
         ids = library.encode_ordinary(t or "")
@@ -52,63 +51,96 @@ def test_packing():
     assert wordblocks.unpack(wordblocks.pack(np.zeros(0, np.int32)), np.int32).size == 0
 
 
-def test_scores(spark, monkeypatch):
-    monkeypatch.setattr(wordblocks, "BLOCK_BYTES", 50_000)
+def tokens_of(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")), "\n"]
+
+
+def grown(texts):
+    """The root's counts and the tree {context: (counts, total)}, grown from token lists as defined, without bounds or blocks."""
+    root = Counter(x for t in texts for x in t)
+    whole = sum(root.values()) + len(root) + 1
+    tree, open_, depth, levels = {}, {()}, 0, 0
+    mu = suffix_tree.MU
+
+    def p(context, x):
+        out = (root[x] + 1) / whole
+        for d in range(1, len(context) + 1):
+            if (c := context[len(context) - d :]) in tree:
+                out = (tree[c][0][x] + mu * out) / (tree[c][1] + mu)
+        return out
+
+    while open_:
+        depth += 1
+        counts = {}
+        for t in texts:
+            for i in range(depth, len(t)):
+                c = tuple(t[i - depth : i])
+                if c[1:] in open_:
+                    counts.setdefault(c, Counter())[t[i]] += 1
+        passed, open_ = {}, set()
+        for c, n in counts.items():
+            q = {x: 2 ** (-round(-64 * math.log2(p(c[1:], x))) / 64) for x in n}
+            total = sum(n.values())
+            gain = sum(k * math.log2((k - 1) / q[x] + mu) for x, k in n.items()) - total * math.log2(total - 1 + mu)
+            if gain >= suffix_tree.price(depth):
+                passed[c] = (n, total)
+            if sum(max(0, k * math.log2(((k - 1) / q[x] + mu) / (k - 1 + mu))) for x, k in n.items()) >= suffix_tree.price(depth + 1):
+                open_.add(c)
+        tree |= passed
+        levels = depth if passed else levels
+    return root, p, tree, levels
+
+
+def markov(seed, n, order):
+    """A text in which `order` words tell the next, and fewer don't."""
+    rng = np.random.default_rng(seed)
+    out = rng.integers(0, 2, order).tolist()
+    while len(out) < n:
+        out.append((sum(out[-order:]) + int(rng.random() < 0.02)) % 2)
+    return " ".join("ab"[x] for x in out)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"split": 40, "block_bytes": 30_000}])
+def test_scores(spark, sizes):
+    """Every score against a tree grown by brute force, also with many blocks and contexts dealt over buckets."""
     rows = ROWS + [(r.doc_id + 100, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted((r.asDict() for r in suffix_tree.scored(d).collect()), key=lambda r: (str(r["doc_id"]), r["n_tokens"]))
-    tokens = {k: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")), "\n"] for k, (i, t) in enumerate(rows)}
+    rows += [(1000 + i, markov(i, 3000, 6)) for i in range(12)]
+    long = " ".join(f"w{i * i % 97}" for i in range(300))
+    rows += [(2000 + i, " ".join(w if j % 50 != i % 50 else f"edit{i % 7}" for j, w in enumerate(long.split()))) for i in range(120)]
+    d = spark.createDataFrame([Row(doc_id=i, text=t, block=1, ids="x", n_tokens=2, score="s", level=3) for i, t in rows], "doc_id long, text string, block int, ids string, n_tokens int, score string, level int").repartition(3)
+    got = sorted((r.asDict() for r in suffix_tree.scored(d, **sizes).collect()), key=lambda r: (str(r["doc_id"]), r["n_tokens"]))
+    tokens = {k: tokens_of(t) for k, (i, t) in enumerate(rows)}
     held = [zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2 for i, _ in rows]
-    c = Counter(x for k in tokens if not held[k] for x in tokens[k])
+    c, p, tree, levels = grown([tokens[k] for k in tokens if not held[k]])
+    assert levels > suffix_tree.AGAIN + 1
     n, v = sum(c.values()), len(c)
-    want = sorted(({"doc_id": rows[k][0], "held_out": held[k], "n_tokens": len(x), "n_known": sum(c[w] > 0 for w in x), "train_tokens": n, "base_score": sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x)} for k, x in tokens.items()), key=lambda r: (str(r["doc_id"]), r["n_tokens"]))
+    longest = max(map(len, tree))
+    want = sorted((
+        {"doc_id": rows[k][0], "held_out": held[k], "n_tokens": len(x), "n_known": sum(c[w] > 0 for w in x), "train_tokens": n, "base_score": sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), "score": sum(math.log10(p(tuple(x[max(0, i - longest) : i]), w)) for i, w in enumerate(x))}
+        for k, x in tokens.items()
+    ), key=lambda r: (str(r["doc_id"]), r["n_tokens"]))
     assert len(got) == len(want)
     for g, w in zip(got, want):
-        score = g.pop("score")
-        assert g.pop("base_score") == pytest.approx(w.pop("base_score")) and g == w and score <= 0
-    plain = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    both = suffix_tree.scored(plain).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
-    assert both.s > both.b
+        assert g.pop("base_score") == pytest.approx(w.pop("base_score"))
+        assert g.pop("score") == pytest.approx(w.pop("score"), rel=1e-9), g
+        assert g == w
 
 
-def test_contexts():
-    """Against the definition, for texts of different lengths."""
-    texts = [[3, 5, 7], [], [suffix_tree.CONTEXT_WORDS, 1, 2], [-1, 4]]
-    got, is_end = suffix_tree.context_numbers(np.array([x for t in texts for x in t]), np.array([len(t) for t in texts]))
-    want = [[], []]
-    for t in texts:
-        for i in range(len(t) + 1):
-            for d in range(2):
-                before = t[i - d - 1 : i] if i > d else None
-                ok = before is not None and all(0 <= x < suffix_tree.CONTEXT_WORDS for x in before)
-                want[d].append(sum(x * suffix_tree.CONTEXT_WORDS**e for e, x in enumerate(reversed(before))) if ok else -1)
-    assert [g.tolist() for g in got] == want and np.flatnonzero(is_end).tolist() == [3, 4, 8, 11]
+def test_held_out(spark):
+    plain = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    both = suffix_tree.scored(plain).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    assert both.s > 0.96 * both.b
 
 
-def test_tree(spark):
-    """Contexts that tell something stay, others go; distributions add up to 1; mixing is as defined."""
+def test_numbers():
+    """Pairs are numbered alike whether they fit one word with their places or not."""
     rng = np.random.default_rng(0)
-    w = suffix_tree.CONTEXT_WORDS
-    root_n = np.array([500, 300, 150, 50])
-    root = np.full(suffix_tree.SYMBOLS + 2, -9.0)
-    root[:4] = np.log10(root_n / 1000)
-    draws = {(1, 0): rng.multinomial(400, [0.5, 0.3, 0.15, 0.05]), (1, 1): np.array([0, 0, 10, 90]), (2, 1 + 2 * w): np.array([60, 0, 0, 0]), (2, 0 + 3 * w): rng.multinomial(50, [0.5, 0.3, 0.15, 0.05])}
-    rows = []
-    for (d, c), n in draws.items():
-        keys = np.array([c << 17 | s for s in range(4) if n[s]])
-        rows.append((d, d, wordblocks.pack(np.diff(keys, prepend=0)), wordblocks.pack(n[n > 0].astype(np.int64))))
-    for d in (1, 2):  # one row a block, here one a context; a bucket holds several
-        part = [r for r in rows if r[0] == d]
-        assert len(part) == 2
-    tree = suffix_tree.grow(spark, spark.createDataFrame(rows, "depth int, bucket int, keys binary, n binary"), root)
-    assert tree.contexts[0].tolist() == [1] and tree.contexts[1].tolist() == [1 + 2 * w]
-    symbols = np.arange(4)
-    for contexts in ([np.full(4, 1)], [np.full(4, 1), np.full(4, 1 + 2 * w)]):
-        p = 10 ** tree.log(contexts, symbols, root[:4])
-        assert p.sum() == pytest.approx(1, abs=1e-6)
-    p1 = (90 + 8 * 0.05) / 108
-    assert tree.log([np.array([1])], np.array([3]), root[3:4])[0] == pytest.approx(math.log10(p1))
-    assert tree.log([np.array([0]), np.array([3 * w])], np.array([2]), root[2:3])[0] == pytest.approx(math.log10(0.15))
+    for high in (5, 1 << 20, 1 << 31):
+        a, b = rng.integers(0, high, 1000), rng.integers(0, high, 1000)
+        a[::3], b[::3] = 7 % high, 3
+        number, first = suffix_tree.numbered(a, b)
+        pairs = sorted(set(zip(a.tolist(), b.tolist())))
+        assert [pairs[i] for i in number] == list(zip(a.tolist(), b.tolist())) and [(a[i], b[i]) for i in first] == pairs
 
 
 def test_no_training_rows(spark):
