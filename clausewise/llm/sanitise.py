@@ -44,7 +44,7 @@ TERM = r"\p{L}{3,}+"
 STEM, STEMS = 3, 12
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 #: Rows of small tables (pairs, entities, repeated texts, spans) that may be broadcast.
-BROADCAST_ROWS = 1 << 20
+BROADCAST_ROWS = 1 << 17
 
 _SPAN = "struct<start:int,end:int,value:string>"
 _CHUNK = 256  # appended to at a time, so that many matches in a text don't copy each other
