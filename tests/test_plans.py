@@ -11,13 +11,6 @@ from clausewise.plans import chunking, evaluation, findings, matching, rules, st
 from clausewise.streaming import flows
 
 
-def test_chunks_merge_plain_nodes_and_stop_at_clauses_tables_and_sections(spark):
-    n = [("PARAGRAPH", "A", "first", False), ("PARAGRAPH", "A", "second", False), ("PARAGRAPH", "A", "3.2.1 clause", True), ("PARAGRAPH", "A", "more", False), ("TABLE", "A", "|x|", False), ("PARAGRAPH", "B", "other", False)]
-    rows = [Row(version="v", order_no=i, kind=k, section=s, content=c, clause=x) for i, (k, s, c, x) in enumerate(n)]
-    got = chunking.chunk_nodes(spark.createDataFrame(rows), "version").orderBy("chunk").collect()
-    assert [(r.first, r.last, r.n_nodes) for r in got] == [(0, 1, 2), (2, 3, 2), (4, 4, 1), (5, 5, 1)]
-
-
 @pytest.mark.parametrize("sizes,most_items,most,overhead,want", [([1800] * 10, 6, 9000, 0, [5, 5]), ([1500] * 16, 10, 10_000, 160, [6, 6, 4]), ([20_000, 1], 6, 9000, 0, [1, 1])])
 def test_packs(spark, sizes, most_items, most, overhead, want):
     d = spark.createDataFrame([(1, i, n) for i, n in enumerate(sizes)], "k int, i int, n long")
@@ -31,11 +24,6 @@ def test_diverse_prefers_what_differs(spark):
     assert got == {(1, 0): 1, (1, 1): 3, (1, 2): 2, (2, 0): 9}
 
 
-def test_residues(spark):
-    d = spark.createDataFrame([("v", 1, 1, "a sentence that goes on and on for"), ("v", 2, 1, "ever and"), ("v", 3, 1, "ever."), ("v", 4, 1, "short"), ("v", 5, 2, "tail")], "v string, order_no long, page int, content string")
-    assert [r.into for r in chunking.merge_residues(d, "v").orderBy("order_no").collect()] == [1, 1, 1, 4, 5]
-
-
 def test_budget(spark):
     d = spark.createDataFrame([(1, 1, "abcdefgh"), (1, 2, "ijklmnop"), (1, 3, "q")], "k int, i int, t string")
     assert [r.t for r in ranking.clip_to_budget(d, ["k"], ["i"], "t", 12, 100).orderBy("i").collect()] == ["abcdefgh", "ijkl"]
