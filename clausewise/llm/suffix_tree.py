@@ -46,10 +46,11 @@ from clausewise.llm.wordblocks import BLOCK_BYTES, Bucket, blocks, lookup, n_buc
 #: Pseudo-counts that go to the suffix.
 MU = 8.0
 #: Occurrences from which a context is dealt over several buckets, and levels that are made again from the texts.
-SPLIT, AGAIN = 1 << 21, 3
+SPLIT, AGAIN = 1 << 21, 2
 #: Text bytes whose contexts one bucket sums.
 BUCKET_BYTES = 32 << 20
 _UNIT = 64  # rounding of log2 probabilities in the test
+_UNKNOWN = np.int64(1 << 62)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,8 +110,21 @@ def unpack_counts(data: bytes) -> np.ndarray:
 
 
 def best_gain(n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """What a context gains that is followed by one token only, n times; p: log2 probability by its suffix."""
-    return np.where(n > 1, n * np.log2((np.maximum(n - 1, 0) * np.exp2(-p) + MU) / (np.maximum(n - 1, 0) + MU)), 0.0)
+    """What a context gains that is followed by one token only, n times, twice at least; p: log2 probability by its suffix."""
+    return n * np.log2(((n - 1) * np.exp2(-p) + MU) / (n - 1 + MU))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def dense(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Used numbers below `size`, and a number's place among them."""
+    used = np.zeros(size, bool)
+    used[x] = True
+    return np.flatnonzero(used), np.cumsum(used, dtype=np.int32) - 1
 
 
 def rounded(p: np.ndarray) -> np.ndarray:
@@ -128,7 +142,7 @@ class Texts:
         self.own = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.train = np.repeat(trains, sizes)
         self.hash = mixed((symbols.astype(np.uint64) + np.uint64(1)) * _M)
-        self.level, self.keys = 0, np.zeros(1, np.uint64)
+        self.level, self.keys, self.sums = 0, np.zeros(1, np.uint64), np.zeros(len(sizes))
         self.open, self.number = np.arange(len(tokens)), np.zeros(len(tokens), np.int32)
 
     @classmethod
@@ -158,14 +172,17 @@ class Texts:
         most = np.minimum(total, self.bound[i])  # of the context and the token
         ok = total >= 3
         two = np.flatnonzero(total == 2)
-        ok[two] = ~self.train[i[two]] | ((most[two] == 2) & (best_gain(most[two], -rounded(self.p[i[two]]) / _UNIT) >= price(d)))
+        ok[two] = ~self.train[i[two]] | ((most[two] == 2) & (best_gain(2, -rounded(self.p[i[two]]) / _UNIT) >= price(d)))
         self.at, total, most, number = i[ok], total[ok], most[ok], number[ok]
         before = self.tokens[self.at - d]
-        self.number, first = numbered(number, before)
-        self.keys = mixed(self.keys[number[first]] * _M + self.hash[before[first]] + np.uint64(d))
+        if d == 1:  # a context is a token
+            used, places = dense(before, len(self.symbols))
+            self.number, self.keys = places[before], mixed(self.hash[used] + np.uint64(d))
+        else:
+            self.number, first = numbered(number, before)
+            self.keys = mixed(self.keys[number[first]] * _M + self.hash[before[first]] + np.uint64(d))
         # bounds of all tokens at this level; those asked for get exact counts
-        inside = self.place >= d
-        self.bound[1:] = np.where(inside[1:], np.minimum(self.bound[1:], self.bound[:-1]), self.bound[1:])
+        self.bound[1:] = np.where(self.place[1:] >= d, np.minimum(self.bound[1:], self.bound[:-1]), self.bound[1:])
         self.gram, self.first = numbered(self.number, self.tokens[self.at])
         context = self.number[self.first]
         self.symbol = self.tokens[self.at[self.first]]
@@ -221,35 +238,45 @@ class Texts:
         go = stays[g]
         self.open, self.number = self.at[go], self.number[go]
 
-    def sums(self) -> np.ndarray:
-        """log10 probability of each text."""
-        return np.bincount(self.own, self.p, len(self.sizes)) * math.log10(2)
-
-    def rest(self) -> tuple[np.ndarray, Texts | None]:
-        """Which texts are done, and the others."""
+    def rest(self) -> tuple[np.ndarray, np.ndarray, Texts | None]:
+        """log2 probability of each text so far, which texts are done, and the others, of whose tokens only open ones keep theirs."""
+        sums = self.sums + np.bincount(self.own, self.p, len(self.sizes))
         going = np.zeros(len(self.sizes), bool)
         going[self.own[self.open]] = True
         if not going.any():
-            return ~going, None
+            return sums, ~going, None
         stay = going[self.own]
-        used, tokens = np.unique(self.tokens[stay], return_inverse=True)
-        out = Texts([x for x, g in zip(self.ids, going.tolist()) if g], self.sizes[going], self.trains[going], tokens, self.symbols[used], self.split)
-        out.level, out.known, out.base, out.p, out.bound = self.level, self.known[going], self.base[going], self.p[stay], self.bound[stay]
-        place = np.cumsum(stay) - 1
-        out.open = place[self.open]
-        numbers, out.number = np.unique(self.number, return_inverse=True)
-        out.keys = self.keys[numbers]
-        return ~going, out
+        used, places = dense(self.tokens[stay], len(self.symbols))
+        out = Texts([x for x, g in zip(self.ids, going.tolist()) if g], self.sizes[going], self.trains[going], places[self.tokens[stay]], self.symbols[used], self.split)
+        out.level, out.known, out.base, out.sums = self.level, self.known[going], self.base[going], sums[going]
+        where = np.cumsum(stay) - 1
+        out.open = where[self.open]
+        out.keep(self.p[self.open], self.bound[self.open], self.bound[self.open - 1])
+        numbers, places = dense(self.number, len(self.keys))
+        out.number, out.keys = places[self.number], self.keys[numbers]
+        return sums, ~going, out
+
+    def keep(self, p: np.ndarray, bound: np.ndarray, before: np.ndarray) -> None:
+        """Probabilities and bounds of open tokens, and bounds of those before them; the others' are summed up or not needed."""
+        self.p = np.zeros(len(self.tokens))
+        self.p[self.open] = p
+        self.sums[:] -= np.bincount(self.own[self.open], p, len(self.sizes))
+        self.bound = np.full(len(self.tokens), _UNKNOWN)
+        self.bound[self.open - 1] = before
+        self.bound[self.open] = bound
 
     def stored(self) -> list[bytes]:
-        return [pack_counts(self.sizes), pack(self.trains.astype(np.uint8)), pack_counts(self.tokens.astype(np.int64)), pack_counts(self.symbols), pack_counts(np.array([self.level])), pack_counts(self.known), pack(self.base), pack(self.p), pack_counts(self.bound), pack_counts(np.diff(self.open, prepend=0)), pack_counts(self.number), pack(self.keys)]
+        counts = (self.sizes, self.tokens, self.symbols, np.array([self.level]), self.known, np.diff(self.open, prepend=0), self.number, self.bound[self.open], self.bound[self.open - 1])
+        return [*map(pack_counts, counts), pack(self.trains.astype(np.uint8)), pack(self.base), pack(self.sums), pack(self.p[self.open]), pack(self.keys)]
 
     @classmethod
     def read(cls, ids: list, parts: list[bytes], split: int) -> Texts:
-        sizes, tokens, symbols, level, known, bound, open_, number = (unpack_counts(parts[i]) for i in (0, 2, 3, 4, 5, 8, 9, 10))
-        out = cls(ids, sizes, unpack(parts[1], np.uint8).astype(bool), tokens, symbols, split)
-        out.level, out.known, out.base, out.p, out.bound = int(level[0]), known, unpack(parts[6], np.float64), unpack(parts[7], np.float64), bound
-        out.open, out.number, out.keys = np.cumsum(open_), number, unpack(parts[11], np.uint64)
+        sizes, tokens, symbols, level, known, open_, number, bound, before = map(unpack_counts, parts[:9])
+        base, sums, p = (unpack(x, np.float64) for x in parts[10:13])
+        out = cls(ids, sizes, unpack(parts[9], np.uint8).astype(bool), tokens, symbols, split)
+        out.level, out.known, out.base, out.open, out.number, out.keys = int(level[0]), known, base, np.cumsum(open_), number, unpack(parts[13], np.uint64)
+        out.sums = sums + np.bincount(out.own[out.open], p, len(sizes))
+        out.keep(p, bound, before)
         return out
 
 
@@ -271,17 +298,19 @@ def judged(level: int):
         asked = [group.column(c).to_pylist() for c in ("block", "bucket", "a", "b", "c", "d", "e")]
         keys = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in asked[2]]
         sizes = [unpack_counts(x) for x in asked[3]]
-        every = np.unique(np.concatenate(keys))
+        every = distinct(np.concatenate(keys))
         own = [np.searchsorted(every, k) for k in keys]
         context = np.concatenate([np.repeat(o, s) for o, s in zip(own, sizes)])
         symbols = np.concatenate([unpack_counts(x) for x in asked[4]])
-        gram, first = numbered(context, np.searchsorted(np.unique(symbols), symbols))
+        if _bits(context) + _bits(symbols) + len(symbols).bit_length() > 64:
+            symbols = np.searchsorted(distinct(symbols), symbols)
+        gram, first = numbered(context, symbols)
         n = np.bincount(gram, np.concatenate([unpack_counts(x) for x in asked[6]]), len(first))
         del symbols
         p, of = -np.concatenate([unpack(x, np.int16) for x in asked[5]])[first] / _UNIT, context[first]
-        single = n == 1
-        told = np.bincount(of, np.where(single, math.log2(MU), np.where(n > 1, n * np.log2(np.maximum(n - 1, 0) * np.exp2(-p) + MU), 0.0)), len(every))
-        could = np.bincount(of, best_gain(n, p), len(every))
+        more = np.flatnonzero(n > 1)
+        told = math.log2(MU) * np.bincount(of, n == 1, len(every)) + np.bincount(of[more], n[more] * np.log2((n[more] - 1) * np.exp2(-p[more]) + MU), len(every))
+        could = np.bincount(of[more], best_gain(n[more], p[more]), len(every))
         total = np.bincount(of, n, len(every))
         hot = (every & np.uint64(1)).astype(bool)
         inside, stays = verdict(level, total, told, could)
@@ -320,9 +349,9 @@ def _asked(block: int, texts: Texts, buckets: int) -> pa.Table:
     return _rows(block=[block] * len(rows[0]), **dict(zip(("bucket", "a", "b", "c", "d", "e"), rows)))
 
 
-def _finished(texts: Texts, done: np.ndarray) -> pa.Table:
+def _finished(texts: Texts, sums: np.ndarray, done: np.ndarray) -> pa.Table:
     mine = np.flatnonzero(done)
-    return _rows(doc_id=[texts.ids[i] for i in mine.tolist()], n_tokens=texts.sizes[mine], n_known=texts.known[mine], base_score=texts.base[mine] * math.log10(2), score=texts.sums()[mine])
+    return _rows(doc_id=[texts.ids[i] for i in mine.tolist()], n_tokens=texts.sizes[mine], n_known=texts.known[mine], base_score=texts.base[mine] * math.log10(2), score=sums[mine] * math.log10(2))
 
 
 def _given(found: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -368,8 +397,8 @@ def _from_texts(model: Model, level: int):
 def _go_on(block: int, texts: Texts, model: Model, store: bool) -> pa.Table:
     out = []
     if store:
-        done, rest = texts.rest()
-        out.append(_finished(texts, done))
+        sums, done, rest = texts.rest()
+        out.append(_finished(texts, sums, done))
         if rest is None:
             return pa.concat_tables(out)
         out.append(_rows(block=[block], ids=[rest.ids], state=[rest.stored()]))
