@@ -41,14 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.llm.common import id_crc, release, written
-from clausewise.llm.wordblocks import BLOCK_BYTES, Bucket, blocks, lookup, n_buckets, pack, unpack
+from clausewise.llm.wordblocks import Bucket, blocks, lookup, n_buckets, pack, unpack
 
 #: Pseudo-counts that go to the suffix.
 MU = 8.0
 #: Occurrences from which a context is dealt over several buckets, and levels that are made again from the texts.
 SPLIT, AGAIN = 1 << 21, 2
-#: Text bytes whose contexts one bucket sums.
-BUCKET_BYTES = 32 << 20
+#: Text bytes of a block, and those whose contexts one bucket sums.
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
 _UNIT = 64  # rounding of log2 probabilities in the test
 _UNKNOWN = np.int64(1 << 62)
 _M = np.uint64(0x9E3779B97F4A7C15)
