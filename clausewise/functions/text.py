@@ -100,7 +100,8 @@ def without_fences(text: Column) -> Column:
 
 
 def without_reasoning(text: Column, tag: str = "think") -> Column:
-    return F.regexp_replace(text, f"(?is)<{tag}>.*?</{tag}>", "")
+    """Without reasoning between tags, and without tags that are left over."""
+    return F.regexp_replace(F.regexp_replace(text, f"(?is)<{tag}>.*?</{tag}>", ""), f"(?i)</?{tag}>", "")
 
 
 def cell(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausewise.functions.words import words
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -27,16 +29,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def tokens(text: Column, least: int = 2) -> Column:
-    """Distinct lower-case runs of ASCII letters and digits of at least `least` characters."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: F.length(x) >= least))
-
-
-def all_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, query: str, term: str) -> DataFrame:
-    """(query, key) of the texts that have every term of a query, by an equi-join on terms."""
-    postings = texts.select(key, F.explode(tokens(F.col(text))).alias("_t"))
-    wanted = terms.select(query, F.col(term).alias("_t")).distinct()
-    n = wanted.groupBy(query).agg(F.count("*").alias("_n"))
-    return postings.join(wanted, "_t").groupBy(query, key).agg(F.count("*").alias("_m")).join(n, query).where("_m = _n").select(query, key)
+    """Distinct words of at least `least` characters."""
+    return F.array_distinct(F.filter(words(text), lambda x: F.length(x) >= least))
 
 
 def share(part: Column, whole: Column, scale: float = 100.0, digits: int = 2) -> Column:

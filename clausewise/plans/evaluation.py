@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.operators.scores import rank_of_first
-
 _SPACES = " 　"
-#: Cases that are broadcast; more are looked up by their first `GRAM` characters.
-BROADCAST_CASES, GRAM = 4096, 24
+#: Cases of a block, all of which are looked for in one pass over the texts; the letter at which texts are cut to pieces, and a piece's least length.
+BLOCK, CUT, LEAST = 4096, "e", 3
 
 
 def squeezed(text):
@@ -17,34 +15,65 @@ def squeezed(text):
     return F.translate(text, _SPACES, "")
 
 
-def contained(cases: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, n_docs): in how many documents each case's text occurs, spaces aside.
+def contained(cases: DataFrame, docs: DataFrame, case: str = "item_id") -> DataFrame:
+    """(case, n_docs): in how many rows of `docs` each case's text occurs, spaces aside; cases and rows may repeat.
+
+    Texts are cut at a letter. What a case has between two cuts is a whole piece of every text that
+    has the case, so only texts with a case's longest piece are searched for it. Cases without such a piece are
+    searched for in every text. Cases go in blocks, each one broadcast row; every text is read once a block.
+    """
+    rows = cases.select(case, squeezed(F.col("text")).alias("needle"))
+    pieces = F.split("needle", CUT)
+    inner = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda x: F.length(x) >= LEAST)
+    anchor = F.element_at(F.transform(F.array_sort(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), lambda x: x["x"]), -1)
+    rows = rows.withColumn("anchor", F.when(F.size(inner) > 0, anchor))
+    n = rows.count()
+    block = F.pmod(F.xxhash64("anchor", "needle"), F.lit(max(1, -(-n // BLOCK))))
+    held = rows.groupBy(block.alias("block")).agg(F.array_sort(F.collect_set(F.struct("anchor", "needle"))).alias("cases"), F.collect_set("anchor").alias("anchors"))
+    hay = docs.select(squeezed(F.col("text")).alias("hay")).where("hay is not null")
+    both = hay.join(F.broadcast(held)).withColumn("own", F.array_intersect("anchors", F.split("hay", CUT)))
+    found = F.filter("cases", lambda c: (c["anchor"].isNull() | F.array_contains("own", c["anchor"])) & F.col("hay").contains(c["needle"]))
+    hits = both.select(F.explode(found).alias("c")).groupBy(F.col("c.needle").alias("needle")).agg(F.count("*").alias("n_docs"))
+    return rows.select(case, "needle").join(hits, "needle", "left").select(case, F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+def run(cases: DataFrame, ranked: DataFrame, texts: DataFrame, case: str, key: str) -> DataFrame:
+    """(case, passed, rank, observed) of each of `cases` (case, expected): the first of its ranked texts (case, key, rank) that contains what is expected, spaces aside."""
+    seen = ranked.join(texts.select(key, "text"), key).join(cases.select(case, "expected"), case)
+    hit = squeezed(F.col("text")).contains(squeezed(F.col("expected")))
+    best = seen.groupBy(case).agg(F.min(F.when(hit, F.col("rank"))).alias("rank"), F.count("*").alias("observed"))
+    return cases.select(case).join(best, case, "left").select(case, F.col("rank").isNotNull().alias("passed"), "rank", F.coalesce("observed", F.lit(0)).alias("observed"))
+
+
+def _recall(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, F.bround(part / whole, 4)).otherwise(0.0)
+
+
+def summary(ran: DataFrame, scope: str) -> DataFrame:
+    """(scope, cases, passed, recall, mrr) of what `run` gave, by scope and of all."""
+    n, passed = F.count("*"), F.count("rank")
+    return ran.rollup(scope).agg(n.alias("cases"), passed.alias("passed"), _recall(passed, n).alias("recall"), F.bround(F.sum(F.coalesce(1 / F.col("rank"), F.lit(0.0))) / n, 4).alias("mrr"))
+
+
+def recall_at(ran: DataFrame, k: int, skipped: Column) -> DataFrame:
+    """One row (cases, passed, skipped, recall): cases found among their first k; skipped ones don't count."""
+    tried = F.count_if(~skipped)
+    passed = F.count_if(~skipped & F.coalesce(F.col("rank") <= k, F.lit(False)))
+    return ran.agg(F.count("*").alias("cases"), passed.alias("passed"), F.count_if(skipped).alias("skipped"), _recall(passed, tried).alias("recall"))
+
+
+def golden_recall(terms: DataFrame, least: DataFrame, texts: DataFrame, scope: str) -> DataFrame:
+    """(scope, n, found, recall, mandatory_recall, passed): items of a golden set for which a text of the scope has a term of every group.
 
-    A set of queries of checked size is held against all documents in one pass. A larger one is looked up
-    by first characters among all grams of that length of the documents; cases shorter than that
-    are still compared with every document.
+    `terms` is as from golden_terms, a set that people wrote; `least` has the thresholds requirement_recall and mandatory_recall.
     """
-    c = cases.select("item_id", squeezed(F.col("text")).alias("needle"))
-    d = docs.select("doc_id", squeezed(F.col("text")).alias("hay"))
-    if cases.limit(BROADCAST_CASES + 1).count() <= BROADCAST_CASES:
-        hits = d.join(F.broadcast(c), F.col("hay").contains(F.col("needle"))).groupBy("item_id").agg(F.count("*").alias("n_docs"))
-        return cases.select("item_id").join(hits, "item_id", "left").na.fill(0, ["n_docs"])
-    long = c.where(F.length("needle") >= GRAM).withColumn("gram", F.substring("needle", 1, GRAM))
-    wanted = long.select("gram").distinct()
-    at = F.sequence(F.lit(1), F.length("hay") - GRAM + 1)
-    grams = d.where(F.length("hay") >= GRAM).select("doc_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("hay"), i, F.lit(GRAM))))).alias("gram"))
-    seen = grams.join(wanted, "gram").join(long, "gram").join(d, "doc_id").where(F.col("hay").contains(F.col("needle"))).select("item_id", "doc_id")
-    short = c.where(F.length("needle") < GRAM)
-    few = short.join(d, F.col("hay").contains(F.col("needle"))).select("item_id", "doc_id")
-    hits = seen.unionByName(few).groupBy("item_id").agg(F.count("*").alias("n_docs"))
-    return cases.select("item_id").join(hits, "item_id", "left").na.fill(0, ["n_docs"])
-
-
-def recall_at(hits: DataFrame, k: int) -> DataFrame:
-    """One row (cases, passed, skipped, recall) of hits (case_id, rank, hit); cases without any rank are skipped."""
-    first = rank_of_first(hits, "case_id", "rank", F.col("hit"))
-    tried = hits.groupBy("case_id").agg(F.max(F.col("rank").isNotNull()).alias("tried"))
-    x = first.join(tried, "case_id")
-    passed = F.count_if(F.col("tried") & (F.coalesce(F.col("first"), F.lit(k + 1)) <= k))
-    n = F.count_if(F.col("tried"))
-    return x.agg(F.count("*").alias("cases"), passed.alias("passed"), F.count_if(~F.col("tried")).alias("skipped"), F.when(n > 0, F.bround(passed / n, 4)).otherwise(0.0).alias("recall"))
+    items = terms.groupBy("item", "mandatory").agg(F.collect_list(F.transform("terms", F.lower)).alias("groups"))
+    held = items.agg(F.collect_list(F.struct("item", "mandatory", "groups")).alias("items"))
+    low = F.lower("text")
+    met = F.filter("items", lambda i: F.forall(i["groups"], lambda g: F.exists(g, lambda t: low.contains(t))))
+    found = texts.select(scope, "text").join(F.broadcast(held)).select(scope, F.explode(F.transform(met, lambda i: i["item"])).alias("item")).distinct().withColumn("found", F.lit(True))
+    whole = texts.select(scope).distinct().join(F.broadcast(items.select("item", "mandatory"))).join(found, [scope, "item"], "left")
+    n, hits, must, kept = F.count("*"), F.count("found"), F.count_if("mandatory"), F.count_if(F.col("mandatory") & F.col("found").isNotNull())
+    out = whole.groupBy(scope).agg(n.alias("n"), hits.alias("found"), _recall(hits, n).alias("recall"), _recall(kept, must).alias("mandatory_recall"))
+    limits = least.agg(*(F.coalesce(F.max(F.when(F.col("name") == x, F.col("least"))), F.lit(0.0)).alias(f"_{x}") for x in ("requirement_recall", "mandatory_recall")))
+    return out.join(F.broadcast(limits)).select(scope, "n", "found", "recall", "mandatory_recall", ((F.col("recall") >= F.col("_requirement_recall")) & (F.col("mandatory_recall") >= F.col("_mandatory_recall"))).alias("passed"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausewise.functions.clauses import clause_parts
+
 
 def _so_far(keys: list[str], order: str):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -42,3 +44,21 @@ def contents_run(nodes: DataFrame, keys: list[str], order: str) -> DataFrame:
     bad = F.when(~F.col("heading") & (F.col("ordinal") <= F.coalesce(before, F.lit(-1))), 1).otherwise(0)
     s = s.withColumn("_bad", bad)
     return s.withColumn("contents", (F.col("_seg") > 0) & (F.max("_bad").over(_so_far([*keys, "_seg"], order)) == 0)).drop("_seg", "_bad")
+
+
+def rebuilt_clauses(nodes: DataFrame, links: DataFrame, key: str, mandatory: str) -> DataFrame:
+    """(key, clause_no, order_no, section, content, context, hash, mandatory, type, evidence) of nodes (key, order_no, kind, section, content).
+
+    Headings and blank nodes have no clauses, tables and lists are one each, other nodes are cut
+    where their text says that a clause begins; numbers go through the document. A clause has its node's
+    evidence from `links` (key, order_no, place, evidence), each once, in order.
+    """
+    parts = F.when(F.upper("kind").isin("TABLE", "LIST"), F.array("content")).otherwise(clause_parts(F.col("content")))
+    each = nodes.where((F.upper("kind") != "SECTION") & F.col("content").isNotNull()).select(key, "order_no", "section", F.posexplode(parts).alias("_part", "content"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("order_no", "_part"))
+    first = links.groupBy(key, "order_no", "evidence").agg(F.min("place").alias("place"))
+    evidence = first.groupBy(key, "order_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
+    must = F.col("content").rlike(mandatory)
+    out = each.withColumn("clause_no", number).join(evidence, [key, "order_no"], "left")
+    context = F.concat(F.coalesce(F.concat(F.lit("章节："), "section", F.lit("\n")), F.lit("")), "content")
+    return out.select(key, "clause_no", "order_no", "section", "content", context.alias("context"), F.sha2("content", 256).alias("hash"), must.alias("mandatory"), F.when(must, "REQUIREMENT").otherwise("TEXT").alias("type"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clausewise.operators import ranking, scores
-from clausewise.plans import chunking, evaluation, matching, retrieval, rules
+from clausewise.plans import chunking, matching, rules
 from clausewise.queries.registry import Tables, query
 from clausewise.sources import tables as S
 
@@ -62,12 +62,6 @@ def qualification_check(t: Tables):
     return have.select("o_custkey", matching.all_present(F.col("have"), F.array(F.lit("1-URGENT"), F.lit("5-LOW"))).alias("result"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN false WHEN s_nationkey > 20 THEN NULL ELSE s_acctbal >= 1000 END AS result FROM supplier""")
-def financial_check(t: Tables):
-    first_no = F.when(F.col("s_acctbal") < 0, False).when(F.col("s_nationkey") > 20, None)
-    return t.supplier.select("s_suppkey", first_no.otherwise(F.col("s_acctbal") >= 1000).alias("result"))
-
-
 @query("""WITH m AS (SELECT l_orderkey AS k, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'A') AS a FROM lineitem GROUP BY 1),
 r AS (SELECT o_orderkey AS k, o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' AS b FROM orders)
 SELECT k, CASE WHEN coalesce(n, 0) > 0 THEN round_even(100.0::DOUBLE * coalesce(a, 0) / n, 2) ELSE 0 END AS score,
@@ -147,31 +141,7 @@ def mmr_select(t: Tables):
     return chunking.diverse(d, "conv_id", 3)
 
 
-@query("""WITH h AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, contains(lower(text), 'tion') AS hit FROM conversations WHERE role = 'assistant'),
-f AS (SELECT conv_id, min(CASE WHEN hit THEN rank END) AS first FROM h GROUP BY 1)
-SELECT count(*) AS cases, count(*) FILTER (WHERE first <= 1) AS passed, 0 AS skipped, round_even(count(*) FILTER (WHERE first <= 1)::DOUBLE / count(*), 4) AS recall FROM f""")
-def eval_recall(t: Tables):
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    hits = t.conversations.where("role = 'assistant'").select(F.col("conv_id").alias("case_id"), rank.alias("rank"), F.lower("text").contains("tion").alias("hit"))
-    return evaluation.recall_at(hits, 1)
-
-
-@query("""WITH g AS (SELECT doc_id, (contains(lower(text), 'the') OR contains(lower(text), 'der')) AND (contains(lower(text), 'license') OR contains(text, '@')) AS ok, lang FROM documents)
-SELECT lang, count(*) AS n, count(*) FILTER (WHERE ok) AS found, round_even(count(*) FILTER (WHERE ok)::DOUBLE / count(*), 4) AS recall FROM g GROUP BY lang""")
-def golden_recall(t: Tables):
-    groups = [["the", "der"], ["license", "@"]]  # every group needs one of its terms
-    low = F.lower("text")
-    ok = F.lit(True)
-    for terms in groups:
-        any_ = F.lit(False)
-        for x in terms:
-            any_ = any_ | low.contains(x)
-        ok = ok & any_
-    found = F.count_if(ok)
-    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), found.alias("found"), F.bround(found / F.count("*"), 4).alias("recall"))
-
-
-@query("""WITH p AS (SELECT d.doc_id, w.w FROM documents d, (SELECT unnest(['license', 'public', 'general']) AS w) w WHERE list_contains(list_distinct(regexp_split_to_array(lower(d.text), '[^a-z0-9]+')), w.w))
+@query("""WITH p AS (SELECT d.doc_id, w.w FROM documents d, (SELECT unnest(['license', 'public', 'general']) AS w) w WHERE list_contains(regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}]+'), w.w))
 SELECT doc_id, count(*) AS score FROM p GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""")
 def lex_topk(t: Tables):
     postings = t.documents.select("doc_id", F.explode(scores.tokens(F.col("text"))).alias("w")).where(F.col("w").isin("license", "public", "general"))
@@ -187,47 +157,15 @@ def section_top2(t: Tables):
     return ranking.first_per(s, ["source"], [F.desc("score"), "doc_id"], 2).select("source", "doc_id", "score", "n")
 
 
-@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 5),
-d AS (SELECT vec_id, label, row_number() OVER (ORDER BY list_cosine_distance(embedding::DOUBLE[], (SELECT e FROM q)::DOUBLE[]), vec_id) AS rank FROM embeddings),
-l AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings WHERE label = 3),
-u AS (SELECT vec_id, 0.65 / (60 + rank) AS s FROM d WHERE rank <= 30 UNION ALL SELECT vec_id, 0.35 / (60 + rank) FROM l WHERE rank <= 30)
-SELECT vec_id, round(score, 9) AS score FROM (SELECT vec_id, sum(s::DOUBLE) AS score FROM u GROUP BY vec_id) ORDER BY round(score, 9) DESC, vec_id LIMIT 10""")
-def hybrid_candidates(t: Tables):
-    lexical = t.embeddings.where("label = 3").orderBy("vec_id").limit(30).select("vec_id", F.row_number().over(Window.orderBy("vec_id")).alias("rank"))
-    fused = scores.fuse(retrieval.nearest(t.embeddings, 5, 30).select("vec_id", "rank"), lexical, ["vec_id"])
-    return fused.select("vec_id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
-
-
-@query("""WITH n AS (SELECT conv_id, turn, role, text, turn - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS run, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM conversations)
-SELECT conv_id, count(*) AS kept, min(turn) AS from_turn FROM n WHERE used <= 1500 GROUP BY conv_id""")
-def neighbor_expand(t: Tables):
-    n = scores.running(t.conversations, ["conv_id"], [F.desc("turn")], F.length("text"), "used")
-    return n.where("used <= 1500").groupBy("conv_id").agg(F.count("*").alias("kept"), F.min("turn").alias("from_turn"))
-
-
 # --- chunks and packs ---
 
 
-@query()
-def chunk_nodes(t: Tables):
-    nodes = t.documents.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("order_no", "content"))
-    rows = nodes.select("doc_id", F.col("order_no").cast("long").alias("order_no"), F.lit("PARAGRAPH").alias("kind"), F.col("source").alias("section"), "content", F.col("content").rlike(r"^\s*[0-9]+[.)]").alias("clause"))
-    return chunking.chunk_nodes(rows, "doc_id")
-
-
 @query()
 def pack_batches(t: Tables):
     items = t.conversations.select("conv_id", "turn", F.length("text").cast("long").alias("n"))
     return chunking.pack_batches(items, "conv_id", "turn", "n", 6, 9000, 160)
 
 
-@query()
-def merge_short_residue(t: Tables):
-    nodes = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("order_no", "content"))
-    rows = nodes.select("doc_id", F.col("order_no").cast("long").alias("order_no"), (F.col("order_no") / 20).cast("int").alias("page"), "content")
-    return chunking.merge_residues(rows, "doc_id").select("doc_id", "order_no", "into")
-
-
 # --- sources, state and observation ---
 
 

@@ -263,15 +263,6 @@ def fact_projection(t: Tables):
     return of("FIELD", t.part.where("p_size <= 10")).unionByName(of("REQUIREMENT", t.part.where(F.col("p_type").isin("PROMO", "SMALL"))))
 
 
-@query("""WITH s AS (SELECT source, doc_id, CAST(contains(lower(text), 'license') AS INT) + CAST(contains(text, '@') AS INT) AS score FROM documents),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0)
-SELECT source, doc_id, score FROM r WHERE r <= 3""")
-def candidate_select(t: Tables):
-    score = F.lower("text").contains("license").cast("int") + F.col("text").contains("@").cast("int")
-    s = t.documents.select("source", "doc_id", score.alias("score")).where("score > 0")
-    return ranking.first_per(s, ["source"], [F.desc("score"), "doc_id"], 3)
-
-
 @query("""SELECT l_suppkey, s_name, count(*) AS n, round_even(100.0::DOUBLE * count(*) FILTER (WHERE l_returnflag = 'A') / count(*), 2) AS coverage FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL ORDER BY coverage DESC, l_suppkey LIMIT 12""")
 def fit_summary(t: Tables):
     x = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_suppkey", "s_name")

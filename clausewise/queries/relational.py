@@ -225,20 +225,6 @@ def relation_validate(t: Tables):
     return out.withColumn("missing", F.col("target_key").isNull())
 
 
-@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
-d AS (SELECT vec_id, row_number() OVER (ORDER BY list_cosine_distance(embedding::DOUBLE[], (SELECT e FROM q)::DOUBLE[]), vec_id) AS rank FROM embeddings),
-l AS (SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) AS rank FROM embeddings),
-u AS (SELECT vec_id, 0.65 / (60 + rank) AS s FROM d WHERE rank <= 60 UNION ALL SELECT vec_id, 0.35 / (60 + rank) FROM l WHERE rank <= 60)
-SELECT vec_id, round(sum(s::DOUBLE), 9) AS score FROM u GROUP BY vec_id""")
-def rrf_fusion(t: Tables):
-    from clausewise.plans.retrieval import nearest
-
-    dense = nearest(t.embeddings, 0, 60).select("vec_id", "rank")
-    top = t.embeddings.orderBy(F.desc("label"), "vec_id").limit(60)
-    lexical = top.select("vec_id", F.row_number().over(Window.orderBy(F.desc("label"), "vec_id")).alias("rank"))
-    return scores.fuse(dense, lexical, ["vec_id"]).select("vec_id", F.round("score", 9).alias("score"))
-
-
 # --- aggregates ---
 
 
@@ -310,11 +296,6 @@ def preflight_counts(t: Tables):
     return t.documents.agg(F.count("*").alias("n_docs"), F.countDistinct("doc_id").alias("n_ids"), F.count("text").alias("n_texts"))
 
 
-@query("""SELECT coalesce(event_type, 'ALL') AS scope, count(*) AS n, round(avg(1.0 / (1 + user_id)), 6) AS mrr FROM events GROUP BY ROLLUP (event_type)""")
-def eval_mrr_rollup(t: Tables):
-    return t.events.rollup("event_type").agg(F.count("*").alias("n"), F.round(F.avg(1.0 / (1 + F.col("user_id"))), 6).alias("mrr")).select(F.coalesce("event_type", F.lit("ALL")).alias("scope"), "n", "mrr")
-
-
 @query("""WITH n AS (SELECT lower(trim(regexp_replace(p_type || ' ' || p_brand, '\\s+', ' ', 'g'))) AS title, p_partkey, p_size, p_name FROM part)
 SELECT title, count(*) AS n_ids, max(p_size) AS severity, arg_max(p_name, (length(p_name), p_name)) AS description FROM n GROUP BY title""")
 def finding_merge(t: Tables):
@@ -347,7 +328,8 @@ FROM embeddings ORDER BY list_cosine_distance(embedding::DOUBLE[], (SELECT embed
 def knn_cosine(t: Tables):
     from clausewise.plans.retrieval import nearest
 
-    return nearest(t.embeddings, 3, 20).select("vec_id", F.round("distance", 9).alias("distance"))
+    asked = t.embeddings.where("vec_id = 3").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return nearest(t.embeddings, asked, 20).select("vec_id", F.round("distance", 9).alias("distance"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_returnflag, l_partkey FROM lineitem
@@ -471,7 +453,7 @@ def set_ordered_union(t: Tables):
     return t.part.select("p_partkey", F.array_join(u, "|").isNotNull().alias("ok"), F.size(u).cast("long").alias("n"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2)) AS w FROM conversations)
+@query(r"""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: length(x) >= 2)) AS w FROM conversations)
 SELECT a.conv_id, a.turn, round(CASE WHEN len(list_distinct(a.w || b.w)) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))::DOUBLE END, 9) AS similarity
 FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def jaccard(t: Tables):

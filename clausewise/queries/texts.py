@@ -184,26 +184,28 @@ def followup_query(t: Tables):
     return with_previous(t.conversations, "conv_id", "turn", "role", "text", 40, 2000).select("conv_id", "turn", "query")
 
 
-@query("""SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2), ' ') AS words FROM conversations""")
+@query(r"""SELECT doc_id, array_to_string(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: length(x) >= 2)), ' ') IS NOT NULL AS ok, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: length(x) >= 2))) AS n, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') AS words FROM documents""")
 def tokens(t: Tables):
-    kept = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: F.length(x) >= 2)
-    return t.conversations.select("conv_id", "turn", F.array_join(kept, " ").alias("words"))
+    from clausewise.functions.words import words
+    from clausewise.operators.scores import tokens as distinct
 
+    return t.documents.select("doc_id", distinct(F.col("text")).isNotNull().alias("ok"), F.size(distinct(F.col("text"))).cast("long").alias("n"), F.array_join(words(F.col("text")), " ").alias("words"))
 
-@query("""WITH q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2))) AS w FROM benchmark),
-d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2))) AS w FROM documents),
-n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1)
-SELECT item_id, doc_id FROM (SELECT item_id, doc_id, count(*) AS m FROM q JOIN d USING (w) GROUP BY ALL) JOIN n USING (item_id) WHERE m = n""")
+
+@query(r"""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark),
+d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM documents),
+m AS (SELECT item_id, doc_id, count(*) AS m FROM (SELECT item_id, unnest(w) AS w FROM q) JOIN d USING (w) GROUP BY ALL)
+SELECT item_id, doc_id FROM m JOIN q USING (item_id) WHERE m = len(w)""")
 def lex_and_match(t: Tables):
-    from clausewise.operators import scores
+    from clausewise.plans.lexical import matches
 
-    q = t.benchmark.select("item_id", F.explode(scores.tokens(F.col("text"))).alias("term"))
-    return scores.all_terms(t.documents, "doc_id", "text", q, "item_id", "term").select("item_id", "doc_id")
+    return matches(t.documents, "doc_id", t.benchmark, "item_id").select("item_id", "doc_id")
 
 
-@query("SELECT doc_id, regexp_replace(text, '(?is)license.*?public', '', 'g') AS stripped FROM documents")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b(the|der|la) ', '<think>', 'g'), '\b(of|und|el) ', '</THINK>', 'g'), '(?is)<think>.*?</think>', '', 'g'), '(?i)</?think>', '', 'g') AS hash FROM documents""".replace("AS hash", "AS stripped"))
 def strip_reasoning(t: Tables):
-    return t.documents.select("doc_id", F.regexp_replace("text", "(?is)license.*?public", "").alias("stripped"))
+    said = F.regexp_replace(F.regexp_replace("text", r"\b(the|der|la) ", "<think>"), r"\b(of|und|el) ", "</THINK>")
+    return t.documents.select("doc_id", T.without_reasoning(said).alias("stripped"))
 
 
 @query("""SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '([0-9]+)@mail', 1)), ',') IS NOT NULL AS ok, len(list_distinct(regexp_extract_all(text, '([0-9]+)@mail', 1))) AS n FROM documents""")
