@@ -44,7 +44,7 @@ def library(path: str, pattern: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (doc_id, ids) with the ids of every text under the ranks at `path`; `docs` as from files (see wordblocks)."""
-    dictionaries, texts = blocks(docs.select("doc_id", F.col(text).alias("text")), pretokens, keep=False, block_bytes=block_bytes)
+    dictionaries, texts = blocks(docs.select("doc_id", F.col(text).alias("text")), lambda texts: pretokens(texts.to_pylist()), keep=False, block_bytes=block_bytes)
 
     def answer(bucket: Bucket):
         enc = library(path, pattern).encode_ordinary

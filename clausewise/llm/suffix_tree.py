@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ from clausewise.llm.wordblocks import Bucket, blocks, lookup, n_buckets, pack, u
 #: Pseudo-counts that go to the suffix.
 MU = 8.0
 #: Occurrences from which a context is dealt over several buckets, and levels that are made again from the texts.
-SPLIT, AGAIN = 1 << 21, 2
+SPLIT, AGAIN = 1 << 21, 3
 #: Text bytes of a block, and those whose contexts one bucket sums.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
 _UNIT = 64  # rounding of log2 probabilities in the test
@@ -59,10 +60,13 @@ def price(tokens: int) -> float:
     return 12.0 + 2.0 ** (tokens + 1)
 
 
-def words(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Lower-cased (A-Z) runs between ASCII white space, and each text's number of them."""
-    lists = [t.encode().lower().split() for t in texts]
-    return [w for x in lists for w in x], np.fromiter(map(len, lists), np.int64, len(lists))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, ends = lists.flatten(), lists.offsets.to_numpy()[: len(texts) + 1]
+    full = pc.not_equal(pc.binary_length(flat), 0)  # there is an empty one before and after white space at the ends
+    before = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
+    return flat.filter(full), np.diff(before[ends - ends[0]])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -187,11 +191,13 @@ class Texts:
         context = self.number[self.first]
         self.symbol = self.tokens[self.at[self.first]]
         self.told = most[self.first] >= 2  # what may occur twice, whose probability is needed
-        self.parts = (1 + total // self.split)[self.first]
+        self.parts = 1 + total[self.first] // self.split
         key = self.keys[context]
         self.hot = self.parts > 1
-        part = self.hash[self.symbol] % self.parts.astype(np.uint64)
-        self.dealt = np.where(self.hot, mixed(key + part * _M) | np.uint64(1), key & ~np.uint64(1))
+        self.dealt = key & ~np.uint64(1)
+        split = np.flatnonzero(self.hot)
+        part = self.hash[self.symbol[split]] % self.parts[split].astype(np.uint64)
+        self.dealt[split] = mixed(key[split] + part * _M) | np.uint64(1)
         # in order of their hashes (of its first bits; the rest only has to be the same each time)
         place = np.uint64(max(len(key) - 1, 0).bit_length())
         z = (self.dealt >> place << place) | np.arange(len(key), dtype=np.uint64)

@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ BLOCK_BYTES = 16 << 20
 BUCKET_BYTES = 256 << 20
 ROW_WORDS = 1 << 18
 
-Split = Callable[[list[str]], tuple[list, np.ndarray]]
+#: Texts (without nulls) to their words, one after another, and each text's number of them; words as a list, or as an Arrow array.
+Split = Callable[[pa.Array], tuple[list | pa.Array, np.ndarray]]
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -100,8 +102,12 @@ def _maker(split: Split, buckets: int, block_bytes: int, dictionaries: bool, tex
         numbers, ids, sizes, seqs, uses, held = _Numbers(), [], [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words = [w if isinstance(w, bytes) else w.encode() for w in numbers]
-            seq = np.concatenate(seqs) if seqs else np.zeros(0, np.int32)
+            if seqs and isinstance(seqs[0], pa.Array):  # numbered by Arrow, all at once
+                coded = pa.concat_arrays(seqs).cast(pa.binary()).dictionary_encode()
+                words, seq = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            else:
+                words = [w if isinstance(w, bytes) else w.encode() for w in numbers]
+                seq = np.concatenate(seqs) if seqs else np.zeros(0, np.int32)
             n_words = np.array(sizes, np.int64)
             order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), np.int32)
@@ -122,12 +128,16 @@ def _maker(split: Split, buckets: int, block_bytes: int, dictionaries: bool, tex
                 at = to
 
         for batch in steps(batches, "text", 1 << 20):
-            words, counts = split(no_null(batch.column("text")).to_pylist())
+            words, counts = split(no_null(batch.column("text")))
             ids += batch.column("doc_id").to_pylist()
             uses += batch.column("counted").to_pylist()
             sizes += counts.tolist()
-            seqs.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-            held += batch.get_total_buffer_size() if batch.num_rows == 1 else sum(map(len, words))
+            if isinstance(words, pa.Array):
+                seqs.append(words)
+                held += pc.sum(pc.binary_length(words)).as_py() or 0
+            else:
+                seqs.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                held += batch.get_total_buffer_size() if batch.num_rows == 1 else sum(map(len, words))
             if held >= block_bytes:
                 yield from flush()
                 block += 1
