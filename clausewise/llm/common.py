@@ -25,16 +25,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows and bytes of one Arrow batch, since texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Bounds the rows and bytes of one Arrow batch, since texts may be long.
+
+    Plans read these settings when they run, after an operator has returned, so they can't be put back; what the
+    session has set lower stays.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 16 << 20)):
+        at = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if not (at or "").isdigit() or not 0 < int(at) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder the cluster names; a temporary one only in local mode, where all tasks see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="clausewise-"))
     return _own_dir[0]

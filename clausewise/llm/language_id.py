@@ -116,9 +116,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", k: int = PROF
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    best = counts.withColumn("rank", rank - 1).where(F.col("rank") < k).select("lang", "gram", "rank").toPandas()
-    if best.lang.nunique() > MAX_LANGUAGES:
+    if rows.select("l").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:  # before anything is collected
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    best = counts.withColumn("rank", rank - 1).where(F.col("rank") < k).select("lang", "gram", "rank").toPandas()
     return {name: g.sort_values("rank").gram.to_numpy(np.int64) for name, g in best.groupby("lang")}
 
 

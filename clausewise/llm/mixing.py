@@ -36,8 +36,8 @@ SLOTS = 4096
 GROUP = 64  # shards of a group
 CHUNK = 8192  # documents of a chunk, on average
 SEED = 20240229
-#: Sources at most, since a row for each reaches the driver.
-MAX_SOURCES = 100_000
+#: Sources whose rows may be broadcast.
+BROADCAST_ROWS = 1 << 17
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
 # ASCII white space, which separates words.
@@ -142,9 +142,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     spark = docs.sparkSession
     sized = with_sizes(docs.select("doc_id", "text", "source"))
     sized = written(sized.withColumn("row", F.monotonically_increasing_id()).withColumn("order", F.xxhash64(F.lit(SEED), "doc_id")), "sizes")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).limit(MAX_SOURCES + 1).toPandas()
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).toPandas()  # a row for each source
     sources["sort"] = [(s is None, (s or "").encode("utf-32-be", "surrogatepass")) for s in sources.source]
     sources = sources.sort_values("sort").reset_index(drop=True)
     w = [weights[i % len(weights)] for i in range(len(sources))]
@@ -158,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, source string, size long, row long, source_size long, target double, taken long, pieces array<struct<a:long,n:long,times:long>>")
 
     # where each document starts among its source's words: running sums inside chunks, and over chunks
-    d = sized.join(F.broadcast(info), sized.source.eqNullSafe(info.source)).drop(info.source)
+    d = sized.join(F.broadcast(info) if len(sources) <= BROADCAST_ROWS else info, sized.source.eqNullSafe(info.source)).drop(info.source)
     d = d.withColumn("chunk", F.pmod("order", F.ceil(F.col("n_docs") / CHUNK)))
     chunks = d.groupBy("s", "chunk").agg(F.sum("size").alias("chunk_size"))
     chunks = chunks.withColumn("chunk_start", F.sum("chunk_size").over(Window.partitionBy("s").orderBy("chunk")) - F.col("chunk_size"))

@@ -9,8 +9,8 @@ lengths, position ids that start again with each segment, and which document and
 segment is from, so every document can be put together again.
 
 Edge cases: null and empty texts have no tokens and are in no row; a text longer than a row is split
-into pieces whose offsets follow each other; repeated rows are packed each. An empty table gives
-no rows.
+into pieces whose offsets follow each other; repeated rows are packed each; a null doc_id stays null. An
+empty table gives no rows. Other columns are left out. ids have 16 bits if all of the vocabulary and the padding fit, else 32.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.byte_bpe import library, spread
+from clausewise.llm.byte_bpe import library, ranks_of, spread
 from clausewise.llm.common import no_null, small_batches, steps
 from clausewise.llm.pretokens import pretokens
 
@@ -116,11 +116,17 @@ OUT = "window long, row int, input_ids binary, n_tokens int, cu_seqlens array<in
 _SCHEMA = pa.schema([("window", pa.int64()), ("row", pa.int32()), ("input_ids", pa.binary()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64()))])
 
 
+def id_type(path: str, pad: int = PAD) -> str:
+    """The type of the packed ids of a vocabulary."""
+    return "<u2" if max(pad, *ranks_of(path).values()) < 1 << 16 else "<u4"
+
+
 def packed(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, window: int = WINDOW, pad: int = PAD) -> DataFrame:
-    """Rows of `length` ids: little-endian unsigned 16-bit `input_ids` and `position_ids`, `cu_seqlens` from 0, segments' `doc_ids` and `offsets`."""
-    if not 0 < length <= 1 << 16 or not 0 <= pad < 1 << 16:
-        raise ValueError("rows and ids must fit 16 bits")
+    """Rows of `length` ids: little-endian unsigned `input_ids` (see id_type) and 16-bit `position_ids`, `cu_seqlens` from 0, segments' `doc_ids` and `offsets`."""
+    if not 0 < length <= 1 << 16 or not 0 <= pad < 1 << 32:
+        raise ValueError("rows must fit 16 bits, ids 32")
     small_batches(docs.sparkSession)
+    kind = id_type(path, pad)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -143,7 +149,7 @@ def packed(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, windo
                 out: list[list] = [[] for _ in _SCHEMA]
                 for j, row in enumerate(rows[at : at + 256], at):
                     sizes = k[row]
-                    whole, place = np.full(length, pad, "<u2"), np.zeros(length, "<u2")
+                    whole, place = np.full(length, pad, kind), np.zeros(length, "<u2")
                     total = int(sizes.sum())
                     whole[:total] = ids[spread(start[row], sizes)]
                     place[:total] = spread(np.zeros(len(row), np.int64), sizes)
