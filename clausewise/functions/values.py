@@ -47,12 +47,18 @@ def is_uuid(text: Column) -> Column:
     return F.coalesce(F.lower(text).rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), F.lit(False))
 
 
+_OFFSET = r"(?i:Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
 def iso_time(text: Column) -> Column:
-    """An ISO date or time as UTC; null if it is none."""
-    ok = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?$")
-    return F.when(ok, F.try_to_timestamp(text))
+    """An ISO date or time, in UTC if it has no offset; null if it is none."""
+    t = F.trim(text)
+    ok = t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?(?i:Z|[+-][0-9]{2}:?[0-9]{2})?)?$")
+    whole = F.regexp_replace(F.regexp_replace(t, r"([T ][0-9]{2}:[0-9]{2})(?![:0-9])", "$1:00"), r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    zoned = F.when(~t.contains(":"), F.concat(t, F.lit("T00:00:00Z"))).when(t.rlike(_OFFSET), whole).otherwise(F.concat(F.regexp_replace(t, r"([T ][0-9]{2}:[0-9]{2})(?![:0-9])", "$1:00"), F.lit("Z")))
+    return F.when(ok, F.try_to_timestamp(F.upper(zoned)))
 
 
 def deadline(text: Column, zone: str = "Asia/Shanghai") -> Column:
     """Times without an offset are local to `zone`."""
-    return F.to_utc_timestamp(iso_time(text), zone)
+    return F.when(F.trim(text).rlike(_OFFSET) & text.contains(":"), iso_time(text)).otherwise(F.to_utc_timestamp(iso_time(text), zone))

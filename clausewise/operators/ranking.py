@@ -13,6 +13,22 @@ def first_per(df: DataFrame, keys: list[str], order: list, n: int = 1, rank: str
     return out if rank else out.drop(r)
 
 
+def placed(df: DataFrame, keys: list[str], order: str, name: str, width: int = 1 << 16) -> DataFrame:
+    """Adds the place of a row among those of its key, from 1, by `order`, a whole number without repeats.
+
+    Places are counted in ranges of `width` numbers, and ranges by their sizes, so no task has all rows of a key.
+    """
+    rows = df.withColumn("_range", F.floor(F.col(order) / width))
+    sizes = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), before.alias("_before"))
+    same = F.col("_range").eqNullSafe(F.col("_r"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
+    return rows.join(starts, same).withColumn(name, F.col("_before") + inside).select(*df.columns, name)
+
+
 def demote_others(df: DataFrame, keys: list[str], order: list, status: str, to: str, where: Column) -> DataFrame:
     """Among the rows where `where` holds, all but the first of each key get the status `to`."""
     rank = F.row_number().over(Window.partitionBy(*keys, where).orderBy(*order))

@@ -28,7 +28,12 @@ def _folded(df: DataFrame, key: str, order: list, fold: Callable[[list[dict]], l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [r for rows in batch.column("rows").to_pylist() for r in fold(rows)]
+            out: list[dict] = []
+            for group in batch.column("rows"):  # one group at a time is held as rows
+                out += fold(group.as_py())
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_pylist(out, kind)
+                    out = []
             yield pa.RecordBatch.from_pylist(out, kind)
 
     return groups.mapInArrow(run, schema)

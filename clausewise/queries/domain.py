@@ -115,7 +115,13 @@ RULE = {
         {"source": "project", "field": "o_custkey", "op": "LT", "value": {"source": "project", "field": "o_orderkey"}},
     ],
     "message_template": "large urgent order",
-    "evidence_selector": "project",
+    "evidence_selector": {"source": "project"},
+}
+#: A built-in rule over materials: one that ended before the project's date.
+EXPIRED = {
+    "all": [{"source": "material", "field": "valid_to", "op": "DATE_BEFORE", "value": {"source": "project", "field": "o_orderdate"}}, {"source": "requirement", "field": "is_mandatory", "op": "EQ", "value": True}],
+    "message_template": "certificate ended before the deadline",
+    "evidence_selector": {"source": "material"},
 }
 
 
@@ -125,6 +131,13 @@ def rule_dsl(t: Tables):
     return t.orders.where(rules.compile_rule(RULE)).select("o_orderkey")
 
 
+@query("""SELECT o_orderkey, l_linenumber, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE) AND o_orderpriority = '1-URGENT'""")
+def rule_builtin(t: Tables):
+    rules.validate(EXPIRED, set(t.orders.columns), builtin=True)
+    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("material", F.struct(F.col("l_shipdate").alias("valid_to"))).withColumn("requirement", F.struct((F.col("o_orderpriority") == "1-URGENT").alias("is_mandatory")))
+    return rows.where(rules.compile_rule(EXPIRED)).select("o_orderkey", "l_linenumber", "l_partkey")
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'ACCEPTED' ELSE 'OPEN' END AS status FROM orders WHERE o_totalprice > 300000""")
 def risk_merge(t: Tables):
     found = t.orders.where("o_totalprice > 300000").select("o_orderkey")
@@ -312,6 +325,8 @@ def multi_value_merge(t: Tables):
 
 @query("""SELECT coalesce(reason, 'KEPT') AS reason, count(*) AS n FROM (SELECT CASE WHEN n_chars < 100 THEN 'TOO_SHORT' WHEN contains(text, '!!') THEN 'GARBLED_TEXT' WHEN count(*) OVER (PARTITION BY text) > 1 THEN 'DUPLICATE_FRAGMENT' END AS reason FROM documents) GROUP BY 1""")
 def clean_summary(t: Tables):
-    copies = F.count("*").over(Window.partitionBy(F.xxhash64("text"), F.md5("text")))
-    reason = F.when(F.col("n_chars") < 100, "TOO_SHORT").when(F.col("text").contains("!!"), "GARBLED_TEXT").when(F.col("copies") > 1, "DUPLICATE_FRAGMENT").otherwise("KEPT")
-    return t.documents.withColumn("copies", copies).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    own = F.when(F.col("n_chars") < 100, "TOO_SHORT").when(F.col("text").contains("!!"), "GARBLED_TEXT")
+    # a row for each text, as its hash: texts stay where they are
+    each = t.documents.groupBy(F.md5("text").alias("h"), own.alias("own")).agg(F.count("*").alias("n"))
+    reason = F.coalesce("own", F.when(F.col("n") > 1, "DUPLICATE_FRAGMENT"), F.lit("KEPT"))
+    return each.groupBy(reason.alias("reason")).agg(F.sum("n").alias("n"))

@@ -122,8 +122,8 @@ c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS n, row_number() OVER
 SELECT doc_id, pos, n >= 3 AND length(key) <= 120 AND length(key) > 0 AND r > 1 AS duplicate FROM c""")
 def win_dup_fragment(t: Tables):
     key = T.duplicate_key(F.col("line"))
-    w = Window.partitionBy("doc_id", "key")
-    n, r = F.count("*").over(w), F.row_number().over(w.orderBy("pos"))
+    w = Window.partitionBy("doc_id", "key").orderBy("pos")  # one order, so one sort
+    n, r = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.row_number().over(w)
     return _lines(t).withColumn("key", key).select("doc_id", "pos", ((n >= 3) & (F.length("key") <= 120) & (F.length("key") > 0) & (r > 1)).alias("duplicate"))
 
 

@@ -88,7 +88,9 @@ def limited(attempts: DataFrame, most: int, seconds: int) -> DataFrame:
 
 def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now, and returns its output as a table in the shared folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     base = f"{named or tempfile.mkdtemp(prefix='clausewise-')}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", f"{base}/out")

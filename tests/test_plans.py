@@ -52,23 +52,27 @@ def test_decisions(spark):
 
 
 def condition(**c):
-    return {"all": [{"source": "project", **c}], "message_template": "", "evidence_selector": ""}
+    return {"all": [{"source": "project", **c}], "message_template": "m", "evidence_selector": {"source": "project"}}
 
 
 @pytest.mark.parametrize("c,want", [
     ({"field": "a", "op": "GT", "value": "3"}, [4]), ({"field": "a", "op": "LTE", "value": 2}, [1, 2]), ({"field": "a", "op": "GT", "value": "x"}, []),
     ({"field": "a", "op": "EXISTS"}, [1, 2, 4]), ({"field": "a", "op": "NOT_EXISTS"}, [None]), ({"field": "a", "op": "IN", "value": [1, 4]}, [1, 4]),
     ({"field": "a", "op": "IN", "value": 1}, []), ({"field": "a", "op": "NE", "value": 1}, [2, 4, None]), ({"field": "a", "op": "EQ", "value": {"source": "project", "field": "b"}}, [2]),
-    ({"field": "at", "op": "LT_NOW"}, [1]), ({"field": "at", "op": "DATE_BEFORE", "value": "2030-01-01"}, []),
+    ({"field": "at", "op": "LT_NOW"}, [1]), ({"field": "at", "op": "DATE_BEFORE", "value": "2030-01-01"}, [1]), ({"source": "material", "field": "to", "op": "DATE_BEFORE", "value": {"source": "project", "field": "at"}}, [1, 2]),
 ])
 def test_rules(spark, c, want):
     d = spark.createDataFrame([(1, 9, "2001-01-01"), (2, 2, "2999-01-01"), (4, None, None), (None, 1, "no date")], "a int, b int, at string")
     rule = condition(**c)
-    rules.validate(rule, {"a", "b", "at"})
+    rules.validate(rule, {"a", "b", "at"}, builtin=True)
+    if c["op"] == "DATE_BEFORE":
+        with pytest.raises(rules.InvalidRule):
+            rules.validate(rule, {"a", "b", "at"})
+    d = d.withColumn("material", F.struct(F.lit("2000-05-05").alias("to")))
     assert sorted((r.a for r in d.where(rules.compile_rule(rule)).collect()), key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("bad", [{}, condition(field="z", op="EQ", value=1), condition(field="a", op="LIKE", value=1), {**condition(field="a", op="EQ"), "all": []}, {**condition(field="a", op="EQ"), "more": 1}, condition(field="a", op="EQ", extra=1)])
+@pytest.mark.parametrize("bad", [{}, condition(field="z", op="EQ", value=1), condition(field="a", op="LIKE", value=1), {**condition(field="a", op="EQ"), "all": []}, {**condition(field="a", op="EQ"), "more": 1}, condition(field="a", op="EQ", extra=1), condition(field="a", op="EQ"), condition(field="a", op="EQ", value={"x": 1}), condition(field="a", op="IN", value=[{}]), {**condition(field="a", op="EXISTS"), "message_template": " "}, {**condition(field="a", op="EXISTS"), "evidence_selector": {}}, condition(source="material", field="a", op="EXISTS")])
 def test_invalid_rules(bad):
     with pytest.raises(rules.InvalidRule):
         rules.validate(bad, {"a"})
@@ -86,6 +90,20 @@ def test_values(spark):
     assert [(x.m, x.r, x.w) for x in got] == [(5e7, 0.12, None), (3000.0, 0.5, None), (2e8, 0.45, None), (None, None, None)]
 
 
+def test_times(spark):
+    want = {"2024-05-01": ("2024-05-01 00:00:00", "2024-04-30 16:00:00"), "2024-05-01T10:00:00Z": ("2024-05-01 10:00:00",) * 2, "2024-05-01 10:00:30+08:00": ("2024-05-01 02:00:30",) * 2, "2024-05-01T10:00-0530": ("2024-05-01 15:30:00",) * 2, "2024-05-01T10:00": ("2024-05-01 10:00:00", "2024-05-01 02:00:00"), "2024-05-01T10:00:00.250z": ("2024-05-01 10:00:00.25",) * 2, "2024-13-01": (None, None), "May": (None, None)}
+    d = spark.createDataFrame([(k,) for k in want], "t string")
+    got = {r.t: (r.a, r.b) for r in d.select("t", V.iso_time(F.col("t")).cast("string").alias("a"), V.deadline(F.col("t")).cast("string").alias("b")).collect()}
+    assert got == want
+
+
+def test_places(spark):
+    rows = [("a", i) for i in (5, 1, 90, 91, 250, 251, 252)] + [(None, i) for i in (3, 400)]
+    d = spark.createDataFrame(rows, "k string, i int")
+    got = {(r.k, r.i): r.place for r in ranking.placed(d, ["k"], "i", "place", width=100).collect()}
+    assert got == {(k, i): sorted(j for x, j in rows if x == k).index(i) + 1 for k, i in rows}
+
+
 def test_normal_forms(spark):
     d = spark.createDataFrame([("Ａ​ b\r\n\r\n  c\t\td  ",), (None,)], "t string")
     assert [r.t for r in d.select(T.normalized(F.col("t")).alias("t")).collect()] == ["A b\nc d", None]
@@ -105,9 +123,9 @@ def test_findings(spark):
     assert [tuple(r) for r in findings.merge_values(v, ["k"], "v", "c", ["i"]).collect()] == [(1, "p,q", 0.9)]
 
 
-@pytest.mark.parametrize("most", [0, 10])
-def test_contained_short_and_long(spark, monkeypatch, most):
-    monkeypatch.setattr(evaluation, "BROADCAST_CASES", most)
+@pytest.mark.parametrize("block", [1, 10])
+def test_contained_short_and_long(spark, monkeypatch, block):
+    monkeypatch.setattr(evaluation, "BLOCK", block)
     cases = spark.createDataFrame([(1, "short one"), (2, "a text of more than twenty four characters"), (3, "never")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "xx short  one"), (2, "a text of more thantwenty four characters!"), (3, ""), (4, None)], "doc_id long, text string")
     assert {r.item_id: r.n_docs for r in evaluation.contained(cases, docs).collect()} == {1: 1, 2: 1, 3: 0}
