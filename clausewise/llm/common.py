@@ -48,11 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    The shuffle files of its plan go once it is written (a setting of Spark 4.1, put back afterwards).
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/clausewise-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

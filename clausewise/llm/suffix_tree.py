@@ -31,9 +31,7 @@ apart by 64-bit hashes of their tokens.
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -430,13 +428,6 @@ def _from_rest(model: Model, level: int):
     return run
 
 
-def _free(spark) -> None:
-    """Lets Spark delete the shuffle files of plans that are written: it does when their objects are collected, which listeners hold a moment longer."""
-    time.sleep(1)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score_all(docs: DataFrame, trains, split: int = SPLIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Scores every text of `docs` (doc_id, text) by a tree of the rows for which `trains` holds; adds `train_tokens`."""
     spark = docs.sparkSession
@@ -450,7 +441,6 @@ def score_all(docs: DataFrame, trains, split: int = SPLIT, block_bytes: int = BL
         return lambda places: [pack_counts(bucket.counts[places]), pack_counts(1 + places * stride + bucket.number), first.pop() if first else None]
 
     answers = written(lookup(dictionaries, answer, 3), "answers")
-    _free(spark)
     sums = [unpack(r.v2, np.int64) for r in answers.where("v2 is not null").select("v2").collect()]  # a row a bucket
     n, v = (int(sum(s[i] for s in sums)) for i in (0, 1))
     n, v = n + n_texts, v + (n_texts > 0)
@@ -461,7 +451,6 @@ def score_all(docs: DataFrame, trains, split: int = SPLIT, block_bytes: int = BL
     def answered(questions: DataFrame, level: int) -> DataFrame:
         rows = questions.select("block", "bucket", "a", "b", "c", "d", "e").where("bucket is not null").groupBy("bucket").applyInArrow(judged(level), _ANSWERS)
         rows = written(rows, f"level-{level}")
-        _free(spark)
         hot = rows.where("block is null").select("a", "b").collect()  # at most tokens / SPLIT contexts
         if hot:
             keys = np.concatenate([unpack(r.a, np.uint64) for r in hot]).tolist()
@@ -475,13 +464,11 @@ def score_all(docs: DataFrame, trains, split: int = SPLIT, block_bytes: int = BL
     for level in range(1, AGAIN + 1):
         found = found.unionByName(answered(asked(texts, found, _from_texts(model, level)), level))
     step = written(asked(texts, found, _from_texts(model, AGAIN + 1)), "rest")
-    _free(spark)
     done, level = step.where("n_tokens is not null").select(*_DONE), AGAIN + 1
     while (rest := step.where("state is not null").select("block", "ids", "state")).limit(1).count():
         found = answered(step, level)
         level += 1
         step = written(asked(rest, found, _from_rest(model, level)), "rest")
-        _free(spark)
         done = done.unionByName(step.where("n_tokens is not null").select(*_DONE))
     return done.withColumn("train_tokens", F.lit(n).cast("long"))
 
