@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,3 +20,24 @@ def cascade(rows: DataFrame, stages: list[str]) -> DataFrame:
         newest = F.greatest(*stages[:i]) if i > 1 else F.col(stages[0])
         out = out.withColumn(f"stale_{stage}", F.col(stage).isNull() | F.coalesce(newest > F.col(stage), F.lit(False)))
     return out
+
+
+# States of documents that are being worked on, of reports and of analyses under way.
+WORKING = ("QUEUED", "PARSING", "CLEANING", "BUILDING_EVIDENCE", "INDEXING")
+REPORTING = ("QUEUED", "GENERATING")
+ANALYSING = ("QUEUED", "RUNNING", "REPORT_QUEUED")
+
+
+def phase(archived: Column, documents: Column, report: Column, stale: Column, analysis: Column) -> Column:
+    """A project's phase from the states of its documents (an array), its report and its last analysis (null if there is none).
+
+    Documents come first: none, one under way, one that failed; then the report, then the analysis, then whether a document is ready.
+    """
+    has = lambda *states: F.arrays_overlap(documents, F.array(*map(F.lit, states)))
+    of_report = F.when(F.coalesce(stale, F.lit(False)), "REPORT_STALE").when(report == "READY", "REPORT_READY").when(report.isin(*REPORTING), "REPORT_GENERATING").otherwise("REPORT_FAILED")
+    of_analysis = F.when(analysis.isin(*ANALYSING), "ANALYSIS_RUNNING").when(analysis == "FAILED", "ANALYSIS_FAILED").otherwise("ANALYSIS_FINISHED")
+    none = documents.isNull() | (F.size(documents) == 0)
+    return (
+        F.when(archived, "ARCHIVED").when(none, "NO_DOCUMENT").when(has(*WORKING), "DOCUMENT_PROCESSING").when(has("FAILED"), "DOCUMENT_FAILED")
+        .when(report.isNotNull(), of_report).when(analysis.isNotNull(), of_analysis).when(has("READY"), "DOCUMENT_READY").otherwise("DOCUMENT_UPLOADED")
+    )

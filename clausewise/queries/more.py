@@ -60,11 +60,19 @@ def type_check(t: Tables):
 
 
 def _page_table(t: Tables):
-    """Pages as tables: a row of every three list items."""
-    items = t.pages.select("page_id", html.inner(F.col("html"), "li").alias("cells"))
-    n = F.ceil(F.size("cells") / 3).cast("int")
-    rows = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("cells", i * 3 + 1, 3))).otherwise(F.array().cast("array<array<string>>"))
-    return items.select("page_id", rows.alias("rows"))
+    """The lists and paragraphs of pages as tables: list items are cells, lists rows, and so is a paragraph."""
+    page = F.col("html")
+    for a, b in ((r"<(/?)ul>", "<$1tr>"), (r"<(/?)li>", "<$1td>"), (r"<p( [^>]*)?>", "<tr><th>"), ("</p>", "</th></tr>")):
+        page = F.regexp_replace(page, a, b)
+    return t.pages.select("page_id", html.table_rows(page).alias("rows"))
+
+
+@query(r"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<(/?)ul>', '<\1tr>', 'g'), '<(/?)li>', '<\1td>', 'g'), '<p( [^>]*)?>', '<tr><th>', 'g'), '</p>', '</th></tr>', 'g'), '(?is)<tr\b[^>]*>(.*?)</tr>', 1)) AS r FROM pages),
+c AS (SELECT page_id, regexp_extract_all(r, '(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>', 1) AS c FROM r)
+SELECT page_id, count(*) FILTER (WHERE len(c) > 0) AS n_rows, coalesce(sum(len(c)), 0) AS n_cells FROM (SELECT page_id FROM pages) LEFT JOIN c USING (page_id) GROUP BY page_id""")
+def tbl_rows(t: Tables):
+    rows = _page_table(t)
+    return rows.select("page_id", F.size("rows").cast("long").alias("n_rows"), F.coalesce(F.aggregate("rows", F.lit(0), lambda a, r: a + F.size(r)), F.lit(0)).cast("long").alias("n_cells"))
 
 
 @query()

@@ -99,14 +99,27 @@ def label_map(t: Tables):
     return t.orders.select("o_orderkey", F.coalesce(F.try_element_at(labels, F.col("o_orderstatus")), F.lit("other")).alias("label"))
 
 
-@query("""WITH s AS (SELECT o_custkey, count(*) AS n, bool_or(o_orderstatus = 'P') AS p, bool_or(o_orderstatus = 'O') AS o, bool_and(o_orderstatus = 'F') AS f FROM orders GROUP BY o_custkey)
-SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'ARCHIVED' WHEN n IS NULL THEN 'NO_DOCUMENT' WHEN p THEN 'PROCESSING' WHEN f THEN 'FINISHED' WHEN o THEN 'READY' ELSE 'UPLOADED' END AS phase
-FROM customer LEFT JOIN s ON c_custkey = o_custkey""")
+_DOCUMENT = "CASE o_orderpriority WHEN '1-URGENT' THEN 'FAILED' WHEN '2-HIGH' THEN CASE o_orderstatus WHEN 'P' THEN 'PARSING' ELSE 'READY' END WHEN '5-LOW' THEN 'UPLOADED' ELSE 'READY' END"
+
+
+# Documents are the orders of one day of the month each; a customer's report and analysis come from its last order.
+@query(f"""WITH d AS (SELECT o_custkey, list(DISTINCT {_DOCUMENT}) AS docs FROM orders WHERE day(o_orderdate) = 3 GROUP BY 1),
+l AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s, arg_max(o_orderpriority, o_orderkey) AS p, max(o_orderkey) AS k FROM orders GROUP BY 1),
+x AS (SELECT c_custkey, c_acctbal < 0 AS archived, docs, CASE WHEN k % 3 = 0 THEN CASE s WHEN 'F' THEN 'READY' WHEN 'O' THEN 'GENERATING' ELSE 'FAILED' END END AS report, p = '2-HIGH' AS stale,
+CASE WHEN k % 4 <> 1 THEN CASE p WHEN '3-MEDIUM' THEN 'RUNNING' WHEN '5-LOW' THEN 'FAILED' ELSE 'SUCCEEDED' END END AS analysis FROM customer LEFT JOIN d ON d.o_custkey = c_custkey LEFT JOIN l ON l.o_custkey = c_custkey)
+SELECT c_custkey, CASE WHEN archived THEN 'ARCHIVED' WHEN docs IS NULL THEN 'NO_DOCUMENT' WHEN list_contains(docs, 'PARSING') THEN 'DOCUMENT_PROCESSING' WHEN list_contains(docs, 'FAILED') THEN 'DOCUMENT_FAILED'
+WHEN report IS NOT NULL THEN CASE WHEN stale THEN 'REPORT_STALE' ELSE CASE report WHEN 'GENERATING' THEN 'REPORT_GENERATING' ELSE 'REPORT_' || report END END
+WHEN analysis IS NOT NULL THEN CASE analysis WHEN 'RUNNING' THEN 'ANALYSIS_RUNNING' WHEN 'FAILED' THEN 'ANALYSIS_FAILED' ELSE 'ANALYSIS_FINISHED' END WHEN list_contains(docs, 'READY') THEN 'DOCUMENT_READY' ELSE 'DOCUMENT_UPLOADED' END AS phase FROM x""")
 def project_phase(t: Tables):
-    is_ = lambda s: F.col("o_orderstatus") == s
-    s = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.bool_or(is_("P")).alias("p"), F.bool_or(is_("O")).alias("o"), F.bool_and(is_("F")).alias("f"))
-    phase = F.when(F.col("c_acctbal") < 0, "ARCHIVED").when(F.col("n").isNull(), "NO_DOCUMENT").when(F.col("p"), "PROCESSING").when(F.col("f"), "FINISHED").when(F.col("o"), "READY").otherwise("UPLOADED")
-    return t.customer.join(s, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", phase.alias("phase"))
+    from clausewise.plans.states import phase
+
+    document = F.when(F.col("o_orderpriority") == "1-URGENT", "FAILED").when(F.col("o_orderpriority") == "2-HIGH", F.when(F.col("o_orderstatus") == "P", "PARSING").otherwise("READY")).when(F.col("o_orderpriority") == "5-LOW", "UPLOADED").otherwise("READY")
+    docs = t.orders.where(F.dayofmonth("o_orderdate") == 3).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_set(document).alias("docs"))
+    last = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("s"), F.max_by("o_orderpriority", "o_orderkey").alias("p"), F.max("o_orderkey").alias("k"))
+    x = t.customer.join(docs, "c_custkey", "left").join(last, "c_custkey", "left")
+    report = F.when(F.col("k") % 3 == 0, F.when(F.col("s") == "F", "READY").when(F.col("s") == "O", "GENERATING").otherwise("FAILED"))
+    analysis = F.when(F.col("k") % 4 != 1, F.when(F.col("p") == "3-MEDIUM", "RUNNING").when(F.col("p") == "5-LOW", "FAILED").otherwise("SUCCEEDED"))
+    return x.select("c_custkey", phase(F.col("c_acctbal") < 0, F.col("docs"), report, F.col("p") == "2-HIGH", analysis).alias("phase"))
 
 
 # --- joins ---

@@ -206,3 +206,12 @@ def test_archives(spark):
     got = parsed.archive_nodes(d, "i", "data").orderBy("i", "order_no").collect()
     assert [(r.kind, r.content) for r in got if r.i == 1] == [(w[0], w[5]) for w in WANT]
     assert [(r.kind, r.section, r.content) for r in got if r.i == 2] == [("SECTION", "M", "M"), ("PARAGRAPH", "M", "x")]
+
+
+def test_table_rows(spark):
+    from clausewise.sources.html import table_rows
+
+    pages = ["<table><tr><th>A &amp; B</th><td class='x'> 1 <b>2</b>\n3&nbsp;</td></tr><TR></TR><tr><td></td></tr></table>", "no table", None, "<tr><td>&lt;i&gt; &#23383;</td></tr>"]
+    d = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    got = {r.i: r.rows for r in d.select("i", table_rows(F.col("html")).alias("rows")).collect()}
+    assert got[0] == [["A & B", "1 2 3"], [""]] and got[1] == [] and got[3] == [["<i> 字"]] and not got[2]
