@@ -56,7 +56,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 def price(tokens: int) -> float:
     """Bits that a context of so many tokens must gain."""
-    return 12.0 + 2.0 ** (tokens + 1)
+    return 12.0 + 4.0**tokens
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
