@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from clausewise.functions import clauses, replies
 from clausewise.operators.scores import fuse
-from clausewise.plans import chunking, evaluation, lexical, matching, reports, retrieval, sections, tags
+from clausewise.plans import chunking, cleaning, evaluation, lexical, matching, reports, retrieval, sections, tags
 from clausewise.queries.registry import Tables, query
 from clausewise.sources import cases, parsed
 
@@ -115,6 +117,38 @@ def merge_short_residue(t: Tables):
     return chunking.merge_residues(rows, "doc_id").select("doc_id", "order_no", "into")
 
 
+CLEANING = cleaning.Rules(heading=r"^\s*(?i:contents)\s*$", entry=r"^\D{0,3}(\d{1,3})\b", artifact=r"^[\s\d/-]*$", ordinary=r"\p{L}\p{N}.,;:!?'\"()\[\]/&%$#*@+_=<>-", title="^(?i:contents of)")
+
+
+def _node_lines(t: Tables):
+    lines = t.documents.select("doc_id", F.col("source").alias("section"), F.posexplode(F.split("text", "\n")).alias("order_no", "raw"))
+    content = F.trim(F.regexp_replace("raw", r"(?U)\s+", " "))
+    return lines.select("doc_id", "order_no", "section", F.when(F.col("raw").rlike("[0-9]{6}"), "TABLE").otherwise("PARAGRAPH").alias("kind"), F.floor(F.col("order_no") / 20).alias("page"), content.alias("content"), F.lit(False).alias("marginal"), F.lit(False).alias("template"))
+
+
+@query()
+def doc_clean_full(t: Tables):
+    """Every line of every document with why it isn't used, or what it has with its residues."""
+    return cleaning.cleaned(_node_lines(t), "doc_id", CLEANING).select("doc_id", "order_no", "reason", "into", F.md5("text").alias("hash"))
+
+
+@query()
+def doc_clean_summary(t: Tables):
+    return cleaning.summary(cleaning.cleaned(_node_lines(t), "doc_id", CLEANING), "doc_id")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
+n AS (SELECT doc_id, pos, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS c FROM l),
+k AS (SELECT *, CASE WHEN c LIKE 'The%' THEN 1 ELSE 0 END AS heading, length(c) AS ordinal FROM n WHERE c <> ''),
+s AS (SELECT *, sum(heading) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM k),
+b AS (SELECT *, CASE WHEN heading = 0 AND coalesce(nullif(regexp_extract(c, '^[A-Za-z]*([0-9]+)', 1), '')::BIGINT, -1) <= coalesce(lag(CASE WHEN heading = 0 THEN coalesce(nullif(regexp_extract(c, '^[A-Za-z]*([0-9]+)', 1), '')::BIGINT, -1) END) OVER (PARTITION BY doc_id, seg ORDER BY pos), -1) THEN 1 ELSE 0 END AS bad FROM s),
+r AS (SELECT doc_id, pos, CASE WHEN seg > 0 AND max(bad) OVER (PARTITION BY doc_id, seg ORDER BY pos) = 0 THEN 'CONTENTS' END AS reason FROM b)
+SELECT doc_id, n.pos AS order_no, CASE WHEN c = '' THEN 'EMPTY' ELSE reason END AS reason FROM n LEFT JOIN r USING (doc_id, pos)""")
+def kb_clean(t: Tables):
+    rules = dataclasses.replace(CLEANING, heading="^The", entry=r"^[A-Za-z]*([0-9]+)")
+    return cleaning.knowledge_cleaned(_node_lines(t), "doc_id", rules).select("doc_id", "order_no", "reason")
+
+
 @query("""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
 n AS (SELECT * FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> '')
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS clause_no, pos AS order_no, regexp_matches(line, 'License|must') AS mandatory,

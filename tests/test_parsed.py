@@ -215,3 +215,79 @@ def test_table_rows(spark):
     d = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
     got = {r.i: r.rows for r in d.select("i", table_rows(F.col("html")).alias("rows")).collect()}
     assert got[0] == [["A & B", "1 2 3"], [""]] and got[1] == [] and got[3] == [["<i> 字"]] and not got[2]
+
+
+RULES = dict(heading="^目\\s*录$", entry=r"^第([一二三四五六七八九十\d]+)章", artifact=r"^[\s\d/-]*$", ordinary=r"\p{L}\p{N}.,:;!?。，；：（）()、 -", title="^contents of")
+
+
+def test_toc_golden(spark):
+    from clausewise.plans import cleaning
+
+    rules = cleaning.Rules(**RULES)
+    texts = ["目录", "第一章 总则 1", "第二章 投标 5", "第十章 其他 9", "第一章 总则", "body text of the chapter", "", "第二章 again"]
+    d = spark.createDataFrame([("d", i, t, i == 99) for i, t in enumerate(texts)], "doc string, order_no int, content string, marginal boolean")
+    got = {r.order_no: r.reason for r in cleaning.knowledge_cleaned(d, "doc", rules).collect()}
+    assert got == {0: "CONTENTS", 1: "CONTENTS", 2: "CONTENTS", 3: "CONTENTS", 4: None, 5: None, 6: "EMPTY", 7: None}
+
+
+def brute_clean(nodes, rules):
+    numerals = {c: i for i, c in enumerate("一二三四五六七八九十", 1)}
+    fragment = lambda t: re.sub(r"#+|\s+", "", t).lower()
+    counts = {}
+    for _, section, _, text, _, _ in nodes:
+        counts[section or "", fragment(text)] = counts.get((section or "", fragment(text)), 0) + 1
+    out, seen, inside, last, base, end = [], set(), False, None, None, ""
+    for i, (kind, section, page, text, marginal, template) in enumerate(nodes):
+        m = re.match(r"第([一二三四五六七八九十\d]+)章", text)
+        n = None if not m else int(m[1]) if m[1].isdecimal() else numerals.get(m[1])
+        reason = None
+        if re.fullmatch(r"目\s*录", text):
+            reason, inside, last = "CONTENTS_HEADING", True, None
+        elif inside and n is not None and (last is None or n > last):
+            reason, last = "CONTENTS_ENTRY", n
+        else:
+            inside = False
+        visible = re.sub(r"\s+", "", text)
+        where = (section or "", fragment(text))
+        if reason is None:
+            odd = sum(c in "@^~" for c in visible)
+            if marginal:
+                reason = "LAYOUT_ARTIFACT"
+            elif kind == "TABLE" and template:
+                reason = "EMPTY_TABLE_TEMPLATE"
+            elif re.fullmatch(r"[\s\d/-]*", text):
+                reason = "PAGE_ARTIFACT"
+            elif not visible or round(odd / len(visible), 4) > 0.35:
+                reason = "GARBLED_TEXT"
+            elif text.startswith("contents of"):
+                reason = "CONTENTS_PAGE"
+            else:
+                if 0 < len(where[1]) <= 120 and counts[where] >= 3:
+                    reason = "DUPLICATE_FRAGMENT" if where in seen else None
+                    seen.add(where)
+                if reason is None and sum(c.isalnum() for c in visible) < 8:
+                    reason = "TOO_SHORT"
+        into = None
+        if reason is None:
+            base, end, into = i, text, i
+        elif reason == "TOO_SHORT" and base is not None and nodes[base][2] == page and nodes[base][0] not in ("TABLE", "IMAGE") and kind not in ("TABLE", "IMAGE") and not re.match(r"\d{1,3}(\.\d{1,3}){1,4}(?!\d)|[（(]\d{1,2}[）)]|第[一二三四五六七八九十\d]+章", text) and (not re.search(r"[。！？；：;:]\s*$", end) or re.match("[，、；。）)]|以上|且", text)):
+            reason, end, into = "MERGED_SHORT_RESIDUE", text, base
+        out.append((i, reason, into))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_cleaning(spark, seed):
+    from clausewise.plans import cleaning
+
+    rng = random.Random(seed)
+    pool = ["a long enough sentence", "it is closed here。", "tail", "ends。", "且 on", "，so", "1.1 x", "以上", "目录", "第一章 a b", "第二章 c d", "第3章 long enough", "12 / 3", "@@@@^^^^~~", "contents of the whole", "repeated fragment", "repeated  fragment", "(2) y", "", "b；"]
+    docs = {str(k): [(rng.choice(["PARAGRAPH"] * 6 + ["TABLE", "IMAGE"]), rng.choice([None, "A", "A", "B"]), rng.choice([1, 1, 2]), rng.choice(pool) if rng.random() < 0.8 else f"unique words {rng.random()}", rng.random() < 0.05, rng.random() < 0.5) for _ in range(rng.randint(0, 60))] for k in range(25)}
+    d = spark.createDataFrame([(k, i, *n) for k, x in docs.items() for i, n in enumerate(x)], "doc string, order_no int, kind string, section string, page int, content string, marginal boolean, template boolean")
+    got = {}
+    for r in cleaning.cleaned(d, "doc", cleaning.Rules(**RULES)).collect():
+        got.setdefault(r.doc, []).append((r.order_no, r.reason, r.into, r.text))
+    for k, nodes in docs.items():
+        want = brute_clean(nodes, RULES)
+        text = lambda i: " ".join(nodes[j][3] for j, _, into in want if into == i)
+        assert sorted(got.get(k, [])) == [(i, r, into, text(i) if r is None else None) for i, r, into in want], k
