@@ -138,3 +138,45 @@ def test_fingerprints(spark):
     assert fingerprints.edited_likeness(docs(spark, [])).count() == 0
     assert fingerprints.edited_likeness(docs(spark, [(1, "abcd", None, None)])).first().near_next == 1.0
     assert fingerprints.fingerprint(d).count() == len(ids)
+
+
+def profile(texts, k=300):
+    """The k most frequent 1- to 3-letter n-grams of words with an end on either side, as numbers; a letter has 21 bits."""
+    import re
+    from collections import Counter
+
+    n = Counter()
+    for t in texts:
+        for word in re.findall(r"[^\W\d_]+", t.lower()):
+            if not all(c.isalpha() for c in word):
+                raise AssertionError(word)
+            w = [0, *map(ord, word), 0]
+            n.update(w[1:-1])
+            n.update(a | b << 21 for a, b in zip(w, w[1:]))
+            n.update(a | b << 21 | c << 42 for a, b, c in zip(w, w[1:], w[2:]))
+    return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:k]]
+
+
+def test_languages_by_brute_force(spark):
+    """Predictions and scores against out-of-place distances computed straight from the texts."""
+    import zlib
+    from collections import defaultdict
+
+    from clausewise.llm import language_id
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = d.collect()
+    by = defaultdict(list)
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and r.text is not None:
+            by[r.lang].append(r.text)
+    profiles = {name: {g: i for i, g in enumerate(profile(texts))} for name, texts in by.items()}
+    got = {r.doc_id: r for r in language_id.language_of(d).collect()}
+    for r in rows:
+        mine = profile([r.text or ""])
+        if not mine:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        far = {name: sum(abs(i - p[g]) if g in p else 300 for i, g in enumerate(mine)) for name, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[r.doc_id].lang_pred == best and abs(got[r.doc_id].score - (1 - far[best] / (300 * len(mine)))) < 1e-12

@@ -104,7 +104,7 @@ def markov(seed, n, order):
 def test_scores(spark, sizes):
     """Every score against a tree grown by brute force, also with many blocks and contexts dealt over buckets."""
     rows = ROWS + [(r.doc_id + 100, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    rows += [(1000 + i, markov(i, 3000, 6)) for i in range(12)]
+    rows += [(1000 + i, markov(i, 6000, 5)) for i in range(12)]
     long = " ".join(f"w{i * i % 97}" for i in range(300))
     rows += [(2000 + i, " ".join(w if j % 50 != i % 50 else f"edit{i % 7}" for j, w in enumerate(long.split()))) for i in range(120)]
     d = spark.createDataFrame([Row(doc_id=i, text=t, block=1, ids="x", n_tokens=2, score="s", level=3) for i, t in rows], "doc_id long, text string, block int, ids string, n_tokens int, score string, level int").repartition(3)
