@@ -137,11 +137,12 @@ def rounded(p: np.ndarray) -> np.ndarray:
 class Texts:
     """The tokens of a block's texts with what is known of each: log2 probability so far, bound on the count of its context and itself, open context."""
 
-    def __init__(self, ids: list, sizes: np.ndarray, trains: np.ndarray, tokens: np.ndarray, symbols: np.ndarray, split: int):
-        """`sizes` and `tokens` with the ends; `symbols` has the numbers of the tokens in the corpus."""
-        self.ids, self.sizes, self.trains, self.tokens, self.symbols, self.split = ids, sizes, trains, tokens.astype(np.int32), symbols, split
+    def __init__(self, ids: list, sizes: np.ndarray, trains: np.ndarray, tokens: np.ndarray, symbols: np.ndarray, model: Model, place: np.ndarray | None = None, total: np.ndarray | None = None):
+        """`sizes` and `tokens` with the ends; `symbols` has the numbers of the tokens in the corpus. Of tokens that are only a part, `place` has the places in the texts, `total` the texts' lengths."""
+        self.ids, self.sizes, self.trains, self.tokens, self.symbols, self.split, self.reach = ids, sizes, trains, tokens.astype(np.int32), symbols, model.split, model.reach
         ends = np.cumsum(sizes)
-        self.place = (np.arange(len(tokens)) - np.repeat(ends - sizes, sizes)).astype(np.int32)
+        self.total = sizes if total is None else total
+        self.place = (np.arange(len(tokens)) - np.repeat(ends - sizes, sizes)).astype(np.int32) if place is None else place
         self.own = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.train = np.repeat(trains, sizes)
         self.hash = mixed((symbols.astype(np.uint64) + np.uint64(1)) * _M)
@@ -156,7 +157,7 @@ class Texts:
         word = np.ones(len(tokens), bool)
         word[ends] = False
         tokens[word] = seq
-        out = cls(ids, sizes + 1, trains, tokens, np.append(symbols, 0), model.split)
+        out = cls(ids, sizes + 1, trains, tokens, np.append(symbols, 0), model)
         counts = np.append(counts, model.n_texts)
         out.bound = counts[tokens]
         out.p = np.log2(counts + 1.0)[tokens] - model.below
@@ -243,16 +244,21 @@ class Texts:
         go = stays[g]
         self.open, self.number = self.at[go], self.number[go]
 
-    def rest(self) -> tuple[np.ndarray, np.ndarray, Texts | None]:
-        """log2 probability of each text so far, which texts are done, and the others, of whose tokens only open ones keep theirs."""
+    def rest(self, model: Model) -> tuple[np.ndarray, np.ndarray, Texts | None]:
+        """log2 probability of each text so far, which texts are done, and the others: their open tokens and what can be a context of these."""
         sums = self.sums + np.bincount(self.own, self.p, len(self.sizes))
         going = np.zeros(len(self.sizes), bool)
         going[self.own[self.open]] = True
         if not going.any():
             return sums, ~going, None
-        stay = going[self.own]
+        # open tokens and those before them in the text, as far as a context reaches
+        marks = np.zeros(len(self.tokens) + 1, np.int64)
+        np.add.at(marks, self.open - np.minimum(self.place[self.open], self.reach), 1)
+        np.add.at(marks, self.open + 1, -1)
+        stay = np.cumsum(marks[:-1]) > 0
         used, places = dense(self.tokens[stay], len(self.symbols))
-        out = Texts([x for x, g in zip(self.ids, going.tolist()) if g], self.sizes[going], self.trains[going], places[self.tokens[stay]], self.symbols[used], self.split)
+        sizes = np.bincount(self.own[stay], minlength=len(self.sizes))[going]
+        out = Texts([x for x, g in zip(self.ids, going.tolist()) if g], sizes, self.trains[going], places[self.tokens[stay]], self.symbols[used], model, np.minimum(self.place[stay], self.reach + 1), self.total[going])
         out.level, out.known, out.base, out.sums = self.level, self.known[going], self.base[going], sums[going]
         where = np.cumsum(stay) - 1
         out.open = where[self.open]
@@ -271,15 +277,15 @@ class Texts:
         self.bound[self.open] = bound
 
     def stored(self) -> list[bytes]:
-        counts = (self.sizes, self.tokens, self.symbols, np.array([self.level]), self.known, np.diff(self.open, prepend=0), self.number, self.bound[self.open], self.bound[self.open - 1])
+        counts = (self.sizes, self.total, self.place, self.tokens, self.symbols, np.array([self.level]), self.known, np.diff(self.open, prepend=0), self.number, self.bound[self.open], self.bound[self.open - 1])
         return [*map(pack_counts, counts), pack(self.trains.astype(np.uint8)), pack(self.base), pack(self.sums), pack(self.p[self.open]), pack(self.keys)]
 
     @classmethod
-    def read(cls, ids: list, parts: list[bytes], split: int) -> Texts:
-        sizes, tokens, symbols, level, known, open_, number, bound, before = map(unpack_counts, parts[:9])
-        base, sums, p = (unpack(x, np.float64) for x in parts[10:13])
-        out = cls(ids, sizes, unpack(parts[9], np.uint8).astype(bool), tokens, symbols, split)
-        out.level, out.known, out.base, out.open, out.number, out.keys = int(level[0]), known, base, np.cumsum(open_), number, unpack(parts[13], np.uint64)
+    def read(cls, ids: list, parts: list[bytes], model: Model) -> Texts:
+        sizes, total, place, tokens, symbols, level, known, open_, number, bound, before = map(unpack_counts, parts[:11])
+        base, sums, p = (unpack(x, np.float64) for x in parts[12:15])
+        out = cls(ids, sizes, unpack(parts[11], np.uint8).astype(bool), tokens, symbols, model, place, total)
+        out.level, out.known, out.base, out.open, out.number, out.keys = int(level[0]), known, base, np.cumsum(open_), number, unpack(parts[15], np.uint64)
         out.sums = sums + np.bincount(out.own[out.open], p, len(sizes))
         out.keep(p, bound, before)
         return out
@@ -356,7 +362,7 @@ def _asked(block: int, texts: Texts, buckets: int) -> pa.Table:
 
 def _finished(texts: Texts, sums: np.ndarray, done: np.ndarray) -> pa.Table:
     mine = np.flatnonzero(done)
-    return _rows(doc_id=[texts.ids[i] for i in mine.tolist()], n_tokens=texts.sizes[mine], n_known=texts.known[mine], base_score=texts.base[mine] * math.log10(2), score=sums[mine] * math.log10(2))
+    return _rows(doc_id=[texts.ids[i] for i in mine.tolist()], n_tokens=texts.total[mine], n_known=texts.known[mine], base_score=texts.base[mine] * math.log10(2), score=sums[mine] * math.log10(2))
 
 
 def _given(found: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -369,9 +375,11 @@ def _given(found: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 class Model:
     """What every task is told: sizes of the corpus, number of buckets, sums of the most frequent contexts by level."""
 
-    def __init__(self, n_texts: int, below: float, buckets: int, split: int):
+    def __init__(self, n_tokens: int, n_texts: int, below: float, buckets: int, split: int):
         """The root's probabilities are (count + 1) / 2 ** below."""
         self.n_texts, self.below, self.buckets, self.split, self.hot = n_texts, below, buckets, split, {}
+        # no context can be longer: a level of the tree takes `below` bits of a token's probability at most, and all tokens together must reach the price
+        self.reach = next(d for d in range(1, 1000) if price(d) > (d + 1) * below * n_tokens)
 
 
 def _from_texts(model: Model, level: int):
@@ -402,7 +410,7 @@ def _from_texts(model: Model, level: int):
 def _go_on(block: int, texts: Texts, model: Model, store: bool) -> pa.Table:
     out = []
     if store:
-        sums, done, rest = texts.rest()
+        sums, done, rest = texts.rest(model)
         out.append(_finished(texts, sums, done))
         if rest is None:
             return pa.concat_tables(out)
@@ -420,7 +428,7 @@ def _from_rest(model: Model, level: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _STEP.empty_table()
-        texts = Texts.read(docs.column("ids")[0].as_py(), docs.column("state")[0].as_py(), model.split)
+        texts = Texts.read(docs.column("ids")[0].as_py(), docs.column("state")[0].as_py(), model)
         texts.ask()
         texts.take(*_given(found, level - 1), model.hot.get(level - 1, {}))
         return _go_on(docs.column("block")[0].as_py(), texts, model, True)
@@ -444,7 +452,7 @@ def score_all(docs: DataFrame, trains, split: int = SPLIT, block_bytes: int = BL
     sums = [unpack(r.v2, np.int64) for r in answers.where("v2 is not null").select("v2").collect()]  # a row a bucket
     n, v = (int(sum(s[i] for s in sums)) for i in (0, 1))
     n, v = n + n_texts, v + (n_texts > 0)
-    model = Model(n_texts, math.log2(n + v + 1), n_buckets(docs, BUCKET_BYTES), split)
+    model = Model(n, n_texts, math.log2(n + v + 1), n_buckets(docs, BUCKET_BYTES), split)
     texts = texts.select("block", "ids", "sizes", "seq", "counted")
     found = answers.select("block", F.lit(0).alias("level"), F.lit(0).alias("bucket"), F.col("ranks").alias("a"), F.col("v0").alias("b"), F.col("v1").alias("c"))
 
