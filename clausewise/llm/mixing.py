@@ -220,10 +220,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     # equal rows of a document take turns: the n-th row has the n-th list of pieces
     number = lambda w: F.row_number().over(w)
     left = parts.withColumn("nth", number(Window.partitionBy("doc_id", "source", "size").orderBy("pieces")))
-    right = _with_size(docs).withColumn("nth", number(Window.partitionBy("doc_id", "source", "size").orderBy("text")))
+    # columns go under names of their own, whatever theirs are
+    plain = docs.select("doc_id", "source", "text", *(docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns) if c != "text"))
+    right = _with_size(plain).withColumn("nth", number(Window.partitionBy("doc_id", "source", "size").orderBy("text")))
     on = [left[c].eqNullSafe(right[c]) for c in ("doc_id", "source", "size", "nth")]
-    rows = right.join(left, on).select(*(right[c] for c in docs.columns), left.pieces)
     names = docs.columns
+    rows = right.join(left, on).select(right.text, left.pieces, *(right[f"_c{i}"] for i, c in enumerate(names) if c != "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -232,9 +234,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
                 for part in taken_texts(text, [(p["a"], p["n"], p["times"]) for p in pieces]):
                     at.append(i)
                     texts.append(part)
-            out = batch.select(names).take(pa.array(at, pa.int64()))
+            rows_ = pa.array(at, pa.int64())
             cols = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([cols.get(n, out.column(n)) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([cols[n] if n in cols else batch.column(f"_c{i}").take(rows_) for i, n in enumerate(names)], names=names)
 
     return rows.mapInArrow(run, ", ".join(f"`{n}` {'long' if n == 'n_chars' else t}" for n, t in docs.dtypes))
 

@@ -48,3 +48,17 @@ def test_packed(spark, sf):
     got = {doc: [x for _, p in sorted(ps) for x in p] for doc, ps in parts.items()}
     assert got == {i: enc.encode_ordinary(t) for i, t in rows if t}
     assert packing.packed(d.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_large_ids(spark, tmp_path):
+    """ids beyond 16 bits are kept whole, in 32 bits."""
+    import base64
+
+    path = str(tmp_path / "large.tiktoken")
+    with open(path, "wb") as f:
+        f.writelines(base64.b64encode(bytes([i])) + f" {70_000 + i}\n".encode() for i in range(256))
+    d = spark.createDataFrame([(None, "ab"), (2, None), (3, "é")], "doc_id long, text string").coalesce(1)
+    r = packing.packed(d, path, public_tokenizers.PATTERN, length=8).collect()
+    assert len(r) == 1 and packing.id_type(path) == "<u4"
+    ids = np.frombuffer(r[0].input_ids, "<u4")
+    assert sorted(ids[: r[0].n_tokens].tolist()) == sorted(70_000 + b for b in "abé".encode()) and (ids[r[0].n_tokens :] == packing.PAD).all() and set(r[0].doc_ids) == {None, 3}

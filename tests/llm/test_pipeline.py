@@ -78,3 +78,17 @@ def test_near_duplicates_by_row(spark, tmp_path):
     assert len(last) == 1 and last[0][0] is None
     want = [(None, own(0)), (None, own(1)), (5, own(2)), (5, own(3)), (3, own(4)), (7, own(5)), (None, own(6)), (8, own(7) + " b"), (4, own(8))]
     assert [x for x in got if x not in last] == sorted(want, key=str)
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Columns with the names that stages use inside come through as they were."""
+    rows = [Row(doc_id=i, text=f"text {i} of the document " * 5, lang="en", source="s", n_chars=1, key=f"k{i}", row=i, row_key=f"r{i}", size="x", pieces="p", nth=7, group=None, stay=0, base=2.5, terms="t", _c1="c") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, row int, row_key string, size string, pieces string, nth int, group string, stay int, base double, terms string, _c1 string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = {r.doc_id: [v for c, v in r.asDict().items() if c not in ("text", "n_chars")] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all([v for c, v in r.asDict().items() if c not in ("text", "n_chars")] == want[r.doc_id] for r in got), name
