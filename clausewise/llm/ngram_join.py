@@ -26,7 +26,8 @@ pivots is read r / SIDE + 2 times.
 
 Edge cases: null text, text without words: empty set, no links, component_id is the own doc_id.
 Fewer words than n: the whole sequence is the one element. A null doc_id takes part; components
-have the smallest id that isn't null, or null. Repeated rows are in one class.
+have the smallest id that isn't null, or null. Repeated rows are in one class. Null or repeated ids cost
+no more than others: texts are found again by id and text.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausewise.llm.common import small_batches, steps, written
@@ -50,6 +51,8 @@ DENSE, SIDE = 48, 512
 PIVOTS, TOLD = 24, 1 << 20
 #: Sets whose ids may be broadcast.
 BROADCAST_ROWS = 1 << 20
+#: Bytes of sets in one task of small clusters, on average.
+BIN = 1 << 25
 _REMEMBERED = 1 << 17
 
 
@@ -146,9 +149,9 @@ class Order:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
-    """(doc_id, n, key, l, prefix) of every document, and `row_key` if it has one."""
+    """(doc_id, n, key, l, prefix) of every document, and its further columns."""
     model = docs.sparkSession.sparkContext.broadcast(order)
-    own = [c for c in docs.columns if c == "row_key"]
+    own = [f for f in docs.schema if f.name not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -160,9 +163,9 @@ def _sets(docs: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
                 key.append(xxhash.xxh3_128_digest(s.tobytes()))
                 match.append(l)
                 prefix.append(_signed(p))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(match, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), *(batch.column(c) for c in own)], names=["doc_id", "n", "key", "l", "prefix", *own])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(match, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), *(batch.column(f.name) for f in own)], names=["doc_id", "n", "key", "l", "prefix", *(f.name for f in own)])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, l int, prefix array<long>" + "".join(f", {c} long" for c in own))
+    return docs.mapInArrow(run, "doc_id long, n long, key binary, l int, prefix array<long>" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in own))
 
 
 def _full_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -259,10 +262,18 @@ def _shared(pre: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return enough.select("u", "v"), first
 
 
+def _told(text: Column) -> Column:
+    """Tells texts of one id apart; what it can't, `_full_sets` does."""
+    return F.xxhash64(text)
+
+
 def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """`rows` (cid, key, doc, and more) with the texts of their documents; others with the same id come along."""
+    """`rows` (cid, key, doc, told, and more) with the texts of their documents.
+
+    Documents are found by id and text: a document joins one row at most, also where ids are null or repeated.
+    """
     small = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    return docs.select("doc_id", "text").join(small, docs.doc_id.eqNullSafe(small.doc)).drop("doc_id", "doc")
+    return docs.select("doc_id", "text").join(small, docs.doc_id.eqNullSafe(small.doc) & (_told(docs.text) == small.told)).drop("doc_id", "doc", "told")
 
 
 def _dense(sets: DataFrame) -> Order:
@@ -309,9 +320,9 @@ def _candidates(pre: DataFrame, docs: DataFrame, keys: DataFrame, k: int, percen
 
 
 def _placed(clusters: DataFrame, keys: DataFrame) -> DataFrame:
-    """(cid, key, doc, root, m, sides, side) of the sets in clusters of m: which of a cluster's sides each is on."""
+    """(cid, key, doc, told, n, root, m, sides, side) of the sets in clusters of m: which of a cluster's sides each is on."""
     sizes = clusters.groupBy("root").agg(F.count("*").alias("m")).withColumn("sides", F.ceil(F.col("m") / SIDE).cast("int"))
-    rows = clusters.join(sizes, "root").join(keys, clusters.node == keys.cid).select("cid", "key", "doc", "root", "m", "sides")
+    rows = clusters.join(sizes, "root").join(keys, clusters.node == keys.cid).select("cid", "key", "doc", "told", "n", "root", "m", "sides")
     return rows.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("sides")).cast("int"))
 
 
@@ -341,12 +352,17 @@ def _in_blocks(tasks: DataFrame, percent: int, spread) -> DataFrame:
     return tasks.withColumn("task", spread).select("task", "root", "p", "q", "second", "cid", "grams").groupBy("task").applyInArrow(run, _LINKS)
 
 
-def _verify(sets: DataFrame, percent: int) -> DataFrame:
+def _bins(grams: int, spark: SparkSession) -> int:
+    """Tasks that clusters of one side share: `BIN` bytes of sets each on average, and enough for all executors."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-8 * grams // BIN))
+
+
+def _verify(sets: DataFrame, percent: int, bins: int) -> DataFrame:
     """Links (u, v) between similar sets of a cluster, all compared with all; `sets` as from _full_sets, repeated rows allowed."""
     # each set goes to the pairs of its side with every side of its cluster; small clusters share tasks
     tasks = sets.select("root", "sides", "cid", "grams", "side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
     tasks = tasks.select("root", "cid", "grams", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "sides", (F.col("side") > F.col("other")).alias("second"))
-    spread = F.when(F.col("sides") > 1, F.xxhash64("root", "p", "q")).otherwise(F.pmod(F.xxhash64("root"), F.lit(4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    spread = F.when(F.col("sides") > 1, F.xxhash64("root", "p", "q")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins)))
     return _in_blocks(tasks, percent, spread)
 
 
@@ -375,7 +391,7 @@ def _to_pivots(sets: DataFrame, percent: int) -> DataFrame:
     return tasks.withColumn("task", F.xxhash64("root", "p")).groupBy("task").applyInArrow(run, "u long, v long, cid long")
 
 
-def _verify_large(sets: DataFrame, percent: int) -> DataFrame:
+def _verify_large(sets: DataFrame, percent: int, bins: int) -> DataFrame:
     """Links (u, v) that connect what is linked in large clusters; `sets` (cid, grams, root, m, sides, side), each once."""
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     found = written(_to_pivots(sets, percent), "pivots")
@@ -389,7 +405,7 @@ def _verify_large(sets: DataFrame, percent: int) -> DataFrame:
     if not rest.limit(1).count():
         return links
     alone = sets.select("cid", "grams").join(small(rest), "cid")
-    among = _verify(alone.select("cid", "grams", "root", F.col("rsides").alias("sides"), F.col("rside").alias("side")), percent)
+    among = _verify(alone.select("cid", "grams", "root", F.col("rsides").alias("sides"), F.col("rside").alias("side")), percent, bins)
     # the others that are near a pivot against those connected, in blocks of a side each; q below 0: never a side with itself
     first = alone.where("near").select("root", "cid", "grams", F.col("rside").alias("p"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("q"), F.lit(False).alias("second"))
     clusters = rest.where("near").select("root", "rsides").distinct()
@@ -402,14 +418,14 @@ def _verify_large(sets: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, k: int = 5, percent: int = 80, row_key: Column | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text): links where 100 * intersection >= percent * union.
 
-    With `row_key`, a long, also that and `group`: a number of the row's component that no other
+    With `row_key`, a value that tells rows apart, also that and `group`: a number of the row's component that no other
     component has, which ids don't give where they are null or repeated.
     """
     spark = docs.sparkSession
     small_batches(spark)
     own = [] if row_key is None else [row_key.alias("row_key")]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own)
-    sets = written(_sets(docs, k, percent, Order(*frequent(docs, k))).withColumn("row", F.monotonically_increasing_id()), "sets")
+    sets = written(_sets(docs.withColumn("told", _told(docs.text)), k, percent, Order(*frequent(docs, k))).withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = written(sets.where("n > 0").groupBy("key").agg(F.min("row").alias("cid"), F.min("doc_id").alias("doc"), F.min("n").alias("n")), "classes")
 
     # step 3: prefix n-grams that no other class has, by class
@@ -419,16 +435,18 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, row_key: Column | None
     asked = _least_matches(F.ceil(F.col("n") * percent / 100), percent, F.least)  # of the smallest set that can be similar
     some = sets.where("n > 0").select("key", own.alias("own"), "n", "l", F.size("prefix").alias("size")).distinct()
     keys = some.join(alone, "own", "left").where(F.col("size") - F.coalesce("alone", F.lit(0)) >= asked).select("key")
-    keys = written(classes.join(keys, "key").select("key", "cid", "doc"), "going")
+    keys = written(classes.join(keys, "key").select("cid"), "going")
 
     small = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    going = written(sets.join(small.select("cid"), F.col("row") == F.col("cid")).select("cid", "n", "l", "prefix").hint("rebalance"), "prefixes")
+    going = written(sets.join(small, F.col("row") == F.col("cid")).select("cid", "key", F.col("doc_id").alias("doc"), "told", "n", "l", "prefix").hint("rebalance"), "prefixes")
+    keys = going.select("cid", "key", "doc", "told", "n")
     pre = going.select("cid", "n", "l", F.posexplode("prefix").alias("pos", "gram"))
     placed = written(_placed(components(_candidates(pre, docs, keys, k, percent)), keys), "placed")
-    links = _verify(_full_sets(_texts(docs, placed.where("sides = 1")), k), percent)
+    bins = _bins(placed.agg(F.sum("n")).first()[0] or 0, spark)
+    links = _verify(_full_sets(_texts(docs, placed.where("sides = 1")), k), percent, bins)
     large = placed.where("sides > 1")
     if large.limit(1).count():
-        links = links.unionByName(_verify_large(written(_full_sets(_texts(docs, large), k).dropDuplicates(["cid"]), "large"), percent))
+        links = links.unionByName(_verify_large(written(_full_sets(_texts(docs, large), k).dropDuplicates(["cid"]), "large"), percent, bins))
     roots = components(links)
 
     by_class = classes.select("key", "cid", "doc").join(roots, classes.cid == roots.node, "left").select("key", "doc", F.coalesce("root", "cid").alias("root"))

@@ -1,10 +1,12 @@
 """The n-gram join against all pairs."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from clausewise.llm import components, ngram_join
 
@@ -93,6 +95,19 @@ def test_join_of_the_table(spark):
     assert got == brute(rows, 3, 90)
 
 
+def test_null_and_repeated_ids(spark, monkeypatch):
+    """Documents without ids of their own cost what others cost: each is found again once."""
+    seen = []
+    texts = ngram_join._texts
+    monkeypatch.setattr(ngram_join, "_texts", lambda docs, rows: seen.append(texts(docs, rows)) or seen[-1])
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(None if i % 3 else 7, own(i // 2) + f" {i}") for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.join(d, 5, 80, row_key=F.md5("text")).collect()
+    assert sorted(n for n in Counter(r.group for r in got).values()) == [2] * 750
+    assert sum(x.count() for x in seen) <= 2 * len(rows)
+
+
 def test_nothing(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [tuple(r) for r in ngram_join.join(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 1)]
