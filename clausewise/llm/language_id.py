@@ -7,7 +7,7 @@ profile by out-of-place distance: the sum over its n-grams of how far apart the
 the smaller language name.
 
 Training is one distributed count over all labelled training texts; only the finished profiles
-(languages x PROFILE rows) reach the driver. Prediction is a map without a shuffle.
+(languages x PROFILE rows of 12 bytes) reach the driver and the tasks. Prediction is a map without a shuffle.
 
 Edge cases: null text or text without a letter gives `und` with score 0; without any labelled
 training text every prediction is `und`. Rows with a null language don't train.
@@ -23,13 +23,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from clausewise.llm.common import id_crc, small_batches, steps
 
 #: n-grams of a profile.
 PROFILE = 300
-#: Languages at most; profiles of this many are what a task holds.
-MAX_LANGUAGES = 4096
 UNDETERMINED = "und"
 _CHUNK = 1 << 20  # letters that are sorted at once
 _FLUSH = 2_000_000
@@ -116,21 +115,22 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", k: int = PROF
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    if rows.select("l").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:  # before anything is collected
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     best = counts.withColumn("rank", rank - 1).where(F.col("rank") < k).select("lang", "gram", "rank").toPandas()
     return {name: g.sort_values("rank").gram.to_numpy(np.int64) for name, g in best.groupby("lang")}
 
 
 class Profiles:
-    """Ranks of all profiled n-grams by language, for lookups of many n-grams at once."""
+    """The languages and ranks of every profiled n-gram, for lookups of many n-grams at once; 12 bytes for each of a profile's n-grams."""
 
     def __init__(self, profiles: dict[str, np.ndarray], k: int = PROFILE):
         self.k, self.names = k, sorted(profiles)
-        self.grams = np.unique(np.concatenate([profiles[n] for n in self.names])) if self.names else np.zeros(0, np.int64)
-        self.ranks = np.full((len(self.grams) + 1, len(self.names)), -1, np.int32)
-        for j, n in enumerate(self.names):
-            self.ranks[np.searchsorted(self.grams, profiles[n]), j] = np.arange(len(profiles[n]))
+        size = [len(profiles[n]) for n in self.names]
+        grams = np.concatenate([profiles[n] for n in self.names]) if self.names else np.zeros(0, np.int64)
+        by = np.argsort(grams, kind="stable")
+        self.grams, start, count = np.unique(grams[by], return_index=True, return_counts=True)
+        self.start, self.count = np.append(start, len(by)), np.append(count, 0)  # the last is of what no profile has
+        self.lang = np.repeat(np.arange(len(size), dtype=np.int32), size)[by]
+        self.rank = np.concatenate([np.arange(n, dtype=np.int32) for n in size])[by] if size else np.zeros(0, np.int32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         grams, counts = ngrams(text or "")
@@ -139,14 +139,17 @@ class Profiles:
         mine = top(grams, counts, self.k)
         at = np.searchsorted(self.grams, mine)
         at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != mine)] = len(self.grams)
-        theirs = self.ranks[at]
-        far = np.where(theirs < 0, self.k, np.abs(theirs - np.arange(len(mine))[:, None])).sum(0)
+        n = self.count[at]
+        own = np.repeat(np.arange(len(mine)), n)
+        found = np.arange(len(own)) + np.repeat(self.start[at] - (np.cumsum(n) - n), n)
+        nearer = self.k - np.abs(self.rank[found] - own)  # than an n-gram that the profile lacks
+        far = self.k * len(mine) - np.bincount(self.lang[found], nearer, len(self.names))
         j = int(far.argmin())
         return self.names[j], 1.0 - float(far[j]) / (self.k * len(mine))
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", k: int = PROFILE) -> DataFrame:
-    """Adds `lang_pred` and `score` (1: same ranks as the profile, 0: nothing shared)."""
+    """Adds `lang_pred` and `score` (1: same ranks as the profile, 0: nothing shared); columns of these names are replaced."""
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Profiles(profiles, k))
     keep = [f for f in docs.schema if f.name not in ("lang_pred", "score")]
@@ -160,7 +163,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
                 names=[*(f.name for f in keep), "lang_pred", "score"],
             )
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", lang_pred string, score double")
+    return docs.mapInArrow(run, StructType([*keep, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(docs: DataFrame) -> DataFrame:
