@@ -82,8 +82,8 @@ def test_near_duplicates_by_row(spark, tmp_path):
 
 def test_clashing_columns(spark, tmp_path):
     """Columns with the names that stages use inside come through as they were."""
-    rows = [Row(doc_id=i, text=f"text {i} of the document " * 5, lang="en", source="s", n_chars=1, key=f"k{i}", row=i, row_key=f"r{i}", size="x", pieces="p", nth=7, group=None, stay=0, base=2.5, terms="t", _c1="c") for i in range(12)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, row int, row_key string, size string, pieces string, nth int, group string, stay int, base double, terms string, _c1 string")
+    rows = [Row(doc_id=i, text=f"text {i} of the document " * 5, lang="en", source="s", n_chars=1, key=f"k{i}", row=i, row_key=f"r{i}", size="x", pieces="p", nth=7, group=None, stay=0, base=2.5, terms="t", _c1="c", score=42.0, lang_pred="p", t=i, l="l", rest="r") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, row int, row_key string, size string, pieces string, nth int, group string, stay int, base double, terms string, _c1 string, score double, lang_pred string, t int, l string, rest string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     want = {r.doc_id: [v for c, v in r.asDict().items() if c not in ("text", "n_chars")] for r in docs.collect()}
