@@ -70,6 +70,12 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.collocations import collocations
+
+    return collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_matroska": op2_matroska,
@@ -81,8 +87,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_suffix_tree": op10_suffix_tree,
+    "op11_collocations": op11_collocations,
 }
-#: The n-gram join by all pairs that share a shingle; the other operators' results have no SQL form and are tested against brute force.
+#: The n-gram join by all pairs that share a shingle, collocations by all n-grams; the others' whole results have no SQL form and are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -93,4 +100,17 @@ l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(seen) AS c FROM r GROUP BY doc_id) m USING (doc_id)""",
+    "op11_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, w FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p) WHERE len(w) > 0),
+o AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS m))),
+f AS (SELECT lang, phrase, m, count(*) AS f FROM o GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+k AS (SELECT lang, phrase, m, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM c, (SELECT unnest([1, 2, 3]) AS k) WHERE k < m),
+s AS (SELECT k.lang, k.phrase, m, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score FROM k JOIN (SELECT lang, phrase, f FROM f) x ON x.lang = k.lang AND x.phrase = k.x JOIN (SELECT lang, phrase, f FROM f) y ON y.lang = k.lang AND y.phrase = k.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS most FROM (SELECT lang, w, a, m, n, unnest(range(1, m - n + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS n) WHERE n < m) GROUP BY ALL),
+g AS (SELECT b.lang, b.phrase, a, l, r, score FROM b LEFT JOIN i USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM g JOIN t USING (lang) QUALIFY rank <= 2000""",
 }
