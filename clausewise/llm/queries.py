@@ -76,6 +76,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
 
+def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.burst_trie import nodes
+
+    return nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_matroska": op2_matroska,
@@ -88,6 +94,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_suffix_tree": op10_suffix_tree,
     "op11_collocations": op11_collocations,
+    "op12_burst_trie": op12_burst_trie,
 }
 #: The n-gram join by all pairs that share a shingle, collocations by all n-grams; the others' whole results have no SQL form and are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
