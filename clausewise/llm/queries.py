@@ -82,6 +82,12 @@ def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_matroska": op2_matroska,
@@ -95,6 +101,7 @@ QUERIES = {
     "op10_suffix_tree": op10_suffix_tree,
     "op11_collocations": op11_collocations,
     "op12_burst_trie": op12_burst_trie,
+    "op13_toxicity": op13_toxicity,
 }
 #: The n-gram join by all pairs that share a shingle, collocations by all n-grams; the others' whole results have no SQL form and are tested against brute force.
 ORACLE_SQL: dict[str, str] = {

@@ -62,6 +62,7 @@ def test_join(spark, monkeypatch, seed, k, percent, dense, side, pivots):
     monkeypatch.setattr(ngram_join, "DENSE", dense)
     monkeypatch.setattr(ngram_join, "SIDE", side)
     monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    monkeypatch.setattr(components, "AT_ONCE", seed % 2 << 17)
     rows = made(seed)
     d = spark.createDataFrame([Row(doc_id=i, text=t, n=1, key="x", cid=2) for i, t in rows], "doc_id long, text string, n int, key string, cid int").repartition(3)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(d, k, percent).collect()), key=str)
@@ -113,7 +114,9 @@ def test_nothing(spark):
     assert [tuple(r) for r in ngram_join.join(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 1)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [1 << 17, 0])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     rng = np.random.default_rng(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2)) if a != b]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
