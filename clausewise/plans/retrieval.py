@@ -5,31 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewise.operators.scores import cosine_distance, fuse, tokens
+from clausewise.operators.scores import fuse, tokens
 from clausewise.plans import lexical
 from clausewise.plans.chunking import diverse
+from clausewise.plans.vectors import nearest
 
-#: Queries whose vectors are held against all rows at once.
-BLOCK = 256
 #: Hits shorter than this get neighbours, up to so many characters.
 SHORT, CONTEXT = 600, 2000
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query: str = "query") -> DataFrame:
-    """(query, key, distance, rank) of the k nearest rows to each of `queries` (query, q) by cosine distance, equal ones by key.
-
-    Queries go in blocks of `BLOCK`, each as one broadcast row; a row of vectors meets a block at a time, and tasks keep k
-    rows a query before anything moves.
-    """
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    block = F.pmod(F.xxhash64(query), F.lit(blocks))
-    held = queries.groupBy(block.alias("_block")).agg(F.collect_list(F.struct(query, "q")).alias("_queries"))
-    pairs = vectors.select(key, vector).join(F.broadcast(held)).select(key, vector, F.explode("_queries").alias("_q")).select(F.col(f"_q.{query}").alias(query), key, cosine_distance(F.col(vector), F.col("_q.q")).alias("distance"))
-    w = Window.partitionBy(query).orderBy("distance", key)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def hybrid(dense: DataFrame, lexical_: DataFrame, query: str, key: str, limit: int) -> DataFrame:
     """(query, key, score, rank) of two ranked lists, fused by weighted reciprocal ranks."""
     fused = fuse(dense, lexical_, [query, key])
@@ -37,10 +21,10 @@ def hybrid(dense: DataFrame, lexical_: DataFrame, query: str, key: str, limit: i
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def candidates(texts: DataFrame, vectors: DataFrame, queries: DataFrame, query: str, key: str, k: int, keep: int | None = None) -> DataFrame:
+def candidates(texts: DataFrame, vectors: DataFrame, queries: DataFrame, query: str, key: str, k: int, keep: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """(query, key, score, rank): the k nearest and the k best lexical hits of each of `queries` (query, q, text), fused."""
     dense = nearest(vectors, queries.select(query, "q"), k, key=key, query=query)
-    return hybrid(dense, lexical.ranked(texts, key, queries.select(query, "text"), query, k), query, key, keep or 2 * k)
+    return hybrid(dense, lexical.ranked(texts, key, queries.select(query, "text"), query, k, index=index), query, key, keep or 2 * k)
 
 
 def pool(limit: int) -> int:
@@ -79,19 +63,19 @@ def with_neighbours(hits: DataFrame, chain: DataFrame, keys: list[str], order: s
     return out.select(*(F.col(c) for c in hits.columns), context.alias("context"))
 
 
-def ranked_retrieve(texts: DataFrame, vectors: DataFrame, chain: DataFrame, queries: DataFrame, query: str, key: str, limit: int, keys: list[str], order: str, section: str) -> DataFrame:
+def ranked_retrieve(texts: DataFrame, vectors: DataFrame, chain: DataFrame, queries: DataFrame, query: str, key: str, limit: int, keys: list[str], order: str, section: str, index: DataFrame | None = None) -> DataFrame:
     """(query, key, place, score, context) of the `limit` most relevant and diverse hits of each query, short ones with their neighbours.
 
     `chain` has texts with key, keys, order and section.
     """
     k = max(20, 3 * limit)
-    found = candidates(texts, vectors, queries, query, key, k, k).join(texts.select(key, "text"), key)
+    found = candidates(texts, vectors, queries, query, key, k, k, index).join(texts.select(key, "text"), key)
     listed = found.select(query, F.col(key).alias("id"), "score", tokens(F.col("text")).alias("words"))
     chosen = diverse(listed, query, limit).withColumnRenamed("id", key)
     placed = chosen.join(found.select(query, key, "score"), [query, key]).join(chain.select(key, *keys, order), key)
     return with_neighbours(placed, chain, keys, order, section, "text").select(query, key, "place", "score", "context")
 
 
-def knowledge_retrieve(texts: DataFrame, vectors: DataFrame, queries: DataFrame, query: str, key: str, limit: int) -> DataFrame:
+def knowledge_retrieve(texts: DataFrame, vectors: DataFrame, queries: DataFrame, query: str, key: str, limit: int, index: DataFrame | None = None) -> DataFrame:
     """(query, key, similarity, rank): hybrid search without diversification; the similarity is the fused score."""
-    return candidates(texts, vectors, queries, query, key, pool(limit), limit).withColumnRenamed("score", "similarity")
+    return candidates(texts, vectors, queries, query, key, pool(limit), limit, index).withColumnRenamed("score", "similarity")

@@ -10,7 +10,7 @@ from pyspark.sql.types import BinaryType
 
 from clausewise.functions import clauses, replies
 from clausewise.operators.scores import fuse
-from clausewise.plans import chunking, cleaning, evaluation, lexical, matching, reports, retrieval, sections, tags
+from clausewise.plans import chunking, cleaning, evaluation, lexical, matching, reports, retrieval, sections, tags, vectors
 from clausewise.queries.registry import Tables, query
 from clausewise.sources import cases, parsed
 
@@ -182,9 +182,13 @@ def _questions(t: Tables):
     return t.benchmark.select("item_id", F.array_join(F.slice(words(F.col("text")), 1, 5), " ").alias("text"), F.col("text").alias("expected"))
 
 
+def _index(t: Tables):
+    return lexical.stored(t.documents, "doc_id")
+
+
 @query(f"WITH {_LEX} SELECT item_id, doc_id, score FROM lex")
 def lex_rank(t: Tables):
-    return lexical.covered(lexical.matches(t.documents, "doc_id", _questions(t), "item_id"), "item_id", "doc_id").withColumn("score", F.round("score", 9))
+    return lexical.covered(lexical.matches(t.documents, "doc_id", _questions(t), "item_id", index=_index(t)), "item_id", "doc_id").withColumn("score", F.round("score", 9))
 
 
 # Queries are the passages whose id is divisible by 20, with the vector of that number.
@@ -207,25 +211,25 @@ def _asked(t: Tables):
 
 @query(f"WITH {_HYBRID} SELECT item_id, doc_id, round(score, 9) AS score, rank FROM top WHERE rank <= 10")
 def hybrid_candidates(t: Tables):
-    return retrieval.candidates(t.documents, _vectors(t), _asked(t), "item_id", "doc_id", 30, 10).withColumn("score", F.round("score", 9))
+    return retrieval.candidates(t.documents, _vectors(t), _asked(t), "item_id", "doc_id", 30, 10, _index(t)).withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {_HYBRID} SELECT item_id, doc_id, round(score, 9) AS score FROM fused")
 def rrf_fusion(t: Tables):
     asked = _asked(t)
     dense = retrieval.nearest(_vectors(t), asked.select("item_id", "q"), 30, key="doc_id", query="item_id")
-    return fuse(dense, lexical.ranked(t.documents, "doc_id", asked, "item_id", 30), ["item_id", "doc_id"]).withColumn("score", F.round("score", 9))
+    return fuse(dense, lexical.ranked(t.documents, "doc_id", asked, "item_id", 30, index=_index(t)), ["item_id", "doc_id"]).withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {_HYBRID} SELECT item_id, doc_id, round(score, 9) AS similarity, rank FROM top WHERE rank <= 10")
 def kb_retrieve(t: Tables):
-    return retrieval.knowledge_retrieve(t.documents, _vectors(t), _asked(t), "item_id", "doc_id", 10).withColumn("similarity", F.round("similarity", 9))
+    return retrieval.knowledge_retrieve(t.documents, _vectors(t), _asked(t), "item_id", "doc_id", 10, _index(t)).withColumn("similarity", F.round("similarity", 9))
 
 
 @query()
 def ranked_retrieve(t: Tables):
     chain = t.documents.select("doc_id", "source", "lang", "text")
-    return retrieval.ranked_retrieve(t.documents, _vectors(t), chain, _asked(t), "item_id", "doc_id", 5, ["source"], "doc_id", "lang").select("item_id", "doc_id", "place", F.round("score", 9).alias("score"), F.length("context").alias("n_chars"))
+    return retrieval.ranked_retrieve(t.documents, _vectors(t), chain, _asked(t), "item_id", "doc_id", 5, ["source"], "doc_id", "lang", _index(t)).select("item_id", "doc_id", "place", F.round("score", 9).alias("score"), F.length("context").alias("n_chars"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0),
@@ -235,6 +239,13 @@ def knn_queries(t: Tables):
     return retrieval.nearest(t.embeddings, asked, 10).select("query", "vec_id", "rank")
 
 
+@query()
+def knn_indexed(t: Tables):
+    """The same by an inverted file; tests hold its recall against `knn_queries`."""
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return vectors.search(vectors.stored(t.embeddings), asked, 10).select("query", "vec_id", "rank")
+
+
 # The lines of a document, a section for every ten; a line's context are whole neighbours up to 700 characters, those before it first.
 @query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
 s AS (SELECT *, CASE WHEN line = '' OR lag(line) OVER w = '' OR lag(line) OVER w IS NULL OR pos % 10 = 0 THEN 1 ELSE 0 END AS cut FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
@@ -259,7 +270,7 @@ def neighbor_expand(t: Tables):
 hits AS (SELECT r.item_id, min(CASE WHEN contains(replace(d.text, ' ', ''), replace(q.expected, ' ', '')) THEN rank END) AS rank, count(*) AS n FROM ranked r JOIN documents d USING (doc_id) JOIN q USING (item_id) WHERE rank <= 5 GROUP BY 1)
 SELECT b.item_id, h.rank IS NOT NULL AS passed, h.rank, coalesce(h.n, 0) AS observed FROM benchmark b LEFT JOIN hits h USING (item_id)""")
 def eval_run(t: Tables):
-    return evaluation.run(_questions(t), lexical.ranked(t.documents, "doc_id", _questions(t), "item_id", 5), t.documents, "item_id", "doc_id")
+    return evaluation.run(_questions(t), lexical.ranked(t.documents, "doc_id", _questions(t), "item_id", 5, index=_index(t)), t.documents, "item_id", "doc_id")
 
 
 @query(f"""WITH {_LEX}, {_RANKED},
@@ -267,7 +278,7 @@ hits AS (SELECT r.item_id, min(CASE WHEN contains(replace(d.text, ' ', ''), repl
 SELECT count(*) AS cases, count(*) FILTER (WHERE h.rank <= 1) AS passed, count(*) FILTER (WHERE h.n IS NULL) AS skipped, round_even(count(*) FILTER (WHERE h.rank <= 1)::DOUBLE / count(h.n), 4) AS recall FROM benchmark b LEFT JOIN hits h USING (item_id)""")
 def eval_recall(t: Tables):
     """Recall at 1; questions that match nothing are skipped."""
-    ran = evaluation.run(_questions(t), lexical.ranked(t.documents, "doc_id", _questions(t), "item_id", 5), t.documents, "item_id", "doc_id")
+    ran = evaluation.run(_questions(t), lexical.ranked(t.documents, "doc_id", _questions(t), "item_id", 5, index=_index(t)), t.documents, "item_id", "doc_id")
     return evaluation.recall_at(ran, 1, F.col("observed") == 0)
 
 
@@ -276,7 +287,7 @@ hits AS (SELECT r.item_id, min(CASE WHEN contains(replace(d.text, ' ', ''), repl
 s AS (SELECT CASE WHEN length(b.text) < 400 THEN 'short' ELSE 'long' END AS scope, h.rank FROM benchmark b LEFT JOIN hits h USING (item_id))
 SELECT scope, count(*) AS cases, count(rank) AS passed, round_even(count(rank)::DOUBLE / count(*), 4) AS recall, round_even(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*), 4) AS mrr FROM s GROUP BY ROLLUP (scope)""")
 def eval_mrr_rollup(t: Tables):
-    ran = evaluation.run(_questions(t), lexical.ranked(t.documents, "doc_id", _questions(t), "item_id", 5), t.documents, "item_id", "doc_id")
+    ran = evaluation.run(_questions(t), lexical.ranked(t.documents, "doc_id", _questions(t), "item_id", 5, index=_index(t)), t.documents, "item_id", "doc_id")
     scope = F.when(F.length("expected") < 400, "short").otherwise("long")
     return evaluation.summary(ran.join(_questions(t), "item_id").withColumn("scope", scope), "scope")
 

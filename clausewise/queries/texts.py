@@ -197,9 +197,9 @@ d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L
 m AS (SELECT item_id, doc_id, count(*) AS m FROM (SELECT item_id, unnest(w) AS w FROM q) JOIN d USING (w) GROUP BY ALL)
 SELECT item_id, doc_id FROM m JOIN q USING (item_id) WHERE m = len(w)""")
 def lex_and_match(t: Tables):
-    from clausewise.plans.lexical import matches
+    from clausewise.plans.lexical import matches, stored
 
-    return matches(t.documents, "doc_id", t.benchmark, "item_id").select("item_id", "doc_id")
+    return matches(t.documents, "doc_id", t.benchmark, "item_id", index=stored(t.documents, "doc_id")).select("item_id", "doc_id")
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b(the|der|la) ', '<think>', 'g'), '\b(of|und|el) ', '</THINK>', 'g'), '(?is)<think>.*?</think>', '', 'g'), '(?i)</?think>', '', 'g') AS hash FROM documents""".replace("AS hash", "AS stripped"))

@@ -45,18 +45,6 @@ def test_lexical(spark):
         assert [ranks[i][n + 1] for n in range(len(best))] == [k for _, k in best]
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "BLOCK", 2)
-    rng = random.Random(2)
-    v = [(i, [rng.random() for _ in range(4)]) for i in range(50)]
-    d = spark.createDataFrame(v, "vec_id int, embedding array<double>")
-    got = {(r.query, r["rank"]): r.vec_id for r in retrieval.nearest(d, d.where("vec_id % 10 = 0").selectExpr("vec_id query", "embedding q"), 3).collect()}
-    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
-    for i in range(0, 50, 10):
-        best = sorted((1 - dot(v[i][1], x) / (dot(x, x) * dot(v[i][1], v[i][1])) ** 0.5, k) for k, x in v)[:3]
-        assert [got[i, n] for n in (1, 2, 3)] == [k for _, k in best]
-
-
 def brute_context(chain, i, short, most):
     text = (chain[i][1] or "").strip()
     if len(text) >= short:
