@@ -5,7 +5,7 @@ pass reads all texts:
 
 1. Words are counted exactly.
 2. N-grams as 64-bit hashes of language and words are counted by each task and go, by the leading bits of the
-   hash, to hash partitions. There summaries are merged: a summary that holds more counters than its
+   hash, to hash partitions, with the next 32 bits (n-grams that agree in these count together, so none gets lost). There summaries are merged: a summary that holds more counters than its
    capacity, `SLACK` times mass over threshold, takes the next largest counter's value off all counters. The
    values taken off add up to `lost`, which stays below the threshold (the capacity gives way otherwise), so an n-gram as
    frequent as the threshold always survives. Survivors, those whose counter plus `lost` reaches the
@@ -134,7 +134,7 @@ class Summary:
 
     def __init__(self, least: int, small: int = SMALL):
         self.least, self.small = least, small
-        self.grams, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.grams, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.mass = self.lost = 0
 
     def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
@@ -166,13 +166,23 @@ def _collected(rows: DataFrame, bits: int) -> Bitmap:
 
 
 def _bits(survivors: np.ndarray, bits: int, part_bits: int) -> bytes:
-    """The bits of one part, that has the hashes of its leading `part_bits`."""
-    at = (survivors >> np.uint64(64 - bits)) & np.uint64((1 << (bits - part_bits)) - 1)
+    """The bits of one part, of the 32 bits of hashes after its own `part_bits`."""
+    at = survivors >> np.uint32(32 - (bits - part_bits))
     out = np.zeros(1 << (bits - part_bits - 3), np.uint8)
-    np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    np.bitwise_or.at(out, at >> np.uint32(3), np.uint8(1) << (at & np.uint32(7)).astype(np.uint8))
     return out.tobytes()
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as they need."""
+    most = int(counts.max())
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint32 if most < 1 << 32 else np.int64).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 4: np.uint32, 8: np.int64}[len(data) // n]).astype(np.int64)
+
+
 def _survivors(texts: DataFrame, lengths: tuple[int, ...], mass: int, words: Bitmap, pairs: Bitmap | None, least: int) -> Bitmap:
     """Bitmap of the n-grams of `lengths` that may occur `least` times; `mass` n-grams there are at most."""
     spark = texts.sparkSession
@@ -187,7 +197,8 @@ def _survivors(texts: DataFrame, lengths: tuple[int, ...], mass: int, words: Bit
         def sent() -> Iterator[pa.RecordBatch]:
             grams, counts = _merged(*(np.concatenate(x) for x in zip(*held)))
             edge = np.searchsorted(grams, np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits)).tolist() + [len(grams)]
-            rows = [(p, grams[a:b].tobytes(), counts[a:b].astype(np.int32 if counts.max() < 1 << 31 else np.int64).tobytes()) for p, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
+            grams = (grams << np.uint64(part_bits) >> np.uint64(32)).astype(np.uint32)
+            rows = [(p, grams[a:b].tobytes(), _narrow(counts[a:b])) for p, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
             for at in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 256]), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "grams", "counts"])
 
@@ -215,14 +226,14 @@ def _survivors(texts: DataFrame, lengths: tuple[int, ...], mass: int, words: Bit
                     if summary is not None:
                         yield done()
                     at, summary = part, Summary(least, small)
-                grams = np.frombuffer(grams, np.uint64)
-                summary.add(grams, np.frombuffer(counts, np.int32 if len(counts) == 4 * len(grams) else np.int64).astype(np.int64))
+                grams = np.frombuffer(grams, np.uint32)
+                summary.add(grams, _wide(counts, len(grams)))
         if summary is not None:
             yield done()
 
     sent = texts.mapInArrow(count, "part int, grams binary, counts binary")
     merged = sent.repartitionById(1 << part_bits, F.col("part")).sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary")
-    return _collected(merged, bits)
+    return _collected(written(merged, "bitmap"), bits)
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
