@@ -48,5 +48,25 @@ def clip_to_budget(df: DataFrame, keys: list[str], order: list, text: str, budge
     return df.withColumn(text, piece).where(F.length(text) > 0)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def charged(texts: Column, budget: int, each: int) -> Column:
+    """The texts of an array, cut to `each` and to what is left of the budget, then stripped; what is charged is the length that stays.
+
+    A text that is cut at blanks leaves room for the next one, so that what is left depends on what was kept: a fold. Texts beyond
+    the budget are empty, nulls too.
+    """
+    begin = F.struct(F.lit(budget).alias("left"), F.array().cast("array<string>").alias("kept"))
+
+    def take(s, text):
+        cut = F.when(s.left > 0, stripped(F.substring(F.coalesce(text, F.lit("")), F.lit(1), F.least(s.left, F.lit(each))))).otherwise("")
+        return F.struct((s.left - F.length(cut)).alias("left"), F.concat(s.kept, F.array(cut)).alias("kept"))
+
+    return F.aggregate(texts, begin, take, lambda s: s.kept)
+
+
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)

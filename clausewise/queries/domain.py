@@ -297,13 +297,6 @@ def roles_by_user(t: Tables):
     return t.orders.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("roles"))
 
 
-@query("""SELECT o_orderkey, o_totalprice, c_name, n_name, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n_lines FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
-def report_snapshot(t: Tables):
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
-    whole = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return whole.select("o_orderkey", "o_totalprice", "c_name", "n_name", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
-
-
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, s_name, p_name FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN part ON l_partkey = p_partkey""")
 def snapshot_matches(t: Tables):
     x = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left").join(t.part, F.col("l_partkey") == F.col("p_partkey"), "left")
@@ -316,13 +309,6 @@ def manifest_hash(t: Tables):
     return t.lineitem.groupBy("l_orderkey").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(item))), 256).alias("hash"))
 
 
-@query()
-def multi_value_merge(t: Tables):
-    from clausewise.plans.findings import merge_values
-
-    return merge_values(t.events.select("user_id", "event_type", F.col("value").cast("int").alias("v"), "ts", "event_id"), ["user_id", "event_type"], "v", "v", ["ts", "event_id"])
-
-
 @query("""SELECT coalesce(reason, 'KEPT') AS reason, count(*) AS n FROM (SELECT CASE WHEN n_chars < 100 THEN 'TOO_SHORT' WHEN contains(text, '!!') THEN 'GARBLED_TEXT' WHEN count(*) OVER (PARTITION BY text) > 1 THEN 'DUPLICATE_FRAGMENT' END AS reason FROM documents) GROUP BY 1""")
 def clean_summary(t: Tables):
     own = F.when(F.col("n_chars") < 100, "TOO_SHORT").when(F.col("text").contains("!!"), "GARBLED_TEXT")

@@ -48,17 +48,6 @@ def last_block(t: Tables):
     return t.documents.select("doc_id", F.try_element_at(F.filter(T.lines(F.col("text")), lambda x: x != ""), F.lit(-1)).alias("last"))
 
 
-@query("SELECT p_partkey, regexp_full_match(p_brand, 'Brand#[0-9]{2}') AS valid FROM part")
-def val_regex(t: Tables):
-    return t.part.select("p_partkey", F.col("p_brand").rlike("^(?:Brand#[0-9]{2})$").alias("valid"))
-
-
-@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) IS NOT NULL WHEN event_type = 'view' THEN props IS NOT NULL ELSE false END AS ok FROM events""")
-def type_check(t: Tables):
-    k = F.get_json_object("props", "$.k")
-    return t.events.select("event_id", F.when(F.col("event_type") == "click", k.try_cast("double").isNotNull()).when(F.col("event_type") == "view", F.col("props").isNotNull()).otherwise(False).alias("ok"))
-
-
 def _page_table(t: Tables):
     """The lists and paragraphs of pages as tables: list items are cells, lists rows, and so is a paragraph."""
     page = F.col("html")
@@ -234,12 +223,6 @@ def publish_one(t: Tables):
     return ranking.demote_others(rows, ["source"], [F.desc("doc_id")], "status", "DRAFT", F.col("quality") == 1).select("doc_id", "source", "status")
 
 
-@query("""SELECT l.doc_id, CASE WHEN d.n_chars > 5000 THEN 'STALE' WHEN l.toxic = 1 THEN 'PENDING_REVIEW' ELSE 'CONFIRMED' END AS status FROM labels l JOIN documents d USING (doc_id)""")
-def finding_flow(t: Tables):
-    status = F.when(F.col("n_chars") > 5000, "STALE").when(F.col("toxic") == 1, "PENDING_REVIEW").otherwise("CONFIRMED")
-    return t.labels.join(t.documents, "doc_id").select("doc_id", status.alias("status"))
-
-
 @query("""SELECT o.o_orderkey, coalesce(r.l_returnflag, o.o_orderstatus) AS value, r.l_orderkey IS NOT NULL AS reviewed FROM orders o LEFT JOIN (SELECT l_orderkey, min(l_returnflag) AS l_returnflag FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) r ON r.l_orderkey = o.o_orderkey""")
 def review_merge(t: Tables):
     review = t.lineitem.where("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_returnflag").alias("review"))
@@ -255,25 +238,6 @@ def input_drift(t: Tables):
     return t.documents.groupBy("source").agg(digest(F.col("text")).alias("a"), digest(now).alias("b")).select("source", (F.col("a") != F.col("b")).alias("drift"))
 
 
-@query("""SELECT event_id, CASE WHEN value < 0 OR value > 100 THEN 'CONFIDENCE' WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'CODE' WHEN user_id % 7 = 0 THEN 'EVIDENCE' END AS issue FROM events""")
-def extract_accept(t: Tables):
-    issue = F.when(~F.col("value").between(0, 100), "CONFIDENCE").when(~F.col("event_type").isin("click", "view", "purchase"), "CODE").when(F.col("user_id") % 7 == 0, "EVIDENCE")
-    return t.events.select("event_id", issue.alias("issue"))
-
-
-@query("""WITH need AS (SELECT u.user_id, k.event_type FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(['click', 'purchase', 'error']) AS event_type) k)
-SELECT user_id, event_type, 'MISSING' AS issue FROM need WHERE (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE value > 90)""")
-def extract_validate(t: Tables):
-    need = t.events.select("user_id").distinct().select("user_id", F.explode(F.array(*map(F.lit, ("click", "purchase", "error")))).alias("event_type"))
-    return need.join(t.events.where("value > 90"), ["user_id", "event_type"], "left_anti").withColumn("issue", F.lit("MISSING"))
-
-
-@query("""SELECT 'FIELD' AS kind, p_partkey AS id, p_type AS code FROM part WHERE p_size <= 10 UNION ALL SELECT 'REQUIREMENT', p_partkey, p_type FROM part WHERE p_type IN ('PROMO', 'SMALL')""")
-def fact_projection(t: Tables):
-    of = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), F.col("p_partkey").alias("id"), F.col("p_type").alias("code"))
-    return of("FIELD", t.part.where("p_size <= 10")).unionByName(of("REQUIREMENT", t.part.where(F.col("p_type").isin("PROMO", "SMALL"))))
-
-
 @query("""SELECT l_suppkey, s_name, count(*) AS n, round_even(100.0::DOUBLE * count(*) FILTER (WHERE l_returnflag = 'A') / count(*), 2) AS coverage FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL ORDER BY coverage DESC, l_suppkey LIMIT 12""")
 def fit_summary(t: Tables):
     x = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_suppkey", "s_name")

@@ -208,12 +208,6 @@ def strip_reasoning(t: Tables):
     return t.documents.select("doc_id", T.without_reasoning(said).alias("stripped"))
 
 
-@query("""SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '([0-9]+)@mail', 1)), ',') IS NOT NULL AS ok, len(list_distinct(regexp_extract_all(text, '([0-9]+)@mail', 1))) AS n FROM documents""")
-def citations(t: Tables):
-    ids = T.citations(F.col("text"), "([0-9]+)@mail")
-    return t.documents.select("doc_id", F.array_join(ids, ",").isNotNull().alias("ok"), F.size(ids).cast("long").alias("n"))
-
-
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '\|', '\\|', 'g'), '\s*\n\s*', ' ', 'g') AS cell FROM documents")
 def md_cell(t: Tables):
     return t.documents.select("doc_id", T.cell(F.col("text")).alias("cell"))
