@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPACES = " 　"
 #: Cases of a block, all of which are looked for in one pass over the texts; the letter at which texts are cut to pieces, and a piece's least length.
 BLOCK, CUT, LEAST = 4096, "e", 3
+#: Blocks that go to every task at once; more are looked for one after the other.
+BLOCKS = 16
+
+
+def _with_blocks(rows: DataFrame, held: DataFrame, n: int) -> DataFrame:
+    """Every row with every one of the n blocks (block, and more), of which tasks hold `BLOCKS` at a time."""
+    parts = [held] if n <= BLOCKS else [held.where(F.col("block").between(b, b + BLOCKS - 1)) for b in range(0, n, BLOCKS)]
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(part)) for part in parts])
 
 
 def squeezed(text):
@@ -20,18 +30,18 @@ def contained(cases: DataFrame, docs: DataFrame, case: str = "item_id") -> DataF
 
     Texts are cut at a letter. What a case has between two cuts is a whole piece of every text that
     has the case, so only texts with a case's longest piece are searched for it. Cases without such a piece are
-    searched for in every text. Cases go in blocks, each one broadcast row; every text is read once a block.
+    searched for in every text. Cases go in blocks, each one row, of which `BLOCKS` are broadcast at a time; every text is read once for these.
     """
     rows = cases.select(case, squeezed(F.col("text")).alias("needle"))
     pieces = F.split("needle", CUT)
     inner = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda x: F.length(x) >= LEAST)
     anchor = F.element_at(F.transform(F.array_sort(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), lambda x: x["x"]), -1)
     rows = rows.withColumn("anchor", F.when(F.size(inner) > 0, anchor))
-    n = rows.count()
-    block = F.pmod(F.xxhash64("anchor", "needle"), F.lit(max(1, -(-n // BLOCK))))
+    n = max(1, -(-rows.count() // BLOCK))
+    block = F.pmod(F.xxhash64("anchor", "needle"), F.lit(n))
     held = rows.groupBy(block.alias("block")).agg(F.array_sort(F.collect_set(F.struct("anchor", "needle"))).alias("cases"), F.collect_set("anchor").alias("anchors"))
     hay = docs.select(squeezed(F.col("text")).alias("hay")).where("hay is not null")
-    both = hay.join(F.broadcast(held)).withColumn("own", F.array_intersect("anchors", F.split("hay", CUT)))
+    both = _with_blocks(hay, held, n).withColumn("own", F.array_intersect("anchors", F.split("hay", CUT)))
     found = F.filter("cases", lambda c: (c["anchor"].isNull() | F.array_contains("own", c["anchor"])) & F.col("hay").contains(c["needle"]))
     hits = both.select(F.explode(found).alias("c")).groupBy(F.col("c.needle").alias("needle")).agg(F.count("*").alias("n_docs"))
     return rows.select(case, "needle").join(hits, "needle", "left").select(case, F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
@@ -68,11 +78,12 @@ def golden_recall(terms: DataFrame, least: DataFrame, texts: DataFrame, scope: s
     `terms` is as from golden_terms, a set that people wrote; `least` has the thresholds requirement_recall and mandatory_recall.
     """
     items = terms.groupBy("item", "mandatory").agg(F.collect_list(F.transform("terms", F.lower)).alias("groups"))
-    held = items.agg(F.collect_list(F.struct("item", "mandatory", "groups")).alias("items"))
+    n = max(1, -(-items.count() // BLOCK))
+    held = items.groupBy(F.pmod(F.xxhash64("item"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("item", "mandatory", "groups")).alias("items"))
     low = F.lower("text")
     met = F.filter("items", lambda i: F.forall(i["groups"], lambda g: F.exists(g, lambda t: low.contains(t))))
-    found = texts.select(scope, "text").join(F.broadcast(held)).select(scope, F.explode(F.transform(met, lambda i: i["item"])).alias("item")).distinct().withColumn("found", F.lit(True))
-    whole = texts.select(scope).distinct().join(F.broadcast(items.select("item", "mandatory"))).join(found, [scope, "item"], "left")
+    found = _with_blocks(texts.select(scope, "text"), held, n).select(scope, F.explode(F.transform(met, lambda i: i["item"])).alias("item")).distinct().withColumn("found", F.lit(True))
+    whole = texts.select(scope).distinct().join(items.select("item", "mandatory")).join(found, [scope, "item"], "left")  # the result's rows, before they are counted
     n, hits, must, kept = F.count("*"), F.count("found"), F.count_if("mandatory"), F.count_if(F.col("mandatory") & F.col("found").isNotNull())
     out = whole.groupBy(scope).agg(n.alias("n"), hits.alias("found"), _recall(hits, n).alias("recall"), _recall(kept, must).alias("mandatory_recall"))
     limits = least.agg(*(F.coalesce(F.max(F.when(F.col("name") == x, F.col("least"))), F.lit(0.0)).alias(f"_{x}") for x in ("requirement_recall", "mandatory_recall")))

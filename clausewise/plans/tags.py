@@ -12,6 +12,8 @@ QUOTED = r"[“\"「『]([^”\"」』]{2,24})[”\"」』]"
 DROPPED = r"要求|条款"
 #: Evidences of a tag and of all tags, and how early a text of identity tags stands.
 EACH, ALL, EARLY = 3, 48, 12
+#: Tags of a catalogue.
+CATALOGUE = 1 << 14
 
 
 def keywords(name: Column, prompt: Column) -> Column:
@@ -23,7 +25,10 @@ def keywords(name: Column, prompt: Column) -> Column:
 
 def recalled(tags: DataFrame, texts: DataFrame, key: str, order: str, early: Column) -> DataFrame:
     """(code, key, score, rank) of the texts (key, order, text) with keywords of a tag (code, place, words), `EACH` a tag; `early` tags also take the first texts."""
-    pairs = texts.join(F.broadcast(tags.select("code", "place", "words", early.alias("_early"))))  # a catalogue of fixed size
+    held = tags.select("code", "place", "words", early.alias("_early"))
+    if held.count() > CATALOGUE:
+        raise ValueError(f"a catalogue of more than {CATALOGUE} tags")  # people write it; each text is held against all of it
+    pairs = texts.join(F.broadcast(held))
     hits = F.size(F.filter("words", lambda w: F.col("text").contains(w)))
     scored = pairs.withColumn("score", F.when(F.col("_early") & (F.col(order) <= EARLY), F.greatest(hits, F.lit(1))).otherwise(hits)).where("score > 0")
     return first_per(scored, ["code"], [F.desc("score"), F.asc(order), F.desc(key)], EACH, "rank").select("code", "place", key, "score", "rank")
