@@ -103,7 +103,7 @@ QUERIES = {
     "op12_burst_trie": op12_burst_trie,
     "op13_toxicity": op13_toxicity,
 }
-#: The n-gram join by all pairs that share a shingle, collocations by all n-grams; the others' whole results have no SQL form and are tested against brute force.
+#: The n-gram join by all pairs that share a shingle, collocations by all n-grams, the trie by all prefixes; the others' whole results have no SQL form and are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -127,4 +127,21 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 i AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS most FROM (SELECT lang, w, a, m, n, unnest(range(1, m - n + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS n) WHERE n < m) GROUP BY ALL),
 g AS (SELECT b.lang, b.phrase, a, l, r, score FROM b LEFT JOIN i USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM g JOIN t USING (lang) QUALIFY rank <= 2000""",
+    "op12_burst_trie": r"""
+WITH RECURSIVE b AS (SELECT n, n AS c, 0 AS k FROM range(256) r(n) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM b WHERE k < 8),
+bytes AS (SELECT list(c ORDER BY n) AS tab FROM b WHERE k = 8),
+ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 4294967295::BIGINT AS c, 1 AS i FROM ids UNION ALL SELECT conv_id, s, xor(c >> 8, tab[CAST((xor(c, ascii(s[i])) & 255) + 1 AS INT)]), i + 1 FROM crc, bytes WHERE i <= length(s)),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(c, 4294967295) % 6 AS h FROM crc WHERE i = length(s) + 1),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS place FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT h.conv_id, 0 AS part, place, role, text FROM h JOIN t ON t.conv_id = base AND place < h UNION ALL SELECT conv_id, 1, place, role, text FROM h JOIN t USING (conv_id) WHERE place >= h),
+d AS (SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, md5(string_agg(md5(length(role) || ':' || role || ':' || md5(text)), '') OVER w) AS k FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)),
+p AS (SELECT conv_id, depth, k, chars FROM d UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM p GROUP BY ALL),
+u AS (SELECT n.k, q.k AS up FROM n JOIN p q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1),
+c AS (SELECT up AS k, count(*) AS n_children FROM u GROUP BY 1),
+a AS (SELECT q.k, sum(CASE WHEN c.k IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved_tokens FROM n LEFT JOIN c ON c.k = n.k JOIN p q ON q.conv_id = n.conv_id AND q.depth <= n.depth GROUP BY 1),
+e AS (SELECT k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM (SELECT * FROM p QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY 1)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM n LEFT JOIN u ON u.k = n.k LEFT JOIN n m ON m.k = u.up LEFT JOIN c ON c.k = n.k JOIN a ON a.k = n.k LEFT JOIN e ON e.k = n.k""",
 }

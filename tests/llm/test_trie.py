@@ -87,3 +87,15 @@ def test_of_the_table(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sorted((tuple(r) for r in queries.op12_burst_trie(spark, folder).collect()), key=str) == brute(rows)
+
+
+def test_sql(spark):
+    """The SQL of the registered query, on rows with ties, nulls and long copies."""
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    frame_ = pd.DataFrame(made(1), columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con.register("rows", frame_)
+    con.execute("CREATE VIEW conversations AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role::VARCHAR AS role, text::VARCHAR AS text FROM rows")
+    assert sorted(con.execute(queries.ORACLE_SQL["op12_burst_trie"]).fetchall(), key=str) == brute(made(1))
