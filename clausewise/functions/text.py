@@ -30,8 +30,8 @@ def normalized(text: Column, drop_format: bool = True) -> Column:
 
 
 def duplicate_key(text: Column) -> Column:
-    """Without `#` runs and white space, in lower case."""
-    return F.lower(F.regexp_replace(text, r"#+|\s+", ""))
+    """Without `#` runs and white space, in one case: lower case, with ß as ss and the final sigma as any other."""
+    return F.translate(F.replace(F.lower(F.regexp_replace(text, r"#+|\s+", "")), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -39,24 +39,30 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+def bare(text: Column) -> Column:
+    """Without white space. What asks for it more than once takes it as a column of its own."""
+    return F.regexp_replace(text, r"\s+", "")
+
+
 def visible(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"\s+", ""))
+    return F.length(bare(text))
 
 
-def garbled_ratio(text: Column, ordinary: str) -> Column:
-    """Share of visible characters that aren't in the class `ordinary`, four digits; 1 if nothing is visible."""
-    seen = visible(text)
-    odd = F.length(F.regexp_replace(F.regexp_replace(text, r"\s+", ""), f"[{ordinary}]", ""))
-    return F.when(seen == 0, 1.0).otherwise(F.bround(odd / seen, 4))
+def garbled_ratio(text: Column, ordinary: str, seen: Column | None = None) -> Column:
+    """Share of visible characters that aren't in the class `ordinary`, four digits; 1 if nothing is visible. `seen` is the bare text, if there is a column of it."""
+    seen = bare(text) if seen is None else seen
+    odd = F.length(F.regexp_replace(seen, f"[{ordinary}]+", ""))
+    return F.when(seen == "", 1.0).otherwise(F.bround(odd / F.length(seen), 4))
 
 
-def gate(text: Column, ordinary: str, title: str, leader: str = r"\.{4,}") -> Column:
+def gate(text: Column, ordinary: str, title: str, leader: str = r"\.{4,}", seen: Column | None = None) -> Column:
     """Why a text can't be indexed, if so: garbled, a contents page (by title, or by dot leaders), too long."""
+    seen = bare(text) if seen is None else seen
     dots = F.length(text) - F.length(F.regexp_replace(text, leader, ""))
     return (
-        F.when(garbled_ratio(text, ordinary) > GARBLED, "GARBLED_TEXT")
-        .when(text.rlike(title) | ((dots >= 60) & (dots >= 0.12 * visible(text))), "CONTENTS_PAGE")
-        .when(visible(text) > MAX_VISIBLE, "OVERSIZED_CHUNK")
+        F.when(garbled_ratio(text, ordinary, seen) > GARBLED, "GARBLED_TEXT")
+        .when(text.rlike(title) | (text.contains("....") & (dots >= 60) & (dots >= 0.12 * F.length(seen))), "CONTENTS_PAGE")
+        .when(F.length(seen) > MAX_VISIBLE, "OVERSIZED_CHUNK")
     )
 
 

@@ -49,8 +49,9 @@ def cleaned(nodes: DataFrame, key: str, rules: Rules) -> DataFrame:
     rows = nodes.withColumn("content", text).withColumn("heading", F.col("content").rlike(rules.heading)).withColumn("ordinal", _ordinal(F.col("content"), rules))
     rows = contents_run(rows, [key], "order_no")
     early = F.when(F.col("heading"), "CONTENTS_HEADING").when(F.col("contents"), "CONTENTS_ENTRY").when(F.col("marginal"), "LAYOUT_ARTIFACT").when((F.upper("kind") == "TABLE") & F.col("template"), "EMPTY_TABLE_TEMPLATE")
-    early = early.when((F.col("content") == "") | F.col("content").rlike(rules.artifact), "PAGE_ARTIFACT").when(T.gate(F.col("content"), rules.ordinary, rules.title).isNotNull(), T.gate(F.col("content"), rules.ordinary, rules.title))
-    rows = rows.withColumn("early", early).withColumn("fragment", T.duplicate_key(F.col("content"))).withColumn("place", F.coalesce("section", F.lit("")))
+    early = early.when((F.col("content") == "") | F.col("content").rlike(rules.artifact), "PAGE_ARTIFACT")
+    rows = rows.withColumn("bare", T.bare(F.col("content"))).withColumn("early", F.coalesce(early, T.gate(F.col("content"), rules.ordinary, rules.title, seen=F.col("bare"))))
+    rows = rows.drop("bare").withColumn("fragment", T.duplicate_key(F.col("content"))).withColumn("place", F.coalesce("section", F.lit("")))
     same = Window.partitionBy(key, "place", "fragment")
     often = (F.length("fragment").between(1, rules.short_key)) & (F.count("*").over(same) >= rules.repeated)
     reached = F.sum(F.col("early").isNull().cast("int")).over(same.orderBy("order_no").rowsBetween(Window.unboundedPreceding, 0))

@@ -28,7 +28,7 @@ def txt_normalize_kb(t: Tables):
     return t.documents.select("doc_id", T.normalized(F.col("text"), drop_format=False).alias("normalized"))
 
 
-@query(f"SELECT doc_id, pos, lower(regexp_replace(line, '#+|\\s+', '', 'g')) AS key FROM ({LINES})")
+@query(f"SELECT doc_id, pos, replace(replace(lower(regexp_replace(line, '#+|\\s+', '', 'g')), 'ß', 'ss'), 'ς', 'σ') AS key FROM ({LINES})")
 def txt_dup_key(t: Tables):
     return _lines(t).select("doc_id", "pos", T.duplicate_key(F.col("line")).alias("key"))
 
@@ -36,16 +36,16 @@ def txt_dup_key(t: Tables):
 @query(rf"""SELECT doc_id, pos, CAST(length(v) AS BIGINT) AS visible, CASE WHEN length(v) = 0 THEN 1.0::DOUBLE
 ELSE round_even(length(regexp_replace(v, '[\p{{L}}\p{{N}}.,;:!?''"()\[\]/&%$#*@+_-]', '', 'g'))::DOUBLE / length(v), 4) END AS ratio FROM (SELECT *, regexp_replace(line, '\s+', '', 'g') AS v FROM ({LINES}))""")
 def txt_quality(t: Tables):
-    line = F.col("line")
-    return _lines(t).select("doc_id", "pos", T.visible(line).cast("long").alias("visible"), T.garbled_ratio(line, ORDINARY).alias("ratio"))
+    rows, bare = _lines(t).withColumn("bare", T.bare(F.col("line"))), F.col("bare")
+    return rows.select("doc_id", "pos", F.length(bare).cast("long").alias("visible"), T.garbled_ratio(F.col("line"), ORDINARY, bare).alias("ratio"))
 
 
 @query(rf"""WITH q AS (SELECT doc_id, pos, line, regexp_replace(line, '\s+', '', 'g') AS v, length(line) - length(regexp_replace(line, '\.{{4,}}', '', 'g')) AS dots FROM ({LINES}))
 SELECT coalesce(CASE WHEN length(v) = 0 OR round_even(length(regexp_replace(v, '[\p{{L}}\p{{N}}.,;:!?''"()\[\]/&%$#*@+_-]', '', 'g'))::DOUBLE / length(v), 4) > 0.35 THEN 'GARBLED_TEXT'
 WHEN regexp_matches(line, '^\s*(?i:contents)\s*$') OR (dots >= 60 AND dots >= 0.12 * length(v)) THEN 'CONTENTS_PAGE' WHEN length(v) > 1200 THEN 'OVERSIZED_CHUNK' END, 'KEPT') AS reason, count(*) AS n FROM q GROUP BY 1""")
 def txt_gate(t: Tables):
-    reason = F.coalesce(T.gate(F.col("line"), ORDINARY, r"^\s*(?i:contents)\s*$"), F.lit("KEPT"))
-    return _lines(t).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    reason = F.coalesce(T.gate(F.col("line"), ORDINARY, r"^\s*(?i:contents)\s*$", seen=F.col("bare")), F.lit("KEPT"))
+    return _lines(t).withColumn("bare", T.bare(F.col("line"))).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(rf"""WITH q AS (SELECT regexp_replace(line, '\s+', '', 'g') AS v FROM ({LINES}))
@@ -117,14 +117,14 @@ def md_sections(t: Tables):
     return _lines(t).withColumn("section", section).groupBy("doc_id", "section").agg(F.min("pos").alias("first_line"), F.count("*").alias("n_lines"))
 
 
-@query(f"""WITH n AS (SELECT doc_id, pos, lang, lower(regexp_replace(line, '#+|\\s+', '', 'g')) AS key FROM ({LINES})),
+@query(f"""WITH n AS (SELECT doc_id, pos, lang, replace(replace(lower(regexp_replace(line, '#+|\\s+', '', 'g')), 'ß', 'ss'), 'ς', 'σ') AS key FROM ({LINES})),
 c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS n, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS r FROM n)
 SELECT doc_id, pos, n >= 3 AND length(key) <= 120 AND length(key) > 0 AND r > 1 AS duplicate FROM c""")
 def win_dup_fragment(t: Tables):
-    key = T.duplicate_key(F.col("line"))
-    w = Window.partitionBy("doc_id", "key").orderBy("pos")  # one order, so one sort
-    n, r = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.row_number().over(w)
-    return _lines(t).withColumn("key", key).select("doc_id", "pos", ((n >= 3) & (F.length("key") <= 120) & (F.length("key") > 0) & (r > 1)).alias("duplicate"))
+    rows = _lines(t).select("doc_id", "pos", T.duplicate_key(F.col("line")).alias("key"))
+    # counted before anything moves; lines meet only the fragments that repeat
+    often = rows.where(F.length("key").between(1, 120)).groupBy("doc_id", F.md5("key").alias("h")).agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n >= 3")
+    return rows.select("doc_id", "pos", F.md5("key").alias("h")).join(often, ["doc_id", "h"], "left").select("doc_id", "pos", F.coalesce(F.col("pos") > F.col("first"), F.lit(False)).alias("duplicate"))
 
 
 @query(f"""WITH n AS (SELECT doc_id, source, pos, CAST(contains(lower(line), 'the') AS INT) + 3 * CAST(regexp_matches(line, 'License|must') AS INT) AS score FROM ({LINES}))

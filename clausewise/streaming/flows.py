@@ -103,8 +103,8 @@ def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> Dat
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a folder as a stream of its files; the table is a file or a folder of part files, in any store that Spark reads."""
     path = f"{folder}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory():
+    there = spark.read.parquet(path)
+    schema = there.schema
+    if any(f.rsplit("/", 1)[-1] != f"{name}.parquet" for f in there.inputFiles()):  # part files of a folder
         return spark.readStream.schema(schema).parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
