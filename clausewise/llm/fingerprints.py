@@ -9,7 +9,8 @@ of one text by the other's dictionary would save.
 
 The edited text of the contract needs the next document by id. Documents are dealt into ranges
 of ids, each range's first document also goes to the range before it, and each range is walked
-in order: one shuffle of the texts, no task with more than a range.
+in order: one shuffle of the texts, no task with more than a range. Many rows with one id, or none, are one
+range, which one task walks as a stream.
 
 Edge cases: null text counts as empty, an empty text has an empty fingerprint; two empty ones
 are alike by 1, an empty and another by 0. Rows with equal ids are ordered by text; null ids
@@ -154,7 +155,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     sent = F.when(F.col("host") >= 0, F.array(own, F.struct(F.col("host").alias("part"), F.lit(True).alias("guest")))).otherwise(F.array(own))
     dealt = rows.select("doc_id", "text", F.explode(sent).alias("s")).select("s.part", "s.guest", "doc_id", "text")
     alone = len(least) == 1
-    ordered = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "guest", F.asc_nulls_first("doc_id"), "text")
+    ordered = dealt.repartitionById(pieces, F.col("part")).sortWithinPartitions("part", "guest", F.asc_nulls_first("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
