@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Words of questions that refer to what was said, and what stands before such a question.
+FOLLOW_UPS, FOLLOW_UP_MARK = ("它", "这个", "那个", "上述", "前面", "刚才", "那", "呢", "还有"), "追问："
+
+
 def intent(text: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
     """Name of the first rule whose pattern the text has."""
     (pattern, name), *rest = rules
@@ -17,13 +22,15 @@ def intent(text: Column, rules: list[tuple[str, str]], otherwise: str) -> Column
     return out.otherwise(otherwise)
 
 
-def with_previous(turns: DataFrame, conv: str, turn: str, role: str, text: str, short: int, cap: int) -> DataFrame:
-    """User turns with `query`: a short one follows the user's turn before it."""
+def with_previous(turns: DataFrame, conv: str, turn: str, role: str, text: str, short: int, cap: int, words: Sequence[str] = FOLLOW_UPS) -> DataFrame:
+    """User turns with `query`: a short one that has one of `words` follows the user's last turn that isn't empty; all without blanks at their ends."""
     w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.when(F.col(role) == "user", F.col(text)), ignorenulls=True).over(w)
+    own = F.trim(F.coalesce(text, F.lit("")))
+    before = F.last(F.when((F.col(role) == "user") & (own != ""), own), ignorenulls=True).over(w)
     rows = turns.withColumn("_before", before).where(F.col(role) == "user")
-    joined = F.substring(F.concat(F.col("_before"), F.lit("\n"), F.col(text)), 1, cap)
-    return rows.withColumn("query", F.when((F.length(text) <= short) & F.col("_before").isNotNull(), joined).otherwise(F.col(text))).drop("_before")
+    joined = F.substring(F.concat(F.col("_before"), F.lit("\n" + FOLLOW_UP_MARK), own), 1, cap)
+    refers = F.exists(F.array(*map(F.lit, words)), lambda x: own.contains(x))
+    return rows.withColumn("query", F.when((F.length(own) <= short) & refers & F.col("_before").isNotNull(), joined).otherwise(own)).drop("_before")
 
 
 def replace_codes(text: Column, labels: dict[str, str]) -> Column:
@@ -56,3 +63,11 @@ def plan(text: Column, casual: list[str], fit: list[str], report: list[str], leg
         .when(has(report), F.when(mixed, "HYBRID").otherwise("REPORT"))
         .when(has(legal), F.when(has(project), "HYBRID").otherwise("LEGAL")).otherwise("PROJECT")
     )
+
+
+def global_plan(mode: Column, text: Column, history: Column, project: Sequence[str]) -> Column:
+    """The mode of a conversation without a project: law where the plan asks for it or something was said before, unless the question names project matters; questions of fit stay."""
+    low = F.lower(F.trim(text))
+    named = F.exists(F.array(*map(F.lit, project)), lambda w: low.contains(w))
+    asks = mode.isin("LEGAL", "HYBRID")
+    return F.when(mode == "ENTERPRISE_FIT", mode).when((asks | history) & ~named, "LEGAL").otherwise(mode)

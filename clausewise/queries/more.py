@@ -23,11 +23,23 @@ def plan_retrieval(t: Tables):
     return t.conversations.where("role = 'user'").select("conv_id", "turn", Q.plan(F.col("text"), ["the", "of"], ["eaux"], ["tion"], ["und"], ["ing"]).alias("mode"))
 
 
-@query("""WITH q AS (SELECT conv_id, turn, trim(text) AS t FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, len(list_distinct(list_filter(list_transform([t] || regexp_extract_all(t, '"([^"]+)"', 1) || regexp_split_to_array(t, '[、，,；;。.！!？?]+') || [trim(replace(t, 'what', ''))], lambda x: trim(x)), lambda x: length(x) >= 2))) AS n_all FROM q""")
+@query("""WITH q AS (SELECT conv_id, turn, trim(text) AS t FROM conversations WHERE role = 'user'),
+v AS (SELECT conv_id, turn, list_filter(list_transform([t] || regexp_extract_all(t, '"([^"]+)"', 1) || regexp_split_to_array(t, '[、，,；;。.！!？?]+') || [trim(replace(t, 'the', ''))], lambda x: trim(x)), lambda x: length(x) >= 2) AS v FROM q),
+d AS (SELECT conv_id, turn, list_filter(v, lambda x, i: list_position(v, x) = i) AS v FROM v)
+SELECT conv_id, turn, len(v) AS n_all, md5(array_to_string(v[1:5], '|')) AS first FROM d""")
 def query_variants(t: Tables):
-    every = Q.variants(F.col("text"), ["what"], most=1 << 20)
-    return t.conversations.where("role = 'user'").select("conv_id", "turn", F.size(every).cast("long").alias("n_all"))
+    every, first = Q.variants(F.col("text"), ["the"], most=1 << 20), Q.variants(F.col("text"), ["the"])
+    return t.conversations.where("role = 'user'").select("conv_id", "turn", F.size(every).cast("long").alias("n_all"), F.md5(F.array_join(first, "|")).alias("first"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, lower(trim(text)) AS t FROM conversations WHERE role = 'user'),
+m AS (SELECT *, CASE WHEN regexp_replace(t, '[\\s，。！？!?、,.]+', '', 'g') IN ('the', 'of') THEN 'CASUAL' WHEN contains(t, 'eaux') THEN 'ENTERPRISE_FIT'
+WHEN contains(t, 'tion') THEN CASE WHEN contains(t, 'und') OR contains(t, 'ing') THEN 'HYBRID' ELSE 'REPORT' END
+WHEN contains(t, 'und') THEN CASE WHEN contains(t, 'ing') THEN 'HYBRID' ELSE 'LEGAL' END ELSE 'PROJECT' END AS mode FROM p)
+SELECT conv_id, turn, CASE WHEN mode <> 'ENTERPRISE_FIT' AND (mode IN ('LEGAL', 'HYBRID') OR turn > 1) AND NOT contains(t, 'here') THEN 'LEGAL' ELSE mode END AS mode FROM m""")
+def plan_global(t: Tables):
+    mode = Q.plan(F.col("text"), ["the", "of"], ["eaux"], ["tion"], ["und"], ["ing"])
+    return t.conversations.where("role = 'user'").select("conv_id", "turn", Q.global_plan(mode, F.col("text"), F.col("turn") > 1, ["here"]).alias("mode"))
 
 
 @query("""SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'les') THEN 0 ELSE 1 END, turn) AS r,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clausewise.functions import text as T
 from clausewise.functions import values as V
+from clausewise.functions.clauses import starts_clause
 from clausewise.queries.registry import Tables, query
 
 ORDINARY = r"\p{L}\p{N}.,;:!?'\"()\[\]/&%$#*@+_-"
@@ -81,9 +82,14 @@ def hash_text(t: Tables):
     return t.documents.select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query(rf"SELECT doc_id, pos, regexp_matches(line, '^\s*([0-9]+(\.[0-9]+)+|\([0-9]+\)|[0-9]+[.)])') AS starts FROM ({LINES})")
+# Numbers of clauses before lines, by their place.
+_MARKS = ["3.1 ", "第三条 ", "（二）", "2.1.4、", "①", "12 ", "(15)", ""]
+
+
+@query(rf"""SELECT doc_id, pos, regexp_matches({_MARKS}[pos % {len(_MARKS)} + 1] || line, '^\s*(第[一二三四五六七八九十百千\d]+[编章节条]|\d{{1,3}}(\.\d{{1,3}}){{1,4}}(\D|$)|[（(]([一二三四五六七八九十]|\d{{1,2}})[）)]|[①②③④⑤⑥⑦⑧⑨⑩])') AS starts FROM ({LINES})""")
 def clause_start(t: Tables):
-    return _lines(t).select("doc_id", "pos", F.col("line").rlike(r"^\s*([0-9]+(\.[0-9]+)+|\([0-9]+\)|[0-9]+[.)])").alias("starts"))
+    marked = F.concat(F.element_at(F.array(*map(F.lit, _MARKS)), (F.col("pos") % len(_MARKS) + 1).cast("int")), F.col("line"))
+    return _lines(t).select("doc_id", "pos", starts_clause(marked).alias("starts"))
 
 
 @query("""SELECT doc_id, i // 350 AS place, substring(text, CAST(i + 1 AS INT), 400) AS piece FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 350)) AS i FROM documents)""")
@@ -110,10 +116,10 @@ def path_strip(t: Tables):
     return t.documents.select("doc_id", T.without_component(F.concat_ws(" / ", "source", F.lit("Contents"), "lang"), "contents").alias("path"))
 
 
-@query(f"""SELECT doc_id, section, min(pos) AS first_line, count(*) AS n_lines FROM (SELECT doc_id, pos, sum(CASE WHEN regexp_matches(line, '^[A-Z][a-z]+ of') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM ({LINES})) GROUP BY ALL""")
+@query(f"""SELECT doc_id, section, min(pos) AS first_line, count(*) AS n_lines FROM (SELECT doc_id, pos, sum(CASE WHEN regexp_replace(line, '^An', '## An') LIKE '## %' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM ({LINES})) GROUP BY ALL""")
 def md_sections(t: Tables):
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.sum(F.col("line").rlike("^[A-Z][a-z]+ of").cast("int")).over(w)
+    section = F.sum(F.regexp_replace("line", "^An", "## An").startswith("## ").cast("int")).over(w)
     return _lines(t).withColumn("section", section).groupBy("doc_id", "section").agg(F.min("pos").alias("first_line"), F.count("*").alias("n_lines"))
 
 
@@ -176,12 +182,12 @@ def query_intent(t: Tables):
     return t.conversations.where("role = 'user'").select("conv_id", "turn", intent(F.lower("text"), [("what|why|how", "QUESTION"), ("please|show|list", "REQUEST"), ("[0-9]", "FACT")], "CASUAL").alias("intent"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN length(text) <= 40 AND prev IS NOT NULL THEN substring(prev || chr(10) || text, 1, 2000) ELSE text END AS query FROM (
-SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM conversations) WHERE role = 'user'""")
+@query("""SELECT conv_id, turn, CASE WHEN length(t) <= 90 AND (contains(t, 'the') OR contains(t, 'que')) AND prev IS NOT NULL THEN substring(prev || chr(10) || '追问：' || t, 1, 2000) ELSE t END AS query FROM (
+SELECT *, trim(text) AS t, last_value(CASE WHEN role = 'user' AND trim(text) <> '' THEN trim(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM conversations) WHERE role = 'user'""")
 def followup_query(t: Tables):
     from clausewise.functions.queries import with_previous
 
-    return with_previous(t.conversations, "conv_id", "turn", "role", "text", 40, 2000).select("conv_id", "turn", "query")
+    return with_previous(t.conversations, "conv_id", "turn", "role", "text", 90, 2000, ["the", "que"]).select("conv_id", "turn", "query")
 
 
 @query(r"""SELECT doc_id, array_to_string(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: length(x) >= 2)), ' ') IS NOT NULL AS ok, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: length(x) >= 2))) AS n, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') AS words FROM documents""")
