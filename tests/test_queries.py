@@ -45,3 +45,16 @@ def test_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_doc_clean_odd_lines(spark, tmp_path):
+    """Lines of 7 characters that longer foldings would keep, characters with a lower case of their own, no source or id, ids that come twice."""
+    again = "Die gleiche Zeile\n\n# die GLEICHE zeile"
+    texts = ["Geschß.\nErß das.", "ΑΒΓΔΕΖΗΣ\nαβγδεζης\nαβγδεζησ", "İabcdef\nİABCDEFG", "a\x0bbcdefg", f"{again}\nDie gleiche Zeile", None, "", again]
+    given = [(i, "s" if i % 3 else None, "de", t) for i, t in enumerate(texts * 3)] + [(None, "s", "de", again), (None, None, "de", again), (7, None, "de", again), (7, "s", "de", again)]
+    spark.createDataFrame(given, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = QUERIES["doc_clean"](spark, str(tmp_path)).toPandas(), c.execute(SQL["doc_clean"]).df()
+    columns = ["doc_id", "n_lines", "kept"]
+    assert rows(got, columns) == rows(want, columns)
