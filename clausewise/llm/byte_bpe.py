@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -44,6 +44,12 @@ def library(path: str, pattern: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (doc_id, ids) with the ids of every text under the ranks at `path`; `docs` as from files (see wordblocks)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    return _encoded(docs, path, pattern, text, block_bytes, lambda ids, lists: pa.table([ids, lists], schema=schema), "doc_id long, ids array<int>", schema)
+
+
+def _encoded(docs: DataFrame, path: str, pattern: str, text: str, block_bytes: int, rows_of: Callable[[pa.Array, pa.Array], pa.Table], columns: str, empty: pa.Schema) -> DataFrame:
+    """What `rows_of` makes of the texts' doc_id and lists of ids."""
     dictionaries, texts = blocks(docs.select("doc_id", F.col(text).alias("text")), lambda texts: pretokens(texts.to_pylist()), keep=False, block_bytes=block_bytes)
 
     def answer(bucket: Bucket):
@@ -76,12 +82,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_b
             total = np.concatenate(([0], np.cumsum(n)))
             ends = np.concatenate(([0], np.cumsum(counts)))
             lists = pa.ListArray.from_arrays(pa.array(total[ends].astype(np.int32)), pa.array(out))
-            return pa.table([pa.array(ids, pa.int64()), lists], names=["doc_id", "ids"])
+            return rows_of(pa.array(ids, pa.int64()), lists)
 
         return make
 
-    empty = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return assemble(texts, lookup(dictionaries, answer, 2), each, "doc_id long, ids array<int>", empty)
+    return assemble(texts, lookup(dictionaries, answer, 2), each, columns, empty)
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -145,12 +150,7 @@ def round_trip(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = token_bytes(path)
         for batch in batches:
-            rows = []
-            for x in _each_list(batch.column(ids)):
-                data = None if x is None else t.decode(x)
-                rows.append((None, None, None) if x is None else (len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), None if data is None else hashlib.sha256(data).hexdigest()))
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=[*(f.name for f in keep), *_DIGEST])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *_digests(batch.column(ids), t)], names=[*(f.name for f in keep), *_DIGEST])
         release()
 
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string"]))
@@ -159,6 +159,21 @@ def round_trip(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 _DIGEST = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str, **sizes: int) -> DataFrame:
-    """Contract of op3."""
-    return round_trip(encode(docs, path, pattern, **sizes), path).select("doc_id", *_DIGEST)
+def _digests(lists: pa.Array, t: TokenBytes) -> list[pa.Array]:
+    """The columns of `_DIGEST` of lists of ids."""
+    rows = []
+    for x in _each_list(lists):
+        data = None if x is None else t.decode(x)
+        rows.append((None, None, None) if x is None else (len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), None if data is None else hashlib.sha256(data).hexdigest()))
+    cols = list(zip(*rows)) or [(), (), ()]
+    return [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Contract of op3: `round_trip` of `encode`, in one function.
+
+    One after the other, each task would hold two Python workers, which stay with the executor for all later stages.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    digested = lambda ids, lists: pa.table([ids, *_digests(lists, token_bytes(path))], schema=schema)
+    return _encoded(docs, path, pattern, text, block_bytes, digested, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", schema)

@@ -45,6 +45,15 @@ def test_empty_and_unknown(spark):
     assert {r.doc_id: r.decoded for r in byte_bpe.decode(d, RANKS).collect()} == {1: None, 2: b"", 3: None, 4: byte_bpe.token_bytes(RANKS).decode(np.array([64]))}
 
 
+def test_one_python_worker_a_task(spark, sf, capsys):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    both = byte_bpe.encode_and_decode(d, RANKS, public_tokenizers.PATTERN)
+    both.explain()
+    last = capsys.readouterr().out.split("FlatMapCoGroupsInArrow")
+    assert len(last) == 2 and "InArrow" not in last[0]
+    assert sorted(both.collect(), key=str) == sorted(byte_bpe.round_trip(byte_bpe.encode(d, RANKS, public_tokenizers.PATTERN), RANKS).collect(), key=str)
+
+
 def test_packing():
     for dtype in (np.int32, np.uint8, np.float64):
         x = np.arange(100).astype(dtype)
