@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import id_crc, release, written
+from clausewise.llm.common import id_crc, passing, release, written
 from clausewise.llm.wordblocks import Bucket, blocks, lookup, n_buckets, pack, unpack
 
 #: Pseudo-counts that go to the suffix.
@@ -459,7 +459,7 @@ class Model:
 
     def __init__(self, n_tokens: int, n_texts: int, below: float, buckets: int, split: int, bits: int):
         """The root's probabilities are (count + 1) / 2 ** below; the words' numbers have at most so many bits."""
-        self.n_texts, self.below, self.buckets, self.split, self.bits, self.hot = n_texts, below, buckets, split, bits, {}
+        self.n_tokens, self.n_texts, self.below, self.buckets, self.split, self.bits, self.hot = n_tokens, n_texts, below, buckets, split, bits, {}
         # no context can be longer: a level of the tree takes `below` bits of a token's probability at most, and all tokens together must reach the price
         self.reach = next(d for d in range(1, 1000) if price(d) > (d + 1) * below * n_tokens)
 
@@ -520,48 +520,57 @@ def _from_rest(model: Model, level: int):
 
 def score_all(docs: DataFrame, trains, split: int = SPLIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Scores every text of `docs` (doc_id, text) by a tree of the rows for which `trains` holds; adds `train_tokens`."""
-    spark = docs.sparkSession
-    dictionaries, texts = blocks(docs, words, trains, block_bytes=block_bytes)
+    # what the first levels read is dealt by block once, so that only questions and answers move, and goes after them
+    with passing(docs.sparkSession) as write:
+        step, answered, asked, model = _first_levels(docs, trains, split, block_bytes, write)
+    done, level = step.where("n_tokens is not null").select(*_DONE), AGAIN + 1
+    while (rest := step.where("state is not null").select("block", "ids", "state")).limit(1).count():
+        found = answered(step, level, written)
+        level += 1
+        step = written(asked(rest, found, _from_rest(model, level)), "rest")
+        done = done.unionByName(step.where("n_tokens is not null").select(*_DONE))
+    return done.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
+
+
+def _first_levels(docs: DataFrame, trains, split: int, block_bytes: int, write) -> tuple:
+    """What is left after `AGAIN` levels, as `_from_texts` gives it, the functions that answer and ask, and the model."""
     n_texts = docs.where(trains).count()
-    stride = 1 + (dictionaries.agg(F.max("bucket")).first()[0] or 0)
+    dealt = {"by": "block", "buckets": n_buckets(docs, block_bytes)}
 
     def answer(bucket: Bucket):
         sums = pack(np.array([bucket.counts.sum(), (bucket.counts > 0).sum(), len(bucket.counts)], np.int64))
         first = [sums]
         return lambda places: [pack_counts(bucket.counts[places]), pack_counts(1 + places * stride + bucket.number), first.pop() if first else None]
 
-    answers = written(lookup(dictionaries, answer, 3), "answers")
-    sums = [unpack(r.v2, np.int64) for r in answers.where("v2 is not null").select("v2").collect()]  # a row a bucket
+    with passing(docs.sparkSession) as write_first:
+        dictionaries, texts = blocks(docs, words, trains, block_bytes=block_bytes, write=write_first)
+        stride = 1 + (dictionaries.agg(F.max("bucket")).first()[0] or 0)
+        with passing(docs.sparkSession) as write_answers:
+            answers = write_answers(lookup(dictionaries, answer, 3), "answers")
+            sums = [unpack(r.v2, np.int64) for r in answers.where("v2 is not null").select("v2").collect()]  # a row a bucket
+            found = write(answers.select("block", F.lit(0).alias("level"), F.lit(0).alias("bucket"), F.col("ranks").alias("a"), F.col("v0").alias("b"), F.col("v1").alias("c")), "found", **dealt)
+        texts = write(texts.select("block", "ids", "sizes", "seq", "counted"), "texts", **dealt)
     n, v = (int(sum(s[i] for s in sums)) for i in (0, 1))
     n, v = n + n_texts, v + (n_texts > 0)
     most = max((int(s[2]) for s in sums), default=0) * stride + 1
     model = Model(n, n_texts, math.log2(n + v + 1), n_buckets(docs, BUCKET_BYTES), split, most.bit_length())
-    texts = texts.select("block", "ids", "sizes", "seq", "counted")
-    found = answers.select("block", F.lit(0).alias("level"), F.lit(0).alias("bucket"), F.col("ranks").alias("a"), F.col("v0").alias("b"), F.col("v1").alias("c"))
 
-    def answered(questions: DataFrame, level: int) -> DataFrame:
+    def answered(questions: DataFrame, level: int, write, **dealt) -> DataFrame:
         rows = questions.select("block", "bucket", "a", "b", "c", "d", "e").where("bucket is not null").groupBy("bucket").applyInArrow(judged(level), _ANSWERS)
-        rows = written(rows, f"level-{level}")
-        hot = rows.where("block is null").select("a", "b").collect()  # at most tokens / SPLIT contexts
+        rows = write(rows.select("block", F.lit(level).alias("level"), "bucket", "a", "b", "c"), "found", **dealt)
+        hot = rows.where("block is null").where(F.col("level") == level).select("a", "b").collect()  # at most tokens / SPLIT contexts
         if hot:
             keys = np.concatenate([unpack(r.a, np.uint64) for r in hot]).tolist()
             values = np.concatenate([unpack(r.b, np.float64).reshape(3, -1) for r in hot], 1).T.tolist()
             model.hot[level] = dict(zip(keys, map(tuple, values)))
-        return rows.where("block is not null").select("block", F.lit(level).alias("level"), "bucket", "a", "b", "c")
+        return rows.where("block is not null")
 
     def asked(side: DataFrame, answers: DataFrame, run) -> DataFrame:
         return side.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _STEPS)
 
     for level in range(1, AGAIN + 1):
-        found = found.unionByName(answered(asked(texts, found, _from_texts(model, level)), level))
-    step = written(asked(texts, found, _from_texts(model, AGAIN + 1)), "rest")
-    done, level = step.where("n_tokens is not null").select(*_DONE), AGAIN + 1
-    while (rest := step.where("state is not null").select("block", "ids", "state")).limit(1).count():
-        found = answered(step, level)
-        level += 1
-        step = written(asked(rest, found, _from_rest(model, level)), "rest")
-        done = done.unionByName(step.where("n_tokens is not null").select(*_DONE))
-    return done.withColumn("train_tokens", F.lit(n).cast("long"))
+        found = answered(asked(texts, found, _from_texts(model, level)), level, write, **dealt)
+    return written(asked(texts, found, _from_texts(model, AGAIN + 1)), "rest"), answered, asked, model
 
 
 def scored(docs: DataFrame, **sizes: int) -> DataFrame:

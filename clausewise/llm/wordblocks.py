@@ -77,11 +77,11 @@ def n_buckets(docs: DataFrame, text_bytes: int) -> int:
     return max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // text_bytes))
 
 
-def blocks(docs: DataFrame, split: Split, counted: Column | None = None, keep: bool = True, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+def blocks(docs: DataFrame, split: Split, counted: Column | None = None, keep: bool = True, block_bytes: int = BLOCK_BYTES, write: Callable[[DataFrame, str], DataFrame] = written) -> tuple[DataFrame, DataFrame]:
     """The blocks of `docs` (doc_id, text): dictionary rows by bucket, and rows of documents.
 
     `counts` has how often a word occurs in rows for which `counted` holds (all, if it is left out).
-    With `keep` both are one written table, made once.
+    With `keep` both are one table, made once by `write`.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -89,7 +89,7 @@ def blocks(docs: DataFrame, split: Split, counted: Column | None = None, keep: b
     buckets = n_buckets(docs, BUCKET_BYTES)
     make = lambda dictionaries, texts: rows.mapInArrow(_maker(split, buckets, block_bytes, dictionaries, texts), BLOCKS)
     if keep:
-        table = written(make(True, True), "blocks")
+        table = write(make(True, True), "blocks")
         return table.where(F.col("bucket").isNotNull()), table.where(F.col("bucket").isNull())
     return make(True, False), make(False, True)
 

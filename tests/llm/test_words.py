@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
-from clausewise.llm import byte_bpe, suffix_tree, wordblocks
+from clausewise.llm import byte_bpe, common, suffix_tree, wordblocks
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ROWS = [(1, "it's we'll  'tis\n\n x"), (2, None), (3, ""), (None, "null id"), (5, "日本 語 12½ 👩‍👩‍👧"), (5, "日本 語 12½ 👩‍👩‍👧"), (7, "long" * 9000 + " word " * 9000), (9, " \n\t "), (10, "The the THE")]
@@ -61,6 +62,30 @@ def test_packing():
     assert wordblocks.unpack(wordblocks.pack(np.zeros(0, np.int32)), np.int32).size == 0
 
 
+def test_passing_tables(spark, capsys):
+    folder = common.shared_dir(spark)
+    before = set(os.listdir(folder)), spark.catalog.listDatabases()
+    with common.passing(spark) as write:
+        side = write(spark.range(9).selectExpr("id as block", "id as x"), "side", by="block", buckets=3)
+        write(spark.range(9).selectExpr("id as block", "'it''s' as x"), "found", by="block", buckets=3)
+        found = write(spark.range(3).selectExpr("cast(null as long) as block", "cast(null as string) as x"), "found", by="block", buckets=3)
+        assert sorted(found.collect(), key=str) == sorted([(i, "it's") for i in range(9)] + [(None, None)] * 3, key=str)
+        both = side.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: pa.table({"n": [a.num_rows * 10 + b.num_rows]}), "n long")
+        assert sorted(r.n for r in both.collect()) == [3, *[11] * 9]
+        both.explain()
+        assert "Exchange" not in capsys.readouterr().out
+    assert (set(os.listdir(folder)), spark.catalog.listDatabases()) == before
+
+
+def test_what_the_tree_leaves_on_disk(spark, sf):
+    """Texts, dictionaries and the first levels' answers go once the first levels are done."""
+    folder = common.shared_dir(spark)
+    before = set(os.listdir(folder))
+    out = suffix_tree.scored(spark.read.parquet(f"{sf}/documents.parquet"))
+    left = {x.split("-")[1] for x in set(os.listdir(folder)) - before}
+    assert left <= {"rest", "found"} and out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 def tokens_of(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")), "\n"]
 
