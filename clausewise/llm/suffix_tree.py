@@ -29,7 +29,7 @@ contexts can still reach.
 
 Edge cases: null text counts as empty and has one token, its end. A null doc_id counts as the
 empty id and trains. Without training rows every token has probability 1 and all counts are 0. Contexts are told
-apart by 64-bit hashes of their tokens; those of one or two tokens by the tokens' numbers, if these fit 63 bits.
+apart by 64-bit hashes of their tokens; those of up to `SPELT` tokens by the tokens' numbers, if these fit 63 bits.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +51,12 @@ from clausewise.llm.wordblocks import Bucket, blocks, lookup, n_buckets, pack, u
 MU = 8.0
 #: Occurrences from which a context is dealt over several buckets, and levels that are made again from the texts.
 SPLIT, AGAIN = 1 << 21, 3
+#: Longest contexts that are sent as their tokens, in order, which takes less than their hashes.
+SPELT = 3
 #: Text bytes of a block, and those whose contexts one bucket sums.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+#: Numbers of a question from which they are packed by their lengths in bits.
+CODED = 512
 _UNIT = 64  # rounding of log2 probabilities in the test
 CAP = 4  # steps of a bit in caps on log2 probabilities; 255 caps nothing
 _UNKNOWN = np.int64(1 << 62)
@@ -122,8 +127,104 @@ def pack_counts(x: np.ndarray) -> bytes:
     return bytes([x.itemsize]) + pack(x)
 
 
+def pack_bits(x: np.ndarray) -> bytes:
+    """Numbers of very different sizes: their lengths in bits, compressed, and what follows each one's leading bit. `unpack_counts` reads it."""
+    if len(x) < CODED:
+        return pack_counts(x)
+    x = x.astype(np.uint64)
+    every = int(np.bitwise_or.reduce(x))
+    low = max((every & -every).bit_length() - 1, 0)  # zeros at the end of all
+    x >>= np.uint64(low)
+    length = np.frexp(x.astype(np.float64))[1].astype(np.int64)
+    length -= (length > 0) & (x >> np.maximum(length - 1, 0).astype(np.uint64) == 0)  # rounded up
+    width = np.maximum(length - 1, 0)
+    x ^= (length > 0).astype(np.uint64) << width.astype(np.uint64)
+    ends = np.cumsum(width)
+    word, shift = (ends - width) >> 6, (ends - width) & 63
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+    out[word[first]] = np.bitwise_or.reduceat(x << shift.astype(np.uint64), first)
+    over = np.flatnonzero(shift + width > 64)
+    out[word[over] + 1] |= x[over] >> (64 - shift[over]).astype(np.uint64)
+    lengths = zstandard.ZstdCompressor(level=1).compress(length.astype(np.uint8).tobytes())
+    return bytes([0, low]) + len(lengths).to_bytes(4, "little") + lengths + out.astype("<u8").tobytes()[: (int(ends[-1]) + 7) >> 3]
+
+
 def unpack_counts(data: bytes) -> np.ndarray:
-    return unpack(data[1:], np.uint32 if data[0] == 4 else np.uint64).astype(np.int64)
+    if data[0]:
+        return unpack(data[1:], np.uint32 if data[0] == 4 else np.uint64).astype(np.int64)
+    at = 6 + int.from_bytes(data[2:6], "little")
+    length = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[6:at]), np.uint8).astype(np.int64)
+    width = np.maximum(length - 1, 0)
+    start = np.cumsum(width) - width
+    words = np.frombuffer(data[at:] + bytes((at - len(data)) % 8 + 16), "<u8")
+    word, shift, width = start >> 6, (start & 63).astype(np.uint64), width.astype(np.uint64)
+    x = words[word] >> shift | words[word + 1] << np.uint64(1) << (np.uint64(63) - shift)
+    x = x & ((np.uint64(1) << width) - np.uint64(1)) | (length > 0).astype(np.uint64) << width
+    return (x << np.uint64(data[1])).astype(np.int64)
+
+
+def ascending(x: np.ndarray) -> np.ndarray:
+    """Places of numbers from the least on, equal ones in their order."""
+    place = max(len(x) - 1, 0).bit_length()
+    if _bits(x) + place > 63:
+        return np.argsort(x, kind="stable")
+    z = x << place | np.arange(len(x))
+    z.sort()
+    return z & ((1 << place) - 1)
+
+
+def pack_spelt(columns: list[np.ndarray], dealt: np.ndarray) -> bytes:
+    """Contexts in order of their tokens (nearest first, each a column), and the hashes of those that are dealt by next token (0: others)."""
+    out, starts = [], np.zeros(1, np.int64)
+    for x in columns:
+        out.append(pack_bits(differences(x, starts)))
+        starts = np.union1d(starts, 1 + np.flatnonzero(np.diff(x)))
+    out.append(pack(dealt) if dealt.any() else b"")
+    return b"".join(len(x).to_bytes(4, "little") + x for x in out)
+
+
+def unpack_spelt(data: bytes, level: int) -> tuple[list[np.ndarray], np.ndarray]:
+    parts, at = [], 0
+    while at < len(data):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "little")
+        parts.append(data[at + 4 : end])
+        at = end
+    columns, starts = [], np.zeros(1, np.int64)
+    for part in parts[:level]:
+        x = unpack_counts(part)
+        columns.append(summed(x, np.diff(np.append(starts, len(x)))))
+        starts = np.union1d(starts, 1 + np.flatnonzero(np.diff(columns[-1])))
+    return columns, unpack(parts[level], np.uint64) if parts[level] else np.zeros(len(columns[0]), np.uint64)
+
+
+def told_apart(columns: list[np.ndarray], dealt: np.ndarray) -> np.ndarray:
+    """Even numbers of contexts by their tokens, hashes if these don't fit 63 bits; odd ones of those that are dealt by next token."""
+    out, bits = np.zeros(len(dealt), np.uint64), [_bits(x) for x in columns]
+    for x, n in zip(columns, bits):
+        out = out << np.uint64(n) | x.astype(np.uint64) if sum(bits) < 64 else mixed(out * _M + mixed((x.astype(np.uint64) + np.uint64(1)) * _M))
+    return np.where(dealt > 0, dealt, out << np.uint64(1) if sum(bits) < 64 else out & ~np.uint64(1))
+
+
+def pack_told(p: np.ndarray, symbols: np.ndarray) -> bytes:
+    """Rounded probabilities (0: not told) of next tokens; many go by token, as that is what they differ by most."""
+    if len(p) < CODED:
+        return pack(p)
+    p = p[ascending(symbols)].astype(np.int64)
+    told, out = np.flatnonzero(p), np.zeros(len(p), np.int64)
+    step = np.diff(p[told], prepend=0)
+    out[told] = 1 + (step << 1 ^ step >> 63)
+    return pack_bits(out)
+
+
+def unpack_told(data: bytes, symbols: np.ndarray) -> np.ndarray:
+    if len(symbols) < CODED:
+        return unpack(data, np.int16)
+    x = unpack_counts(data)
+    told, out = np.flatnonzero(x), np.zeros(len(x), np.int16)
+    step = x[told] - 1
+    out[ascending(symbols)[told]] = np.cumsum(step >> 1 ^ -(step & 1))
+    return out
 
 
 def differences(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -178,7 +279,7 @@ class Texts:
 
     def __init__(self, ids: list, sizes: np.ndarray, trains: np.ndarray, tokens: np.ndarray, symbols: np.ndarray, model: Model, place: np.ndarray | None = None, total: np.ndarray | None = None):
         """`sizes` and `tokens` with the ends; `symbols` has the numbers of the tokens in the corpus. Of tokens that are only a part, `place` has the places in the texts, `total` the texts' lengths."""
-        self.ids, self.sizes, self.trains, self.tokens, self.symbols, self.split, self.reach, self.bits = ids, sizes, trains, tokens.astype(np.int32), symbols, model.split, model.reach, model.bits
+        self.ids, self.sizes, self.trains, self.tokens, self.symbols, self.split, self.reach, self.bits, self.buckets = ids, sizes, trains, tokens.astype(np.int32), symbols, model.split, model.reach, model.bits, model.buckets
         ends = np.cumsum(sizes)
         self.total = sizes if total is None else total
         self.place = (np.arange(len(tokens)) - np.repeat(ends - sizes, sizes)).astype(np.int32) if place is None else place
@@ -246,20 +347,21 @@ class Texts:
         split = np.flatnonzero(self.hot)
         part = self.hash[self.symbol[split]] % self.parts[split].astype(np.uint64)
         self.dealt[split] = mixed(key[split] + part * _M) | np.uint64(1)
-        # in order of their hashes (of its first bits; the rest only has to be the same each time)
+        # by bucket in order of their tokens, or of their hashes (of its first bits; the rest only has to be the same each time)
         place = np.uint64(max(len(key) - 1, 0).bit_length())
-        z = (self.dealt >> place << place) | np.arange(len(key), dtype=np.uint64)
+        z = bucket_of(self.dealt, self.buckets).astype(np.uint64) << place if d <= SPELT else self.dealt >> place << place
+        z |= np.arange(len(key), dtype=np.uint64)
         z.sort()
         self.order = (z & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
         self.sorted = self.dealt[self.order]
         self.starts = np.flatnonzero(np.append(True, self.sorted[1:] != self.sorted[:-1])) if len(key) else np.zeros(0, np.int64)
 
     def questions(self, buckets: int) -> Iterator[tuple]:
-        """(bucket, hashes, number of next tokens of each, next tokens, log2 probabilities, counts), packed, by bucket."""
+        """(bucket, contexts, number of next tokens of each, next tokens, log2 probabilities, counts), packed, by bucket."""
         n = np.bincount(self.gram, self.train[self.at], len(self.first)).astype(np.int64)[self.order]
         p = np.where(self.told, rounded(self.p[self.at[self.first]]), 0).astype(np.int16)[self.order]
         symbol = self.symbols[self.symbol][self.order]
-        symbol = differences(symbol, self.starts)
+        steps = differences(symbol, self.starts)
         keys, sizes = self.sorted[self.starts], np.diff(np.append(self.starts, len(self.order)))
         if not len(keys):
             return
@@ -268,7 +370,12 @@ class Texts:
         ends = np.append(self.starts, len(self.order))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             s = slice(int(ends[a]), int(ends[b]))
-            yield int(bucket[a]), pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack_counts(sizes[a:b]), pack_counts(symbol[s]), pack(p[s]), pack_counts(n[s])
+            if self.level <= SPELT:
+                at = self.order[self.starts[a:b]]
+                spelt = pack_spelt([self.symbols[self.tokens[self.at[self.first[at]] - i]] for i in range(1, self.level + 1)], np.where(self.hot[at], keys[a:b], np.uint64(0)))
+            else:
+                spelt = pack_bits(np.diff(keys[a:b], prepend=np.uint64(0)))
+            yield int(bucket[a]), spelt, pack_counts(sizes[a:b]), pack_bits(steps[s]), pack_told(p[s], symbol[s]), pack_counts(n[s])
 
     def take(self, totals: np.ndarray, caps: np.ndarray, counts: np.ndarray, hot: dict[int, tuple[float, float, float]]) -> None:
         """The answers, in order of the questions: each context's total if it is in the tree, its cap if it stays open, counts."""
@@ -388,18 +495,26 @@ def judged(level: int):
 
     def run(group: pa.Table) -> pa.Table:
         asked = [group.column(c).to_pylist() for c in ("block", "bucket", "a", "b", "c", "d", "e")]
-        keys = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in asked[2]]
         sizes = [unpack_counts(x) for x in asked[3]]
+        if level <= SPELT:
+            spelt = [unpack_spelt(x, level) for x in asked[2]]
+            keys = told_apart([np.concatenate(x) for x in zip(*(columns for columns, _ in spelt))], np.concatenate([dealt for _, dealt in spelt]))
+            keys = np.split(keys, np.cumsum([len(x) for x in sizes])[:-1])
+            del spelt
+        else:
+            keys = [np.cumsum(unpack_counts(x).view(np.uint64), dtype=np.uint64) for x in asked[2]]
         every = distinct(np.concatenate(keys))
         own = [np.searchsorted(every, k) for k in keys]
         context = np.concatenate([np.repeat(o, s) for o, s in zip(own, sizes)])
-        symbols = np.concatenate([summed(unpack_counts(x), s) for x, s in zip(asked[4], sizes)])
+        symbols = [summed(unpack_counts(x), s) for x, s in zip(asked[4], sizes)]
+        p = np.concatenate([unpack_told(x, s) for x, s in zip(asked[5], symbols)])
+        symbols = np.concatenate(symbols)
         if _bits(context) + _bits(symbols) + len(symbols).bit_length() > 64:
             symbols = np.searchsorted(distinct(symbols), symbols)
         gram, first = numbered(context, symbols)
         n = np.bincount(gram, np.concatenate([unpack_counts(x) for x in asked[6]]), len(first))
         del symbols
-        p, of = -np.concatenate([unpack(x, np.int16) for x in asked[5]])[first] / _UNIT, context[first]
+        p, of = -p[first] / _UNIT, context[first]
         more = np.flatnonzero(n > 1)
         told = math.log2(MU) * np.bincount(of, n == 1, len(every)) + np.bincount(of[more], n[more] * np.log2((n[more] - 1) * np.exp2(-p[more]) + MU), len(every))
         could = np.bincount(of[more], best_gain(n[more], p[more]), len(every))
@@ -538,9 +653,12 @@ def _first_levels(docs: DataFrame, trains, split: int, block_bytes: int, write)
     dealt = {"by": "block", "buckets": n_buckets(docs, block_bytes)}
 
     def answer(bucket: Bucket):
+        # frequent words have low numbers, which take fewer bits in questions
+        number = np.empty(len(bucket.counts), np.int64)
+        number[np.argsort(-bucket.counts, kind="stable")] = 1 + np.arange(len(number)) * stride + bucket.number
         sums = pack(np.array([bucket.counts.sum(), (bucket.counts > 0).sum(), len(bucket.counts)], np.int64))
         first = [sums]
-        return lambda places: [pack_counts(bucket.counts[places]), pack_counts(1 + places * stride + bucket.number), first.pop() if first else None]
+        return lambda places: [pack_counts(bucket.counts[places]), pack_counts(number[places]), first.pop() if first else None]
 
     with passing(docs.sparkSession) as write_first:
         dictionaries, texts = blocks(docs, words, trains, block_bytes=block_bytes, write=write_first)
@@ -557,7 +675,12 @@ def _first_levels(docs: DataFrame, trains, split: int, block_bytes: int, write)
 
     def answered(questions: DataFrame, level: int, write, **dealt) -> DataFrame:
         rows = questions.select("block", "bucket", "a", "b", "c", "d", "e").where("bucket is not null").groupBy("bucket").applyInArrow(judged(level), _ANSWERS)
-        rows = write(rows.select("block", F.lit(level).alias("level"), "bucket", "a", "b", "c"), "found", **dealt)
+        rows = rows.select("block", F.lit(level).alias("level"), "bucket", "a", "b", "c")
+        if dealt:  # the questions go before the answers move
+            with passing(docs.sparkSession) as write_answers:
+                rows = write(write_answers(rows, "answers"), "found", **dealt)
+        else:
+            rows = write(rows, "found")
         hot = rows.where("block is null").where(F.col("level") == level).select("a", "b").collect()  # at most tokens / SPLIT contexts
         if hot:
             keys = np.concatenate([unpack(r.a, np.uint64) for r in hot]).tolist()

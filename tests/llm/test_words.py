@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
@@ -188,6 +189,69 @@ def test_short_keys_and_differences():
     assert (suffix_tree.summed(suffix_tree.differences(x, np.array([0, 3, 4])), sizes) == x).all()
 
 
+def test_packed_by_bits():
+    """Numbers of any size come back, also those that a float rounds up; skewed ones take less than as byte planes, probabilities in order of tokens less again."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        x = rng.integers(0, 1 << 64, int(rng.integers(0, 2000)), np.uint64, endpoint=False) >> rng.integers(0, 64, 1).astype(np.uint64)
+        x = np.append(x, np.array([0, 1, (1 << 53) - 1, (1 << 60) - 1, 1 << 63, (1 << 64) - 1], np.uint64)) if rng.random() < 0.5 else x << np.uint64(rng.integers(0, 9))
+        assert (suffix_tree.unpack_counts(suffix_tree.pack_bits(x)).view(np.uint64) == x).all()
+    for x in (np.zeros(3000, np.int64), np.ones(3000, np.int64)):
+        assert (suffix_tree.unpack_counts(suffix_tree.pack_bits(x)) == x).all()
+    for n, top in ((100, 50), (4000, 50), (4000, 1 << 20), (4000, 1 << 58)):
+        symbols = np.exp(rng.uniform(0, math.log(top), n)).astype(np.int64)
+        p = np.where(rng.random(n) < 0.1, 0, np.minimum(60 * np.log2(symbols + 2), 32767)).astype(np.int16)
+        packed = suffix_tree.pack_bits(symbols), suffix_tree.pack_told(p, symbols)
+        assert (suffix_tree.unpack_counts(packed[0]) == symbols).all() and (suffix_tree.unpack_told(packed[1], symbols) == p).all()
+        assert (suffix_tree.ascending(symbols) == np.argsort(symbols, kind="stable")).all()
+        assert n < suffix_tree.CODED or len(packed[1]) < 0.6 * len(wordblocks.pack(p))
+        assert n < suffix_tree.CODED or top != 1 << 20 or len(packed[0]) < 0.95 * len(suffix_tree.pack_counts(symbols))
+
+
+def test_spelt_contexts():
+    """Contexts sent as their tokens come back and are told apart, also where a context is dealt by next token or its numbers don't fit 63 bits; they take less than hashes."""
+    rng = np.random.default_rng(4)
+    for level, top, n in ((1, 1 << 20, 3000), (2, 1 << 20, 3000), (3, 1 << 20, 3000), (3, 1 << 40, 3000), (2, 9, 40), (1, 2, 1)):
+        rows = np.unique(np.exp(rng.uniform(0, math.log(top), (n, level))).astype(np.int64), axis=0)
+        rows = rows[np.sort(np.append(np.arange(len(rows)), 0))]
+        dealt = np.where(rng.random(len(rows)) < 0.02, rng.integers(0, 1 << 62, len(rows)) | 1, 0).astype(np.uint64)
+        dealt[:2] = 5, 7
+        columns = [rows[:, i] for i in range(level)]
+        data = suffix_tree.pack_spelt(columns, dealt)
+        back, parts = suffix_tree.unpack_spelt(data, level)
+        assert all((a == b).all() for a, b in zip(columns, back)) and len(back) == level and (parts == dealt).all()
+        keys = suffix_tree.told_apart(back, parts)
+        assert len(set(keys.tolist())) == len(rows) and ((keys & np.uint64(1)) == (dealt > 0)).all()
+        if level == 3 and top == 1 << 20:
+            hashes = np.sort(rng.integers(0, 1 << 64, len(rows), np.uint64))
+            assert len(suffix_tree.pack_spelt(columns, dealt * np.uint64(0))) < 0.8 * len(wordblocks.pack(np.diff(hashes, prepend=np.uint64(0))))
+
+
+def test_answers_move_after_questions(spark, monkeypatch):
+    """No table is dealt by block in the job that asks, so that a level's questions and its dealt answers aren't kept together; words are numbered by falling counts."""
+    passing, dealt, numbers = suffix_tree.passing, [], []
+
+    @contextmanager
+    def watched(session):
+        with passing(session) as write:
+
+            def note(df, name, **deal):
+                if deal:
+                    dealt.append(df._jdf.queryExecution().optimizedPlan().toString())
+                    numbers.extend(df.where("level = 0").select("b", "c").collect() if name == "found" and not numbers else [])
+                return write(df, name, **deal)
+
+            yield note
+
+    monkeypatch.setattr(suffix_tree, "passing", watched)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert suffix_tree.scored(docs).count() == docs.count()
+    assert len(dealt) == suffix_tree.AGAIN + 2 and not any("InArrow" in plan for plan in dealt)
+    for r in numbers:
+        counts, symbols = suffix_tree.unpack_counts(r.b), suffix_tree.unpack_counts(r.c)
+        assert (np.diff(counts[np.argsort(symbols)]) <= 0).all()
+
+
 def test_caps():
     """No context of fewer occurrences than `least` asks for passes or stays open, whatever follows it."""
     rng = np.random.default_rng(1)
