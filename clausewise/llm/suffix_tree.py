@@ -55,6 +55,8 @@ SPLIT, AGAIN = 1 << 21, 3
 SPELT = 3
 #: Text bytes of a block, and those whose contexts one bucket sums.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+#: Parts in which the texts are dealt by block, so that only one part's shuffle files are there beside both tables.
+PARTS = 4
 #: Numbers of a question from which they are packed by their lengths in bits.
 CODED = 512
 _UNIT = 64  # rounding of log2 probabilities in the test
@@ -667,7 +669,10 @@ def _first_levels(docs: DataFrame, trains, split: int, block_bytes: int, write)
             answers = write_answers(lookup(dictionaries, answer, 3), "answers")
             sums = [unpack(r.v2, np.int64) for r in answers.where("v2 is not null").select("v2").collect()]  # a row a bucket
             found = write(answers.select("block", F.lit(0).alias("level"), F.lit(0).alias("bucket"), F.col("ranks").alias("a"), F.col("v0").alias("b"), F.col("v1").alias("c")), "found", **dealt)
-        texts = write(texts.select("block", "ids", "sizes", "seq", "counted"), "texts", **dealt)
+        for part in range(PARTS):
+            some = texts.where(F.pmod(F.xxhash64("block"), F.lit(PARTS)) == part).select("block", "ids", "sizes", "seq", "counted")
+            dealt_texts = write(some, "texts", **dealt)
+    texts = dealt_texts
     n, v = (int(sum(s[i] for s in sums)) for i in (0, 1))
     n, v = n + n_texts, v + (n_texts > 0)
     most = max((int(s[2]) for s in sums), default=0) * stride + 1

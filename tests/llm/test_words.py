@@ -228,8 +228,8 @@ def test_spelt_contexts():
 
 
 def test_answers_move_after_questions(spark, monkeypatch):
-    """No table is dealt by block in the job that asks, so that a level's questions and its dealt answers aren't kept together; words are numbered by falling counts."""
-    passing, dealt, numbers = suffix_tree.passing, [], []
+    """No table is dealt by block in the job that asks, so that a level's questions and its dealt answers aren't kept together, and the texts are dealt in parts; words are numbered by falling counts."""
+    passing, dealt, names, numbers = suffix_tree.passing, [], [], []
 
     @contextmanager
     def watched(session):
@@ -237,6 +237,7 @@ def test_answers_move_after_questions(spark, monkeypatch):
 
             def note(df, name, **deal):
                 if deal:
+                    names.append(name)
                     dealt.append(df._jdf.queryExecution().optimizedPlan().toString())
                     numbers.extend(df.where("level = 0").select("b", "c").collect() if name == "found" and not numbers else [])
                 return write(df, name, **deal)
@@ -246,7 +247,8 @@ def test_answers_move_after_questions(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree, "passing", watched)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert suffix_tree.scored(docs).count() == docs.count()
-    assert len(dealt) == suffix_tree.AGAIN + 2 and not any("InArrow" in plan for plan in dealt)
+    assert names == ["found"] + ["texts"] * suffix_tree.PARTS + ["found"] * suffix_tree.AGAIN and suffix_tree.PARTS > 1
+    assert not any("InArrow" in plan for plan in dealt)
     for r in numbers:
         counts, symbols = suffix_tree.unpack_counts(r.b), suffix_tree.unpack_counts(r.c)
         assert (np.diff(counts[np.argsort(symbols)]) <= 0).all()
