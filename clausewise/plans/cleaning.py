@@ -29,10 +29,10 @@ class Rules:
 
 
 def _ordinal(text: Column, rules: Rules) -> Column:
-    """The ordinal of an entry of a contents, -1 for other texts; 一 to 十 count as 1 to 10."""
+    """The ordinal of an entry of a contents (64 bits, as a line may begin with a card's number), -1 for other texts; 一 to 十 count as 1 to 10."""
     found = F.nullif(F.regexp_extract(text, rules.entry, 1), F.lit(""))
     numerals = F.create_map(*[F.lit(x) for i, c in enumerate("一二三四五六七八九十", 1) for x in (c, i)])
-    return F.coalesce(found.try_cast("int"), F.try_element_at(numerals, found), F.lit(-1))
+    return F.coalesce(found.try_cast("long"), F.try_element_at(numerals, found), F.lit(-1))
 
 
 def cleaned(nodes: DataFrame, key: str, rules: Rules) -> DataFrame:

@@ -230,6 +230,20 @@ def test_toc_golden(spark):
     assert got == {0: "CONTENTS", 1: "CONTENTS", 2: "CONTENTS", 3: "CONTENTS", 4: None, 5: None, 6: "EMPTY", 7: None}
 
 
+def test_kb_clean_as_its_sql(spark, tmp_path):
+    """Ordinals of more than 32 bits rise as others do; only ASCII white space is blank."""
+    import duckdb
+
+    import __spark_entry__
+
+    texts = ["The list\n4703443633947811 a\nA4703443633947812 b\n3000000000 c\n5 d", "The list\n2147483648 a\n7 b", "The\xa0list\n\xa0\n \t\n1 a\x0b\n\x0b", "", None]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()["kb_clean"]).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in __spark_entry__.queries()["kb_clean"](spark, str(tmp_path)).collect())
+
+
 def brute_clean(nodes, rules):
     numerals = {c: i for i, c in enumerate("一二三四五六七八九十", 1)}
     fragment = lambda t: re.sub(r"#+|\s+", "", t).lower()
