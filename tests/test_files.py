@@ -1,4 +1,4 @@
-"""Manifests of files that are too large for a value of a row."""
+"""Manifests and signatures of files that are too large for a value of a row."""
 
 import gzip
 import hashlib
@@ -18,6 +18,9 @@ def test_larger_than_a_value(spark, tmp_path):
             f.seek((i << 24) - 1)
             f.write(b"\n")
         f.write(b"PAR1")
+    (tmp_path / "b.parquet").write_bytes(b"%PDF-1.7")
+    got = {r.file_name: r.kind for r in __spark_entry__.queries()["src_signature"](spark, str(tmp_path)).collect()}
+    assert got == {"a.parquet": "parquet", "b.parquet": "pdf"}
     want = {p.name: (p.stat().st_size, hashlib.file_digest(p.open("rb"), "sha256").hexdigest()) for p in tmp_path.iterdir()}
     got = {r.file_name: (r.n_bytes, r.sha256) for r in __spark_entry__.queries()["src_file_manifest"](spark, str(tmp_path)).collect()}
     assert got == want and got["a.parquet"][0] > 1 << 31
@@ -33,4 +36,6 @@ def test_odd_files(spark, tmp_path, monkeypatch, whole):
     got = {r.file_name: (r.n_bytes, r.sha256) for r in tables.manifest(spark, str(tmp_path)).collect()}
     assert got == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in files.items()}
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    kinds = {r.path.split("/")[-1]: r.kind for r in tables.signature(tables.heads(spark, str(tmp_path))).collect()}
+    assert kinds == {n: {"pdf": "pdf", "zip": "zip"}.get(n, "other") for n in files}
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
