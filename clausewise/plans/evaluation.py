@@ -7,11 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewise.sources.stored import written
+
 _SPACES = " 　"
 #: Cases of a block, all of which are looked for in one pass over the texts; the letter at which texts are cut to pieces, and a piece's least length.
 BLOCK, CUT, LEAST = 4096, "e", 3
 #: Blocks that go to every task at once; more are looked for one after the other.
 BLOCKS = 16
+#: One text in so many is looked through first.
+FIRST = 64
 
 
 def _with_blocks(rows: DataFrame, held: DataFrame, n: int) -> DataFrame:
@@ -72,18 +76,43 @@ def recall_at(ran: DataFrame, k: int, skipped: Column) -> DataFrame:
     return ran.agg(F.count("*").alias("cases"), passed.alias("passed"), F.count_if(skipped).alias("skipped"), _recall(passed, tried).alias("recall"))
 
 
+def _met(rows: DataFrame, wants: DataFrame, scope: str) -> DataFrame:
+    """(scope, groups), each once, of `wants` (scope, groups) that a row (scope, low) of the scope meets: it has a term of every group."""
+    parts = -(-wants.count() // (BLOCK * BLOCKS))
+    if not parts:
+        return wants
+    held = wants.groupBy(F.col(scope).alias("_scope"), F.pmod(F.xxhash64("groups"), F.lit(parts)).alias("block")).agg(F.collect_list("groups").alias("wants"))
+    on = rows[scope].eqNullSafe(F.col("_scope"))
+    # all at once, some at a time, or, for very many scopes, with the scopes' texts
+    if parts <= BLOCKS:
+        both = reduce(DataFrame.unionByName, [rows.join(F.broadcast(held.where(F.col("block") == b)), on) for b in range(parts)])
+    else:
+        both = rows.join(held, on)
+    met = F.filter("wants", lambda w: F.forall(w, lambda g: F.exists(g, lambda t: F.col("low").contains(t))))
+    return both.select(scope, F.explode(met).alias("groups")).distinct()
+
+
 def golden_recall(terms: DataFrame, least: DataFrame, texts: DataFrame, scope: str) -> DataFrame:
     """(scope, n, found, recall, mandatory_recall, passed): items of a golden set for which a text of the scope has a term of every group.
 
     `terms` is as from golden_terms, a set that people wrote; `least` has the thresholds requirement_recall and mandatory_recall.
+
+    Equal items are looked for once, the group of the longest terms first, as it is most often not met. One text in `FIRST` is looked
+    through for all of them, every other text for what its scope hasn't met by then.
     """
-    items = terms.groupBy("item", "mandatory").agg(F.collect_list(F.transform("terms", F.lower)).alias("groups"))
-    n = max(1, -(-items.count() // BLOCK))
-    held = items.groupBy(F.pmod(F.xxhash64("item"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("item", "mandatory", "groups")).alias("items"))
-    low = F.lower("text")
-    met = F.filter("items", lambda i: F.forall(i["groups"], lambda g: F.exists(g, lambda t: low.contains(t))))
-    found = _with_blocks(texts.select(scope, "text"), held, n).select(scope, F.explode(F.transform(met, lambda i: i["item"])).alias("item")).distinct().withColumn("found", F.lit(True))
-    whole = texts.select(scope).distinct().join(items.select("item", "mandatory")).join(found, [scope, "item"], "left")  # the result's rows, before they are counted
+    # a group's rank is the length of its shortest term
+    group = F.struct((-F.array_min(F.transform("terms", F.length))).alias("n"), F.array_sort(F.array_distinct(F.transform("terms", F.lower))).alias("terms"))
+    items = written(terms.groupBy("item", "mandatory").agg(F.transform(F.array_sort(F.collect_set(group)), lambda g: g["terms"]).alias("groups")), "items")
+    scopes = written(texts.select(scope).distinct(), "scopes")
+    all_ = scopes.join(F.broadcast(items.select("groups").distinct()))
+    part = F.pmod(F.xxhash64("text"), F.lit(FIRST)) == 0
+    low = lambda rows: rows.where("text is not null").select(scope, F.lower("text").alias("low"))
+    early = written(_met(low(texts.where(part)), all_, scope), "early")
+    left = written(all_.join(early.withColumnRenamed(scope, "_scope"), all_[scope].eqNullSafe(F.col("_scope")) & (all_["groups"] == early["groups"]), "left_anti"), "left")
+    met = early.unionByName(_met(low(texts.where(~part)), left, scope))
+    each = scopes.join(items)
+    met = met.select(F.col(scope).alias("_scope"), F.col("groups").alias("_groups"), F.lit(True).alias("found"))
+    whole = each.join(met, each[scope].eqNullSafe(F.col("_scope")) & (F.col("groups") == F.col("_groups")), "left")  # the result's rows, before they are counted
     n, hits, must, kept = F.count("*"), F.count("found"), F.count_if("mandatory"), F.count_if(F.col("mandatory") & F.col("found").isNotNull())
     out = whole.groupBy(scope).agg(n.alias("n"), hits.alias("found"), _recall(hits, n).alias("recall"), _recall(kept, must).alias("mandatory_recall"))
     limits = least.agg(*(F.coalesce(F.max(F.when(F.col("name") == x, F.col("least"))), F.lit(0.0)).alias(f"_{x}") for x in ("requirement_recall", "mandatory_recall")))

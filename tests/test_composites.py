@@ -89,6 +89,27 @@ def test_golden_recall(spark):
     assert got == {"s": (3, 2, 0.6667, 1.0, True), "t": (3, 2, 0.6667, 0.0, False), "u": (3, 0, 0.0, 0.0, False)}
 
 
+@pytest.mark.parametrize("first,block", [(1, 4096), (3, 4096), (64, 4096), (3, 1)])
+def test_golden_recall_brute(spark, monkeypatch, first, block):
+    """Against brute force, with a scope that is null, equal items, missing texts and terms of any characters."""
+    monkeypatch.setattr(evaluation, "FIRST", first, raising=False)
+    monkeypatch.setattr(evaluation, "BLOCK", block)
+    rng = random.Random(first)
+    words = ["Ab", "bc d", "É", "ee", "x.y", "zz", "q"]
+    gold = {f"i{i}": (i % 2 == 0, [rng.sample(words, rng.randint(1, 2)) for _ in range(rng.randint(1, 3))]) for i in range(12)}
+    gold["same"] = (True, gold["i1"][1])
+    docs = [(rng.choice(["s", "t", None]), " ".join(rng.sample(words + ["é", "ABC D"], 3))) for _ in range(14)] + [("u", None), (None, "")]
+    terms = spark.createDataFrame([(i, m, k, g) for i, (m, groups) in gold.items() for k, g in enumerate(groups)], "item string, mandatory boolean, group int, terms array<string>")
+    least = spark.createDataFrame([("requirement_recall", 0.3)], "name string, least double")
+    got = {r.scope: (r.n, r.found, r.recall, r.mandatory_recall) for r in evaluation.golden_recall(terms, least, spark.createDataFrame(docs, "scope string, text string"), "scope").collect()}
+    want = {}
+    for scope in {s for s, _ in docs}:
+        hit = {i: any(t is not None and all(any(x.lower() in t.lower() for x in g) for g in groups) for s, t in docs if s == scope) for i, (_, groups) in gold.items()}
+        must = [i for i, (m, _) in gold.items() if m]
+        want[scope] = (len(gold), sum(hit.values()), round(sum(hit.values()) / len(gold), 4), round(sum(hit[i] for i in must) / len(must), 4))
+    assert got == want and any(0 < w[1] < len(gold) for w in want.values()) and want[None][1]
+
+
 def test_eval_cases(spark):
     d = spark.createDataFrame([(1, json.dumps([{"scope": "project", "question": " q ", "expect": ["a", " "]}, {"scope": "x", "question": "", "expect": ["a"]}, {"question": "r", "expect": []}])), (2, "nonsense")], "k int, data string")
     assert [tuple(r) for r in cases.eval_cases(d, "k", "data").collect()] == [(1, 0, "project", "q", ["a"])]
